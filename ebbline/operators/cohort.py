@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ebbline.functions.grids import add_zero_rows
 from ebbline.functions.scalars import month_label, month_start, ratio, rounded
 
 MAX_OFFSET = 72
@@ -32,15 +33,8 @@ def _reached(
     stopped = subs.groupBy(*by, offset.alias("month_offset")).agg(
         F.count(F.lit(1)).alias("_n"), F.sum(amount).alias("_amount")
     )
-    grid = stopped.groupBy(*by).agg(F.max("month_offset").alias("_last")).select(
-        *by,
-        F.explode(F.sequence(F.lit(0), F.greatest(F.col("_last"), F.lit(0)))).alias("month_offset"),
-        F.lit(0).cast("long").alias("_n"),
-        F.lit(0.0).alias("_amount"),
-    )
-    dense = stopped.unionByName(grid).groupBy(*by, "month_offset").agg(
-        F.sum("_n").alias("_n"), F.sum("_amount").alias("_amount")
-    )
+    longest = F.max("month_offset").over(Window.partitionBy(*by))
+    dense = add_zero_rows(stopped, by, "month_offset", longest, ["_n", "_amount"])
     whole = Window.partitionBy(*by)
     later = whole.orderBy(F.desc("month_offset")).rowsBetween(
         Window.unboundedPreceding, Window.currentRow

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from ebbline.plans import metrics, retention  # noqa: F401
+from ebbline.plans import lifetimes, metrics, retention  # noqa: F401
 from ebbline.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
