@@ -1,6 +1,13 @@
 """All registered queries."""
 
-from ebbline.plans import lifetimes, metrics, retention  # noqa: F401
+from ebbline.plans import (  # noqa: F401
+    judgement,
+    lifetimes,
+    metrics,
+    models,
+    preparation,
+    retention,
+)
 from ebbline.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
