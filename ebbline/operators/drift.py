@@ -35,42 +35,54 @@ def _numeric_bin(feature: str, edges: Sequence[float], closed: bool) -> Column:
     return bin_number(F.col(feature).cast("double"), edges, closed).cast("string")
 
 
-def psi(
-    baseline: DataFrame, new: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (),
-    bins: int = 10, closed: bool = True, edges: dict[str, list] | None = None,
+def bin_counts(
+    df: DataFrame, edges: dict[str, list], categorical: Sequence[str] = (), closed: bool = True
 ) -> DataFrame:
-    """Stability index per feature, all features in one pass over both sides.
+    """Rows per feature and bin, all features in one pass.
 
-    Numeric features are binned on the baseline's quantiles. `closed` leaves
-    out new values beyond the baseline's range; open-ended bins count them.
-    `edges` supplies the bin edges of a baseline measured before.
+    Numeric features are binned on the given edges. `closed` leaves out values
+    beyond the outer edges; open-ended bins count them. Categorical features
+    are their own bins.
     """
-    if edges is None:
-        edges = baseline_edges(baseline, numeric, bins)
-    labels = {f: _numeric_bin(f, edges[f], closed) for f in numeric if f in edges}
+    labels = {f: _numeric_bin(f, cuts, closed) for f, cuts in edges.items()}
     labels |= {f: F.col(f).cast("string") for f in categorical}
     entries = F.array(*[
         F.struct(F.lit(f).alias("feature"), label.alias("bin")) for f, label in labels.items()
     ])
-    used = list(labels)
-    sides = baseline.select(*used, F.lit(0).alias("_side")).unionByName(
-        new.select(*used, F.lit(1).alias("_side"))
-    )
-    counts = (
-        sides.select("_side", F.inline(entries))
+    return (
+        df.select(*labels)
+        .select(F.inline(entries))
         .where(F.col("bin").isNotNull())
         .groupBy("feature", "bin")
-        .agg(F.count_if(F.col("_side") == 0).alias("_e"), F.count_if(F.col("_side") == 1).alias("_a"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+def psi_from_counts(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """Stability index per feature from two tables of bin counts."""
+    aligned = expected.withColumnRenamed("n", "_e").join(
+        actual.withColumnRenamed("n", "_a"), ["feature", "bin"], "full_outer"
     )
-    totals = counts.groupBy("feature").agg(F.sum("_e").alias("_te"), F.sum("_a").alias("_ta"))
+    totals = aligned.groupBy("feature").agg(F.sum("_e").alias("_te"), F.sum("_a").alias("_ta"))
     share = lambda part, whole: F.greatest(
         F.coalesce(ratio(part, whole), F.lit(0.0)), F.lit(EMPTY_SHARE)
     )
-    expected, actual = share("_e", "_te"), share("_a", "_ta")
+    p_expected, p_actual = share("_e", "_te"), share("_a", "_ta")
     return (
-        counts.join(totals, "feature")
+        aligned.join(totals, "feature")
         .groupBy("feature")
-        .agg(F.sum((actual - expected) * F.log(actual / expected)).alias("psi"))
+        .agg(F.sum((p_actual - p_expected) * F.log(p_actual / p_expected)).alias("psi"))
+    )
+
+
+def psi(
+    baseline: DataFrame, new: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (),
+    bins: int = 10, closed: bool = True,
+) -> DataFrame:
+    """Stability index per feature, binned on the baseline's quantiles."""
+    edges = baseline_edges(baseline, numeric, bins)
+    return psi_from_counts(
+        bin_counts(baseline, edges, categorical, closed), bin_counts(new, edges, categorical, closed)
     )
 
 
@@ -82,7 +94,7 @@ def psi_flag(value: Column) -> Column:
 
 def feature_drift(
     baseline: DataFrame, new: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (),
-    bins: int = 10, closed: bool = True, edges: dict[str, list] | None = None,
+    bins: int = 10, closed: bool = True,
 ) -> DataFrame:
     """Stability index and flag per feature, largest first.
 
@@ -91,7 +103,7 @@ def feature_drift(
     common = set(baseline.columns) & set(new.columns)
     present = lambda names: [n for n in names if n in common]
     skipped = [n for n in [*numeric, *categorical] if n not in common]
-    report = psi(baseline, new, present(numeric), present(categorical), bins, closed, edges)
+    report = psi(baseline, new, present(numeric), present(categorical), bins, closed)
     report = report.withColumn("flag", psi_flag(F.col("psi")))
     if skipped:
         rows = [(name, None, "skipped") for name in skipped]

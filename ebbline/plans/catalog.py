@@ -1,6 +1,7 @@
 """All registered queries."""
 
 from ebbline.plans import (  # noqa: F401
+    ingestion,
     judgement,
     lifetimes,
     metrics,

@@ -71,12 +71,36 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 # ── tables ───────────────────────────────────────────────────────────────────
 
+def read_snapshot(
+    spark: SparkSession, path: str, schema: T.StructType, before: int | None = None
+) -> DataFrame:
+    """The newest committed snapshot (older than `before`), or an empty table."""
+    versions = [v for v in _committed_versions(spark, path) if before is None or v < before]
+    if not versions:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/v={versions[-1]}")
+
+
+def upsert_snapshot(
+    spark: SparkSession, path: str, staged: DataFrame, key: str, mutable: Sequence[str],
+    order_by: Sequence[str] = (), version: int | None = None,
+) -> int:
+    """Write the snapshot that results from merging `staged` into the newest one.
+
+    A given `version` is written on top of its predecessors, so that repeating
+    the same version leaves the same snapshot.
+    """
+    if version is None:
+        version = max(_committed_versions(spark, path), default=0) + 1
+    current = read_snapshot(spark, path, staged.schema, before=version)
+    merged = merge_rows(current, newest_per_key(staged, key, order_by), key, mutable)
+    merged.write.mode("overwrite").parquet(f"{path}/v={version}")
+    return version
+
+
 def customers(spark: SparkSession, root: str) -> DataFrame:
     """The newest committed snapshot; empty before the first upsert."""
-    versions = _committed_versions(spark, f"{root}/customers")
-    if not versions:
-        return spark.createDataFrame([], STORED_CUSTOMERS)
-    return spark.read.schema(STORED_CUSTOMERS).parquet(f"{root}/customers/v={versions[-1]}")
+    return read_snapshot(spark, f"{root}/customers", STORED_CUSTOMERS)
 
 
 def monthly_revenue(spark: SparkSession, root: str) -> DataFrame:
@@ -134,7 +158,7 @@ def newest_per_key(
     ).select(*staged.columns)
 
 
-def merge_customers(
+def merge_rows(
     current: DataFrame, staged: DataFrame, key: str, mutable: Sequence[str]
 ) -> DataFrame:
     """Upsert: new keys are added; known keys only change in `mutable` columns."""
@@ -172,17 +196,14 @@ def log_run(spark: SparkSession, root: str, table: str, rows: int, detail: str)
 def ingest_customers(
     spark: SparkSession, root: str, staged: DataFrame, order_by: Sequence[str] = ()
 ) -> int:
-    """Upsert customers and log the run; returns the number of staged rows."""
+    """Upsert customers and log the run; returns the number of staged rows.
+
+    Total charges have to be numbers or null by now.
+    """
     stamped = staged.withColumn("last_updated", F.current_timestamp()).select(
         *[F.col(f.name).cast(f.dataType) for f in STORED_CUSTOMERS]
     )
-    versions = _committed_versions(spark, f"{root}/customers")
-    merged = merge_customers(
-        customers(spark, root), newest_per_key(stamped, "customerID", order_by),
-        "customerID", MUTABLE_COLUMNS,
-    )
-    target = f"{root}/customers/v={(versions[-1] if versions else 0) + 1}"
-    merged.write.mode("overwrite").parquet(target)
+    upsert_snapshot(spark, f"{root}/customers", stamped, "customerID", MUTABLE_COLUMNS, order_by)
     staged_rows = staged.count()
     log_run(spark, root, "customers", staged_rows, f"upserted {staged_rows} customer records")
     return staged_rows
