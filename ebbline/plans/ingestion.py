@@ -32,7 +32,7 @@ UPSERTED = """
 base AS (SELECT * REPLACE (TRY_CAST("TotalCharges" AS DOUBLE) AS "TotalCharges")
   FROM raw_customers WHERE CAST(substr("customerID", 6) AS BIGINT) % 3 <> 0),
 staged AS (SELECT * REPLACE (TRY_CAST("TotalCharges" AS DOUBLE) AS "TotalCharges",
-    round("MonthlyCharges" * 1.1::DOUBLE, 2) AS "MonthlyCharges", 'Other' AS gender)
+    """ + r('"MonthlyCharges" * 1.1::DOUBLE', 2) + """ AS "MonthlyCharges", 'Other' AS gender)
   FROM raw_customers WHERE CAST(substr("customerID", 6) AS BIGINT) % 2 = 0),
 merged AS (
   SELECT coalesce(b."customerID", s."customerID") AS "customerID",
@@ -52,7 +52,7 @@ def _upserted_store(spark, sf_dir):
     root = store.scratch_path(spark, "store")
     raw = features.coerce_totals(bridge.raw_customers(spark, sf_dir))
     staged = raw.where(_number() % 2 == 0).withColumns({
-        "MonthlyCharges": F.round(F.col("MonthlyCharges") * 1.1, 2), "gender": F.lit("Other"),
+        "MonthlyCharges": rounded(F.col("MonthlyCharges") * 1.1, 2), "gender": F.lit("Other"),
     })
     store.ingest_customers(spark, root, raw.where(_number() % 3 != 0))
     store.ingest_customers(spark, root, staged)
