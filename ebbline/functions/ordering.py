@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ebbline.functions.lookups import attach_lookup
+
 BLOCK_BITS = 33  # monotonically_increasing_id keeps the partition above this bit
 
 
@@ -64,6 +66,11 @@ def block_offsets(
     )
 
 
+def _with_offsets(layout: DataFrame, offsets: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Bring the small table of block offsets to the rows without moving them."""
+    return attach_lookup(layout, offsets, [*by, "_block"], "inner")
+
+
 def global_row_number(
     df: DataFrame, order_by: Sequence[Column], name: str = "row_number"
 ) -> DataFrame:
@@ -72,7 +79,7 @@ def global_row_number(
     offsets = block_offsets(layout, {"n": F.count(F.lit(1))}).select("_block", "_before_n")
     local = F.col("_pos") - F.shiftleft(F.col("_block"), BLOCK_BITS) + 1
     return (
-        layout.join(offsets, "_block")
+        _with_offsets(layout, offsets)
         .withColumn(name, F.col("_before_n") + local)
         .drop("_block", "_pos", "_before_n")
     )
@@ -103,9 +110,9 @@ def running_sums(
         .orderBy("_pos")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    summed = layout.withColumns({f"_in_{c}": F.sum(c).over(inside) for c in columns})
     return (
-        layout.withColumns({f"_in_{c}": F.sum(c).over(inside) for c in columns})
-        .join(offsets, [*by, "_block"])
+        _with_offsets(summed, offsets, by)
         .withColumns({f"cum_{c}": F.col(f"_in_{c}") + F.col(f"_before_{c}") for c in columns})
         .drop("_block", "_pos", *[f"_in_{c}" for c in columns], *[f"_before_{c}" for c in columns])
     )
@@ -127,29 +134,26 @@ def values_at_ranks(
     )
     layout = range_layout(counted, [*[F.col(c) for c in by], F.col("_value")])
     blocks = block_offsets(layout, {"_count": F.sum("_count")}, by)
-    group = Window.partitionBy(*by)
+    before = F.col("_before__count")
+    inside_block = lambda rank: (rank >= before) & (rank < before + F.col("_count"))
     wanted = (
-        blocks.withColumn("n", F.sum("_count").over(group))
-        .withColumn("_rank", F.explode(F.array_distinct(ranks)))
-        .where(
-            (F.col("_rank") >= F.col("_before__count"))
-            & (F.col("_rank") < F.col("_before__count") + F.col("_count"))
-        )
-        .select(*by, "_block", "_before__count", "n", "_rank")
+        blocks.withColumn("n", F.sum("_count").over(Window.partitionBy(*by)))
+        .withColumn("_ranks", F.filter(F.array_distinct(ranks), inside_block))
+        .where(F.size("_ranks") > 0)
+        .select(*by, "_block", "_before__count", "n", "_ranks")
     )
     # Only the blocks that hold a wanted rank are walked in order.
-    hit = layout.join(wanted.select(*by, "_block", "_before__count").distinct(), [*by, "_block"])
-    inside = (
+    position = (
         Window.partitionBy(*by, "_block")
         .orderBy("_pos")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    spans = hit.withColumn(
-        "_end", F.col("_before__count") + F.sum("_count").over(inside)
-    ).withColumn("_start", F.col("_end") - F.col("_count"))
-    found = spans.select(*by, "_block", "_value", "_start", "_end").join(
-        wanted.select(*by, "_block", "n", "_rank"), [*by, "_block"]
-    ).where((F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_end")))
+    found = (
+        _with_offsets(layout, wanted, by)
+        .withColumn("_end", F.col("_before__count") + F.sum("_count").over(position))
+        .withColumn("_rank", F.explode("_ranks"))
+        .where((F.col("_rank") < F.col("_end")) & (F.col("_rank") >= F.col("_end") - F.col("_count")))
+    )
     return found.groupBy(*by).agg(
         F.max("n").alias("n"),
         F.map_from_entries(F.collect_list(F.struct("_rank", "_value"))).alias("ranked"),

@@ -97,11 +97,13 @@ def retention_milestones(
 
 def latest_cohort_curves(cohorts: DataFrame, n_cohorts: int = 8, max_offset: int = 24) -> DataFrame:
     """Retention curves of the most recent mature cohorts."""
-    mature = mature_cohorts(cohorts, max_offset)
     # One row per cohort and offset, so ranking the cohorts is a small job.
-    newest = mature.select("cohort").distinct().orderBy(F.desc("cohort")).limit(n_cohorts)
-    return mature.join(newest, "cohort", "left_semi").select(
-        "cohort", "month_offset", "retention_rate"
+    age = F.dense_rank().over(Window.partitionBy().orderBy(F.desc("cohort")))
+    return (
+        mature_cohorts(cohorts, max_offset)
+        .withColumn("_age", age)
+        .where(F.col("_age") <= n_cohorts)
+        .select("cohort", "month_offset", "retention_rate")
     )
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ebbline.functions.scalars import as_column, month_label, month_start, ratio
+from ebbline.functions.grids import add_zero_rows
+from ebbline.functions.scalars import as_column, month_index, month_label, month_start, ratio
 
 
 def first_full_month(signup: Column | str) -> Column:
@@ -105,25 +106,25 @@ def calendar_totals(
         )
     )
     # From here on there is one row per calendar month.
-    bounds = moves.agg(F.min("month").alias("lo"), F.max("month").alias("hi"))
-    calendar = bounds.where("lo is not null").select(
-        F.explode(F.sequence("lo", "hi", F.expr("interval 1 month"))).alias("month")
+    whole = Window.partitionBy()
+    first_month = F.min("month").over(whole)
+    position = (month_index("month") - month_index("_first")).cast("int")
+    calendar = (
+        moves.withColumn("_first", first_month)
+        .withColumn("_position", position)
+        .select("_first", "_position", "mrr_change", "customer_change", "left")
     )
-    running = (
-        Window.partitionBy().orderBy("month")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return (
-        calendar.join(moves, "month", "left")
-        .fillna(0, ["mrr_change", "customer_change", "left"])
-        .select(
-            "month",
-            F.sum("mrr_change").over(running).cast("double").alias("total_mrr"),
-            F.sum("customer_change").over(running).alias("active_customers"),
-            F.col("left").alias("churned_customers"),
-        )
-        .where((F.col("active_customers") > 0) & (F.col("month") <= reference))
+    longest = F.max("_position").over(Window.partitionBy("_first"))
+    dense = add_zero_rows(
+        calendar, ["_first"], "_position", longest, ["mrr_change", "customer_change", "left"]
     )
+    running = whole.orderBy("_position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return dense.select(
+        F.add_months("_first", F.col("_position")).alias("month"),
+        F.sum("mrr_change").over(running).cast("double").alias("total_mrr"),
+        F.sum("customer_change").over(running).alias("active_customers"),
+        F.col("left").alias("churned_customers"),
+    ).where((F.col("active_customers") > 0) & (F.col("month") <= reference))
 
 
 def monthly_totals(subs: DataFrame, reference_date: str) -> DataFrame:

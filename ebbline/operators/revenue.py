@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ebbline.functions.lookups import attach_lookup
 from ebbline.functions.ordering import block_offsets, exact_quantiles, ntile_of, range_layout
 from ebbline.functions.scalars import percent, ratio, rounded
 from ebbline.operators.churn_metrics import active
@@ -70,17 +71,18 @@ def revenue_concentration(subs: DataFrame, tiles: int = 10) -> DataFrame:
     )
     layout = range_layout(charges, [F.desc("monthly_charges")])
     blocks = block_offsets(layout, {"_count": F.sum("_count")})
-    total = layout.agg(F.sum("_count")).scalar()
+    total = F.sum("_count").over(Window.partitionBy())  # one row per block
     inside = (
         Window.partitionBy("_block").orderBy("_pos")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     spans = (
-        layout.withColumn("_in", F.sum("_count").over(inside))
-        .join(blocks.select("_block", "_before__count"), "_block")
+        attach_lookup(
+            layout.withColumn("_in", F.sum("_count").over(inside)),
+            blocks.select("_block", "_before__count", total.alias("n")), ["_block"], "inner",
+        )
         .withColumn("last", F.col("_before__count") + F.col("_in"))
         .withColumn("first", F.col("last") - F.col("_count") + 1)
-        .withColumn("n", total)
     )
     per_tile = (
         spans.withColumn(
