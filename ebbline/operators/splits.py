@@ -8,20 +8,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbline.functions.lookups import attach_lookup
-from ebbline.functions.ordering import global_row_number, values_at_ranks
+from ebbline.functions.ordering import values_at_ranks
 
 
 def split_by_fraction(
-    df: DataFrame, order_by: Sequence[Column], fraction: float
+    df: DataFrame, order_by: Sequence[str], fraction: float
 ) -> tuple[DataFrame, DataFrame]:
     """The earliest share of the rows, and the rest.
 
-    `order_by` has to end with a unique key.
+    `order_by` has to end with a unique key. Only these columns are put in
+    order, to find the first key of the second part; the rows are then split by
+    comparing with it.
     """
-    numbered = global_row_number(df, order_by, "_row")
-    total = numbered.agg(F.max("_row")).scalar()
-    marked = numbered.withColumn("_first", F.col("_row") <= F.floor(total * fraction))
-    part = lambda flag: marked.where(flag).drop("_row", "_first")
+    key = F.struct(*order_by)
+    rank = F.floor(F.col("n") * fraction).cast("long")
+    cut = values_at_ranks(df.select(key.alias("_key")), "_key", F.array(rank)).select(
+        F.col("ranked")[rank]
+    )
+    marked = df.withColumn("_cut", cut.scalar()).withColumn(
+        "_first", F.coalesce(key < F.col("_cut"), F.lit(True))
+    )
+    part = lambda flag: marked.where(flag).drop("_first", "_cut")
     return part(F.col("_first")), part(~F.col("_first"))
 
 

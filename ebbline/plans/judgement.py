@@ -254,7 +254,7 @@ FROM (SELECT *, CASE WHEN row_number() OVER (ORDER BY signup_date, customer_id)
 GROUP BY 1"""))
 def split_by_order(spark, sf_dir):
     subs = bridge.subscribers(spark, sf_dir).select("customer_id", "signup_date", "monthly_charges")
-    baseline, new = splits.split_by_fraction(subs, [F.col("signup_date"), F.col("customer_id")], 0.7)
+    baseline, new = splits.split_by_fraction(subs, ["signup_date", "customer_id"], 0.7)
     both = baseline.withColumn("part", F.lit("baseline")).unionByName(
         new.withColumn("part", F.lit("new"))
     )

@@ -11,6 +11,24 @@ def _schema(**columns: T.DataType) -> T.StructType:
 
 _TEXT, _INT, _DOUBLE, _TIME = T.StringType(), T.IntegerType(), T.DoubleType(), T.TimestampType()
 
+# Input tables the subscriptions are derived from. Declaring them saves a job
+# that reads file footers for every table of every query.
+_LONG, _LOCAL_TIME = T.LongType(), T.TimestampNTZType()
+INPUT_TABLES = {
+    "region": _schema(r_regionkey=_INT, r_name=_TEXT),
+    "nation": _schema(n_nationkey=_INT, n_name=_TEXT, n_regionkey=_INT),
+    "customer": _schema(
+        c_custkey=_LONG, c_name=_TEXT, c_nationkey=_INT, c_acctbal=_DOUBLE, c_mktsegment=_TEXT
+    ),
+    "orders": _schema(
+        o_orderkey=_LONG, o_custkey=_LONG, o_orderstatus=_TEXT, o_totalprice=_DOUBLE,
+        o_orderdate=_LOCAL_TIME, o_orderpriority=_TEXT,
+    ),
+    "events": _schema(
+        event_id=_LONG, ts=_LOCAL_TIME, user_id=_LONG, event_type=_TEXT, value=_DOUBLE, props=_TEXT
+    ),
+}
+
 # Raw customer snapshot, one row per customer. Column names.
 RAW_CUSTOMERS = _schema(
     customerID=_TEXT, gender=_TEXT, SeniorCitizen=_INT, Partner=_TEXT, Dependents=_TEXT,

@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Skip recording a Python call site for every column expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Drop checkpoint files of range layouts that are no longer referenced.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }

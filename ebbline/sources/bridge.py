@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ebbline.functions.scalars import cents, month_index, month_start
+from ebbline.schemas import INPUT_TABLES
 
 REFERENCE_DATE = "2001-08-01"
 LAST_ACTIVE_FROM = "2001-02-01"
@@ -28,7 +29,10 @@ TABLES = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    reader = spark.read
+    if name in INPUT_TABLES:
+        reader = reader.schema(INPUT_TABLES[name])
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def register_views(spark: SparkSession, sf_dir: str) -> None:

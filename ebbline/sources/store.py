@@ -40,9 +40,21 @@ def read_panel_csv(spark: SparkSession, path: str, schema: T.StructType) -> Data
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
+def _rebalanced(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """Bring rows of a partition together, in files of the advised size.
+
+    Adaptive execution splits a partition that holds a large part of all rows
+    over several tasks and joins small ones.
+    """
+    return df.hint("rebalance", *[F.col(c) for c in partition_by])
+
+
 def save_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str:
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    if partition_by:
+        writer = _rebalanced(df, partition_by).write.partitionBy(*partition_by)
+    else:
+        writer = df.write
+    writer.mode("overwrite").parquet(path)
     return path
 
 
@@ -213,10 +225,7 @@ def _append_months(root: str, panel: DataFrame, replace: bool) -> None:
     stamped = panel.withColumn("ingested_at", F.current_timestamp()).select(
         *[F.col(f.name).cast(f.dataType) for f in STORED_REVENUE]
     )
-    # One task may hold many months; the hash keeps a month in few files while
-    # a month holding most rows is still spread over several tasks.
-    spread = stamped.repartition("month", F.pmod(F.xxhash64("customerID"), F.lit(8)))
-    writer = spread.write.partitionBy("month")
+    writer = _rebalanced(stamped, ["month"]).write.partitionBy("month")
     if replace:
         writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     else:

@@ -14,17 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ebbline.operators import drift
-from ebbline.schemas import DRIFT_LOG
+from ebbline.schemas import DRIFT_LOG, INPUT_TABLES
 from ebbline.sources.store import save_table, upsert_snapshot
 
-EVENTS = T.StructType([
-    T.StructField("event_id", T.LongType()),
-    T.StructField("ts", T.TimestampNTZType()),
-    T.StructField("user_id", T.LongType()),
-    T.StructField("event_type", T.StringType()),
-    T.StructField("value", T.DoubleType()),
-    T.StructField("props", T.StringType()),
-])
+EVENTS = INPUT_TABLES["events"]
 
 
 def file_stream(

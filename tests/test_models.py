@@ -51,7 +51,7 @@ def test_folds_are_even_per_label(prepared):
 
 def test_order_split_is_exact(spark, subs):
     first, rest = splits.split_by_fraction(
-        subs.select("customer_id", "signup_date"), [F.col("signup_date"), F.col("customer_id")], 0.7
+        subs.select("customer_id", "signup_date"), ["signup_date", "customer_id"], 0.7
     )
     n = subs.count()
     assert (first.count(), rest.count()) == (int(n * 0.7), n - int(n * 0.7))
