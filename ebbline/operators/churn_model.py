@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.ml import Model
 from pyspark.ml.classification import (
@@ -21,39 +22,61 @@ from ebbline.operators.splits import stratified_folds
 Trainer = Callable[[DataFrame], Model]
 
 
-def _label_counts(train: DataFrame) -> tuple[int, int]:
-    row = train.agg(
-        F.count_if(F.col("label") == 0).alias("neg"), F.count_if(F.col("label") == 1).alias("pos")
-    ).first()
-    return row["neg"], row["pos"]
+@contextmanager
+def _balanced(train: DataFrame, weights: Callable[[int, int], tuple[float, float]]) -> Iterator[DataFrame]:
+    """Training rows kept in memory, with a `weight` per class.
 
-
-def _weighted(train: DataFrame, kept: float, churned: float) -> DataFrame:
-    return train.withColumn("weight", F.when(F.col("label") == 1, churned).otherwise(kept))
+    `weights` gets the numbers of kept and churned rows and returns the weight
+    of each. Fitting reads the rows many times.
+    """
+    level = train.storageLevel
+    cached_before = level.useMemory or level.useDisk
+    kept = train if cached_before else train.persist()
+    try:
+        row = kept.agg(
+            F.count_if(F.col("label") == 0).alias("neg"),
+            F.count_if(F.col("label") == 1).alias("pos"),
+        ).first()
+        if not row["neg"] or not row["pos"]:
+            raise ValueError("training needs rows of both classes")
+        negative, positive = weights(row["neg"], row["pos"])
+        yield kept.withColumn("weight", F.when(F.col("label") == 1, positive).otherwise(negative))
+    finally:
+        if not cached_before:
+            kept.unpersist()
 
 
-def train_logistic(train: DataFrame, strength: float = 0.5, max_iter: int = 1000) -> LogisticRegressionModel:
+def train_logistic(
+    train: DataFrame, strength: float = 0.5, max_iter: int = 1000
+) -> LogisticRegressionModel:
     """Standardised logistic regression with balanced classes.
 
     `strength` is the inverse regularisation of a summed loss. The loss here is
-    a weighted mean and the balanced weights add up to the row count.
+    a weighted mean and the balanced weights add up to the row count `n`, so
+    the penalty is divided by it.
     """
-    neg, pos = _label_counts(train)
-    n = neg + pos
-    return LogisticRegression(
-        weightCol="weight", standardization=True, maxIter=max_iter, regParam=1 / (strength * n)
-    ).fit(_weighted(train, n / (2 * neg), n / (2 * pos)))
+    n = 0
+
+    def balance(neg: int, pos: int) -> tuple[float, float]:
+        nonlocal n
+        n = neg + pos
+        return n / (2 * neg), n / (2 * pos)
+
+    with _balanced(train, balance) as rows:
+        return LogisticRegression(
+            weightCol="weight", standardization=True, maxIter=max_iter, regParam=1 / (strength * n)
+        ).fit(rows)
 
 
 def train_boosted(
     train: DataFrame, trees: int = 300, depth: int = 4, step: float = 0.05, seed: int = 42
 ) -> GBTClassificationModel:
     """Gradient-boosted trees; the churned class is weighted up to balance."""
-    neg, pos = _label_counts(train)
-    return GBTClassifier(
-        weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=0.8,
-        featureSubsetStrategy="0.8", seed=seed,
-    ).fit(_weighted(train, 1.0, neg / pos))
+    with _balanced(train, lambda neg, pos: (1.0, neg / pos)) as rows:
+        return GBTClassifier(
+            weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=0.8,
+            featureSubsetStrategy="0.8", seed=seed,
+        ).fit(rows)
 
 
 def score(model: Model, features: DataFrame, name: str = "score") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ebbline.operators import churn_model, features, splits
+from ebbline.operators import churn_model, features, splits, tree_attribution
 from ebbline.plans.registry import register
 from ebbline.sources import bridge, store
 
@@ -48,6 +48,16 @@ def feature_importance(spark, sf_dir):
     return churn_model.feature_importance(model, features.feature_names(table))
 
 
+@register("tree_contribution_ranking")
+def tree_contribution_ranking(spark, sf_dir):
+    table = _table(spark, sf_dir)
+    prepared = features.model_features(table)
+    model = churn_model.train_boosted(prepared, trees=20)
+    path = churn_model.save_model(model, store.scratch_path(spark, "model"))
+    parts = tree_attribution.tree_contributions(model, path, prepared)
+    return tree_attribution.contribution_ranking(parts, features.feature_names(table))
+
+
 @register("cross_validation")
 def cross_validation(spark, sf_dir):
     prepared = features.model_features(_table(spark, sf_dir))

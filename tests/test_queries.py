@@ -7,7 +7,10 @@ from conftest import SMALL
 from ebbline.plans import catalog
 
 # Model training is covered by test_models on the same data.
-SLOW = {"boosted_model", "feature_importance", "cross_validation", "retrain_and_compare"}
+SLOW = {
+    "boosted_model", "feature_importance", "tree_contribution_ranking", "cross_validation",
+    "retrain_and_compare",
+}
 
 
 @pytest.fixture(scope="module")
