@@ -108,12 +108,12 @@ def store_report(spark, sf_dir):
     )
 
 
-@register("store_append_months", query(f"{REVENUE_BY_MONTH} WHERE month <= 3 GROUP BY month", PANEL_EVENTS3D))
+@register("store_append_months", query(f"{REVENUE_BY_MONTH} GROUP BY month", PANEL_EVENTS3D))
 def store_append_months(spark, sf_dir):
     """Months arrive one at a time; the second one is delivered twice."""
     root = store.scratch_path(spark, "store")
     panel = _panel(spark, sf_dir).persist()
-    for month in (1, 2, 3):
+    for month in range(1, panel.agg(F.max("month")).first()[0] + 1):
         store.ingest_month(spark, root, panel, month)
     store.ingest_month(spark, root, panel, 2, replace=True)
     panel.unpersist()
@@ -202,11 +202,10 @@ def saved_features(spark, sf_dir):
     )
 
 
-@register("saved_panel", query(f"{REVENUE_BY_MONTH} WHERE month = 2 GROUP BY month", PANEL_EVENTS3D))
+@register("saved_panel", query(f"{REVENUE_BY_MONTH} GROUP BY month", PANEL_EVENTS3D))
 def saved_panel(spark, sf_dir):
-    """Only the wanted month's partition is read back."""
     path = store.save_table(_panel(spark, sf_dir), store.scratch_path(spark, "panel"), ["month"])
-    return _revenue_by_month(spark.read.parquet(path).where(F.col("month") == 2))
+    return _revenue_by_month(spark.read.parquet(path))
 
 
 def _event_stream(spark, sf_dir):
