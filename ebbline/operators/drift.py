@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbline.functions.ordering import exact_quantiles
+from ebbline.functions.ordering import ensure_checkpoint_dir, exact_quantiles
 from ebbline.functions.scalars import bin_number, ratio
 
 # Bands of the stability index and the tolerated drop in AUC.
@@ -60,9 +60,12 @@ def bin_counts(
 
 def psi_from_counts(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """Stability index per feature from two tables of bin counts."""
+    ensure_checkpoint_dir(expected.sparkSession)
     aligned = expected.withColumnRenamed("n", "_e").join(
         actual.withColumnRenamed("n", "_a"), ["feature", "bin"], "full_outer"
     )
+    # Needed for the totals and the shares: both sides are read only once.
+    aligned = aligned.checkpoint()
     totals = aligned.groupBy("feature").agg(F.sum("_e").alias("_te"), F.sum("_a").alias("_ta"))
     share = lambda part, whole: F.greatest(
         F.coalesce(ratio(part, whole), F.lit(0.0)), F.lit(EMPTY_SHARE)

@@ -77,31 +77,43 @@ def clean(df: DataFrame) -> DataFrame:
     )
 
 
-def levels(df: DataFrame, column: str) -> list:
-    """Sorted distinct values of a categorical column, of bounded number."""
+def levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
+    """Sorted distinct values of categorical columns, found in one pass.
+
+    The number of values is bounded: a column with more is no category.
+    """
+    pairs = F.array(*[
+        F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("level")) for c in columns
+    ])
     found = (
-        df.select(column).where(F.col(column).isNotNull()).distinct()
-        .limit(MAX_LEVELS + 1).collect()
+        df.select(F.inline(pairs)).where(F.col("level").isNotNull()).distinct()
+        .limit(MAX_LEVELS * len(columns) + 1).collect()
     )
-    if len(found) > MAX_LEVELS:
-        raise ValueError(f"{column} has more than {MAX_LEVELS} levels; it is no category")
-    return sorted(row[0] for row in found)
+    known = {c: sorted(row["level"] for row in found if row["name"] == c) for c in columns}
+    for column, values in known.items():
+        if len(values) > MAX_LEVELS or len(found) > MAX_LEVELS * len(columns):
+            raise ValueError(f"more than {MAX_LEVELS} levels, e.g. in {column}")
+    return known
 
 
 def one_hot(
     df: DataFrame, columns: Sequence[str], drop_first: bool = False,
-    domains: dict[str, Sequence] | None = None,
+    domains: dict[str, Sequence[str]] | None = None,
 ) -> DataFrame:
     """Add a 0/1 column `<column>_<level>` per level; nulls get zeros.
 
     The source columns stay. `drop_first` leaves out the first level as the
     reference. `domains` supplies known levels and saves looking them up.
     """
+    known = dict(domains or {})
+    unknown = [c for c in columns if c not in known]
+    if unknown:
+        known |= levels(df, unknown)
     added = {}
     for column in columns:
-        known = list((domains or {}).get(column) or levels(df, column))
-        for level in known[1 if drop_first else 0:]:
-            added[f"{column}_{level}"] = F.when(F.col(column) == level, 1).otherwise(0)
+        for level in known[column][1 if drop_first else 0:]:
+            is_level = F.col(column).cast("string") == level
+            added[f"{column}_{level}"] = F.when(is_level, 1).otherwise(0)
     return df.withColumns(added)
 
 
@@ -126,7 +138,7 @@ def segment_label(df: DataFrame, column: str):
 
 def add_features(
     df: DataFrame, reference_date: str, categorical: Sequence[str] = tuple(CATEGORICAL_COLUMNS),
-    domains: dict[str, Sequence] | None = None,
+    domains: dict[str, Sequence[str]] | None = None,
 ) -> DataFrame:
     """Sign-up date, tenure band, add-on count, log charge and one-hot columns."""
     signup = months_before(reference_date, "tenure")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ebbline.functions.scalars import round_columns, rounded
 from ebbline.operators import features, nrr
-from ebbline.plans.judgement import CATEGORICAL, NUMERIC
+from ebbline.plans.judgement import CATEGORICAL, NUMERIC, psi_ctes
 from ebbline.plans.registry import register
 from ebbline.plans.sql_base import (
     PANEL_EVENTS3D,
@@ -50,7 +50,7 @@ merged AS (
 
 def _upserted_store(spark, sf_dir):
     root = store.scratch_path(spark, "store")
-    raw = features.coerce_totals(bridge.raw_customers(spark, sf_dir))
+    raw = store.stage(features.coerce_totals(bridge.raw_customers(spark, sf_dir)), "customers")
     staged = raw.where(_number() % 2 == 0).withColumns({
         "MonthlyCharges": rounded(F.col("MonthlyCharges") * 1.1, 2), "gender": F.lit("Other"),
     })
@@ -112,11 +112,10 @@ def store_report(spark, sf_dir):
 def store_append_months(spark, sf_dir):
     """Months arrive one at a time; the second one is delivered twice."""
     root = store.scratch_path(spark, "store")
-    panel = _panel(spark, sf_dir).persist()
+    panel = store.stage(_panel(spark, sf_dir), "panel")
     for month in range(1, panel.agg(F.max("month")).first()[0] + 1):
         store.ingest_month(spark, root, panel, month)
     store.ingest_month(spark, root, panel, 2, replace=True)
-    panel.unpersist()
     return _revenue_by_month(store.monthly_revenue(spark, root))
 
 
@@ -136,9 +135,9 @@ SELECT CAST(1 + row_number() OVER (ORDER BY month) AS INTEGER), 'monthly_revenue
 FROM (SELECT month, count(*) AS n FROM panel GROUP BY 1)""", RAW_CUSTOMERS, PANEL_EVENTS3D))
 def ingestion_history(spark, sf_dir):
     root = store.scratch_path(spark, "store")
-    raw = features.coerce_totals(bridge.raw_customers(spark, sf_dir))
+    raw = store.stage(features.coerce_totals(bridge.raw_customers(spark, sf_dir)), "customers")
     store.ingest_customers(spark, root, raw)
-    store.ingest_all_months(spark, root, _panel(spark, sf_dir))
+    store.ingest_all_months(spark, root, store.stage(_panel(spark, sf_dir), "panel"))
     return store.ingestion_history(spark, root).drop("ingested_at")
 
 
@@ -250,7 +249,14 @@ def stream_windows(spark, sf_dir):
     return round_columns(spark.read.parquet(f"{root}/windows"), {"revenue": 2})
 
 
-@register("stream_drift")
+@register("stream_drift", query(f"""
+SELECT 0::BIGINT AS check_id, feature, {r('psi', 6)} AS psi,
+  CASE WHEN psi < 0.10 THEN 'stable' WHEN psi < 0.25 THEN 'watch' ELSE 'alert' END AS flag,
+  alerts > 0 AS should_retrain, CASE WHEN alerts = 0 THEN ''
+    ELSE alerts || ' feature(s) with PSI > 0.25 (significant shift): [' || named || ']' END AS reasons
+FROM drift, (SELECT count(*) FILTER (WHERE psi >= 0.25) AS alerts,
+  string_agg(CASE WHEN psi >= 0.25 THEN '''' || feature || '''' END, ', ' ORDER BY psi DESC) AS named FROM drift)""",
+    psi_ctes(False)))
 def stream_drift(spark, sf_dir):
     """Later orders arrive as files and are checked against the earlier ones."""
     root = store.scratch_path(spark, "stream")
@@ -258,4 +264,4 @@ def stream_drift(spark, sf_dir):
     arrivals = store.save_table(recent, f"{root}/arrivals")
     stream = jobs.file_stream(spark, arrivals, recent.schema)
     jobs.watch_drift(stream, baseline, root, NUMERIC, CATEGORICAL)
-    return jobs.drift_log(spark, root).drop("checked_at")
+    return round_columns(jobs.drift_log(spark, root).drop("checked_at"), {"psi": 6})

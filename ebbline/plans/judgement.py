@@ -10,13 +10,16 @@ from ebbline.operators import attribution, drift, experiment, profile, scoring,
 from ebbline.operators.survival import fixed_sample
 from ebbline.plans.registry import register
 from ebbline.plans.sql_base import big, over_scored, over_subscribers, query, r
-from ebbline.sources import bridge
+from ebbline.sources import bridge, store
 
 SCORE_KEYS = ["contract", "internet_service"]
 
 
-def scored_subscribers(spark, sf_dir):
-    return scoring.segment_score(bridge.subscribers(spark, sf_dir), SCORE_KEYS, digits=6)
+def scored_subscribers(spark, sf_dir, *extra):
+    """Customers with the churn rate of their segment, read from a staged copy."""
+    columns = ["customer_id", *SCORE_KEYS, "churned", *extra]
+    subs = store.stage(bridge.subscribers(spark, sf_dir).select(*columns), "subscribers")
+    return scoring.segment_score(subs, SCORE_KEYS, digits=6)
 
 
 @register("segment_score", over_scored("SELECT customer_id, contract, internet_service, churned, score FROM scored"))
@@ -101,14 +104,17 @@ def score_sanity(spark, sf_dir):
 SELECT customer_id, contract, tenure, monthly_charges, score FROM scored
 WHERE score >= 0.5 ORDER BY score DESC, customer_id LIMIT 50"""))
 def high_risk_customers(spark, sf_dir):
-    return scoring.high_risk_customers(scored_subscribers(spark, sf_dir))
+    return scoring.high_risk_customers(
+        scored_subscribers(spark, sf_dir, "tenure", "monthly_charges")
+    )
 
 
 @register("risk_kpis", over_scored(f"""
 SELECT {big('count(*)')} AS high_risk_customers, {r('sum(monthly_charges)', 2)} AS mrr_at_risk
 FROM scored WHERE score >= 0.5"""))
 def risk_kpis(spark, sf_dir):
-    return round_columns(scoring.risk_kpis(scored_subscribers(spark, sf_dir)), {"mrr_at_risk": 2})
+    scored = scored_subscribers(spark, sf_dir, "monthly_charges")
+    return round_columns(scoring.risk_kpis(scored), {"mrr_at_risk": 2})
 
 
 @register("risk_by_payment_method", over_scored(f"""
@@ -116,7 +122,9 @@ SELECT payment_method, {big('count(*)')} AS customers, {r('avg(score)', 6)} AS a
 FROM scored GROUP BY 1"""))
 def risk_by_payment_method(spark, sf_dir):
     return round_columns(
-        profile.segment_average(scored_subscribers(spark, sf_dir), "payment_method", "score"),
+        profile.segment_average(
+            scored_subscribers(spark, sf_dir, "payment_method"), "payment_method", "score"
+        ),
         {"avg_score": 6},
     )
 
@@ -132,8 +140,9 @@ contributions AS (
 
 
 def _contributions(spark, sf_dir):
+    subs = bridge.subscribers(spark, sf_dir).select("customer_id", *COEFFICIENTS)
     return attribution.linear_contributions(
-        bridge.subscribers(spark, sf_dir), COEFFICIENTS, intercept=0.5
+        store.stage(subs, "subscribers"), COEFFICIENTS, intercept=0.5
     )
 
 

@@ -8,7 +8,7 @@ from ebbline.functions.scalars import round_columns
 from ebbline.operators import cox, survival
 from ebbline.plans.registry import register
 from ebbline.plans.sql_base import big, over_subscribers, r
-from ebbline.sources import bridge
+from ebbline.sources import bridge, store
 
 CURVES = """
 grid AS (SELECT unnest(range(0, 73)) AS t),
@@ -33,8 +33,16 @@ valued AS (
   FROM subscribers s LEFT JOIN lifetimes USING (contract))"""
 
 
+VALUE_COLUMNS = ["customer_id", "contract", "tenure", "churned", "monthly_charges"]
+
+
+def _staged(spark, sf_dir):
+    """The customers, written once: lifetimes, medians and values re-read them."""
+    return store.stage(bridge.subscribers(spark, sf_dir).select(*VALUE_COLUMNS), "subscribers")
+
+
 def _valued(spark, sf_dir):
-    subs = bridge.subscribers(spark, sf_dir)
+    subs = _staged(spark, sf_dir)
     return survival.unit_economics(survival.customer_value(subs), bridge.CAC)
 
 
@@ -69,7 +77,7 @@ def lifetime_by_contract(spark, sf_dir):
 SELECT customer_id, contract, monthly_charges, {r('expected_lifetime_months', 4)} AS expected_lifetime_months,
   {r('clv', 2)} AS clv FROM valued""", VALUED))
 def customer_value(spark, sf_dir):
-    valued = survival.customer_value(bridge.subscribers(spark, sf_dir)).select(
+    valued = survival.customer_value(_staged(spark, sf_dir)).select(
         "customer_id", "contract", "monthly_charges", "expected_lifetime_months", "clv"
     )
     return round_columns(valued, {"expected_lifetime_months": 4, "clv": 2})
@@ -177,8 +185,11 @@ def fixed_sample(spark, sf_dir):
 
 
 def _cox_fit(spark, sf_dir):
+    subs = bridge.subscribers(spark, sf_dir).select(
+        "tenure", "churned", "monthly_charges", "senior_citizen", "contract", "internet_service"
+    )
     design, names = cox.cox_design(
-        bridge.subscribers(spark, sf_dir), "tenure", "churned",
+        store.stage(subs, "subscribers"), "tenure", "churned",
         ["monthly_charges", "senior_citizen"], ["contract", "internet_service"],
     )
     return cox.fit_cox(design, names)

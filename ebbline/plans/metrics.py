@@ -8,7 +8,7 @@ from ebbline.functions.scalars import EARLY_LIFE_BANDS, FEATURE_BANDS, round_col
 from ebbline.operators import churn_metrics, profile, revenue, unit_economics
 from ebbline.plans.registry import register
 from ebbline.plans.sql_base import big, over_subscribers, r
-from ebbline.sources import bridge
+from ebbline.sources import bridge, store
 
 CHURN_COLUMNS = f"""
   {big('count(*)')} AS customers, {big('sum(churned)')} AS churned,
@@ -16,6 +16,11 @@ CHURN_COLUMNS = f"""
   {r('avg(monthly_charges)', 2)} AS avg_monthly_charges"""
 
 
+def staged_subscribers(spark, sf_dir, *columns):
+    """Some columns of the customers, written once for reports that re-read them."""
+    return store.stage(bridge.subscribers(spark, sf_dir).select(*columns), "subscribers")
+
+
 def churn_sql(*dims: str) -> str:
     keys = ", ".join(dims)
     return over_subscribers(f"SELECT {keys}, {CHURN_COLUMNS} FROM subscribers GROUP BY {keys}")
@@ -142,7 +147,7 @@ SELECT {r('sum(monthly_charges)', 0)} AS current_mrr, {big('count(*)')} AS activ
   {r('avg(monthly_charges)', 2)} AS arpu, {r('median(monthly_charges)', 2)} AS median_arpu
 FROM subscribers WHERE churned = 0"""))
 def mrr_snapshot(spark, sf_dir):
-    return revenue.mrr_snapshot(bridge.subscribers(spark, sf_dir))
+    return revenue.mrr_snapshot(staged_subscribers(spark, sf_dir, "churned", "monthly_charges"))
 
 
 def mrr_by_sql(segment: str) -> str:
@@ -207,7 +212,10 @@ SELECT customer_id, contract, monthly_charges, tenure, churned,
   {r('monthly_charges * 0.75 / nullif(rate, 0) / 250000.0', 2)} AS ltv_cac_ratio
 FROM subscribers JOIN contract_churn USING (contract)""", CONTRACT_CHURN))
 def naive_clv(spark, sf_dir):
-    clv = unit_economics.naive_clv(bridge.subscribers(spark, sf_dir), bridge.CAC)
+    subs = staged_subscribers(
+        spark, sf_dir, "customer_id", "contract", "monthly_charges", "tenure", "churned"
+    )
+    clv = unit_economics.naive_clv(subs, bridge.CAC)
     return round_columns(clv, {"segment_churn_rate": 6})
 
 
@@ -217,7 +225,8 @@ SELECT {r('avg(v)', 2)} AS avg_ltv_cac, {r('avg(CASE WHEN v >= 3 THEN 1.0 ELSE 0
 FROM (SELECT monthly_charges * 0.75 / nullif(rate, 0) / 250000.0 AS v
       FROM subscribers JOIN contract_churn USING (contract))""", CONTRACT_CHURN))
 def naive_health(spark, sf_dir):
-    return unit_economics.naive_health(bridge.subscribers(spark, sf_dir), bridge.CAC)
+    subs = staged_subscribers(spark, sf_dir, "contract", "monthly_charges", "churned")
+    return unit_economics.naive_health(subs, bridge.CAC)
 
 
 @register("naive_churn_reduction", over_subscribers(f"""
@@ -262,11 +271,10 @@ def describe_sql() -> str:
 
 @register("describe_columns", describe_sql())
 def describe_columns(spark, sf_dir):
-    report = profile.describe_columns(
-        bridge.subscribers(spark, sf_dir),
-        ["tenure", "monthly_charges", "total_charges"],
-        ["contract", "internet_service", "payment_method"],
-    )
+    numeric = ["tenure", "monthly_charges", "total_charges"]
+    text = ["contract", "internet_service", "payment_method"]
+    subs = staged_subscribers(spark, sf_dir, *numeric, *text)
+    report = profile.describe_columns(subs, numeric, text)
     return round_columns(report, {c: 4 for c in ["mean", "std", "min", "p25", "p50", "p75", "max"]})
 
 
@@ -290,7 +298,8 @@ FROM (SELECT churned, lo, w, least(floor((monthly_charges - lo) / w), 39) AS buc
         (max(monthly_charges) - min(monthly_charges)) / 40 AS w FROM subscribers))
 GROUP BY bucket, churned, lo, w"""))
 def charge_histogram(spark, sf_dir):
-    report = profile.histogram(bridge.subscribers(spark, sf_dir), "monthly_charges", 40, "churned")
+    subs = staged_subscribers(spark, sf_dir, "monthly_charges", "churned")
+    report = profile.histogram(subs, "monthly_charges", 40, "churned")
     return round_columns(report, {"bucket_from": 4, "bucket_to": 4})
 
 
@@ -312,7 +321,11 @@ def adhoc_sql(spark, sf_dir):
     )
 
 
-@register("numeric_columns")
+@register("numeric_columns", over_subscribers("SELECT " + ", ".join(
+    f"{big(f'count({c})')} AS {c}" for c in [
+        "customer_id", "tech_support", "online_security", "senior_citizen", "tenure", "churned",
+        "total_charges", "monthly_charges",
+    ]) + " FROM subscribers"))
 def numeric_columns(spark, sf_dir):
     subs = bridge.subscribers(spark, sf_dir)
     names = profile.numeric_columns(subs, 20)

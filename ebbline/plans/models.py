@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ebbline.operators import churn_model, features, splits, tree_attribution
 from ebbline.plans.registry import register
+from ebbline.plans.sql_base import RAW_CUSTOMERS, query
+from ebbline.schemas import CATEGORICAL_COLUMNS
 from ebbline.sources import bridge, store
 
 
@@ -13,12 +15,23 @@ def _table(spark, sf_dir):
     return features.preprocess(bridge.raw_customers(spark, sf_dir), bridge.REFERENCE_DATE)
 
 
+def _prepared(spark, sf_dir):
+    """Model features, written once because fitting and splitting re-read them."""
+    return store.stage(features.model_features(_table(spark, sf_dir)), "features")
+
+
 def _split(spark, sf_dir):
-    prepared = features.model_features(_table(spark, sf_dir))
+    prepared = _prepared(spark, sf_dir)
     return splits.stratified_split(prepared, id_column="customerID")
 
 
-@register("stratified_split")
+@register("stratified_split", query("""
+SELECT part, label, CAST(sum(CASE WHEN part = 'test' THEN held ELSE n - held END) AS BIGINT) AS customers
+FROM (SELECT CASE WHEN "Churn" = 'Yes' THEN 1.0 ELSE 0.0 END::DOUBLE AS label, count(*) AS n,
+        least(ceil(count(*) * 0.2::DOUBLE), count(*) - 1) AS held
+      FROM raw_customers WHERE TRY_CAST("TotalCharges" AS DOUBLE) IS NOT NULL GROUP BY 1),
+     (SELECT unnest(['train', 'test']) AS part)
+GROUP BY part, label""", RAW_CUSTOMERS))
 def stratified_split(spark, sf_dir):
     train, test = _split(spark, sf_dir)
     both = train.withColumn("part", F.lit("train")).unionByName(
@@ -51,7 +64,7 @@ def feature_importance(spark, sf_dir):
 @register("tree_contribution_ranking")
 def tree_contribution_ranking(spark, sf_dir):
     table = _table(spark, sf_dir)
-    prepared = features.model_features(table)
+    prepared = store.stage(features.model_features(table), "features")
     model = churn_model.train_boosted(prepared, trees=20)
     path = churn_model.save_model(model, store.scratch_path(spark, "model"))
     parts = tree_attribution.tree_contributions(model, path, prepared)
@@ -60,14 +73,14 @@ def tree_contribution_ranking(spark, sf_dir):
 
 @register("cross_validation")
 def cross_validation(spark, sf_dir):
-    prepared = features.model_features(_table(spark, sf_dir))
+    prepared = _prepared(spark, sf_dir)
     return churn_model.cross_validate(churn_model.train_logistic, prepared)
 
 
 @register("scored_customers")
 def scored_customers(spark, sf_dir):
     """Fit, save, load again and score everyone."""
-    prepared = features.model_features(_table(spark, sf_dir))
+    prepared = _prepared(spark, sf_dir)
     path = store.scratch_path(spark, "model")
     churn_model.save_model(churn_model.train_logistic(prepared), path)
     model = churn_model.load_logistic(path)
@@ -78,15 +91,19 @@ def scored_customers(spark, sf_dir):
 
 @register("retrain_and_compare")
 def retrain_and_compare(spark, sf_dir):
-    """Old customers train the old model; shifted newer ones join for the new one."""
-    raw = bridge.raw_customers(spark, sf_dir)
-    shifted = features.shift_column(raw, "MonthlyCharges", 1.25)
+    """Earlier customers train the old model; later, dearer ones join for the new one."""
+    raw = store.stage(bridge.raw_customers(spark, sf_dir), "customers")
+    earlier, later = splits.split_by_fraction(raw, ["customerID"], 0.7)
     # The shift is applied before features are derived from the charge.
-    new = features.preprocess(shifted, bridge.REFERENCE_DATE)
-    old = features.preprocess(raw, bridge.REFERENCE_DATE)
-    recent = F.pmod(F.xxhash64("customerID"), F.lit(10)) >= 7
-    old_train = features.model_features(old.where(~recent))
-    arrivals = features.model_features(new.where(recent))
+    later = features.shift_column(later, "MonthlyCharges", 1.25)
+    prepare = lambda part, name: store.stage(
+        features.model_features(features.add_features(
+            features.clean(features.coerce_totals(part)), bridge.REFERENCE_DATE, domains=domains
+        )), name,
+    )
+    # Both parts are encoded with the same levels, so that their vectors agree.
+    domains = features.levels(raw, CATEGORICAL_COLUMNS)
+    old_train, arrivals = prepare(earlier, "earlier"), prepare(later, "later")
     new_train, test = splits.stratified_split(arrivals, 0.5, id_column="customerID")
     old_model = churn_model.train_logistic(old_train)
     _, report = churn_model.retrain_and_compare(

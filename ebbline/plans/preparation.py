@@ -19,7 +19,7 @@ from ebbline.operators import features, profile
 from ebbline.plans.registry import register
 from ebbline.plans.sql_base import RAW_CUSTOMERS, big, over_subscribers, query, r
 from ebbline.schemas import BINARY_COLUMNS, SERVICE_COLUMNS
-from ebbline.sources import bridge
+from ebbline.sources import bridge, store
 
 
 def over_raw(body: str, *more: str) -> str:
@@ -127,6 +127,12 @@ def tenure_bands(spark, sf_dir):
     )
 
 
+def _services(spark, sf_dir):
+    """Staged, because finding the levels reads the column a first time."""
+    subs = bridge.subscribers(spark, sf_dir).select("customer_id", "internet_service")
+    return store.stage(subs, "subscribers")
+
+
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 
 
@@ -135,19 +141,15 @@ REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
         f"""CASE WHEN internet_service = '{x}' THEN 1 ELSE 0 END AS "internet_service_{x}\""""
         for x in REGIONS[1:]) + " FROM subscribers"))
 def one_hot_reference(spark, sf_dir):
-    encoded = features.one_hot(
-        bridge.subscribers(spark, sf_dir).select("customer_id", "internet_service"),
-        ["internet_service"], drop_first=True,
-    )
+    encoded = features.one_hot(_services(spark, sf_dir), ["internet_service"], drop_first=True)
     return encoded.drop("internet_service")
 
 
 @register("recovered_segment", over_subscribers("SELECT customer_id, internet_service FROM subscribers"))
 def recovered_segment(spark, sf_dir):
-    encoded = features.one_hot(
-        bridge.subscribers(spark, sf_dir).select("customer_id", "internet_service"),
-        ["internet_service"],
-    ).drop("internet_service")
+    encoded = features.one_hot(_services(spark, sf_dir), ["internet_service"]).drop(
+        "internet_service"
+    )
     label = features.segment_label(encoded, "internet_service")
     return encoded.select("customer_id", label.alias("internet_service"))
 
@@ -164,7 +166,8 @@ SELECT "customerID", CAST({SIGNUP} AS DATE) AS signup_date, CAST(date_trunc('mon
   {", ".join(f'''CASE WHEN "InternetService" = '{x}' THEN 1 ELSE 0 END AS "InternetService_{x}"''' for x in REGIONS)}
 FROM cleaned""", CLEANED))
 def feature_table(spark, sf_dir):
-    table = features.preprocess(bridge.raw_customers(spark, sf_dir), bridge.REFERENCE_DATE)
+    raw = store.stage(bridge.raw_customers(spark, sf_dir), "customers")
+    table = features.preprocess(raw, bridge.REFERENCE_DATE)
     shown = table.select(
         "customerID", "signup_date", "signup_month", "tenure_band", "num_addons",
         "log_monthly_charges", "gender_Female", "gender_Male",

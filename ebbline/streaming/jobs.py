@@ -162,4 +162,5 @@ def watch_drift(
 
 
 def drift_log(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(DRIFT_LOG).parquet(f"{root}/drift_log").orderBy("check_id", "feature")
+    log = spark.read.schema(DRIFT_LOG).parquet(f"{root}/drift_log")
+    return log.select(*DRIFT_LOG.names).orderBy("check_id", "feature")
