@@ -141,6 +141,22 @@ def ingestion_history(spark, sf_dir):
     return store.ingestion_history(spark, root).drop("ingested_at")
 
 
+@register("recreated_table", query(f"""
+SELECT "Contract" AS contract, {big('count(*)')} AS customers, {r('sum("MonthlyCharges")', 2)} AS mrr
+FROM raw_customers WHERE TRY_CAST("TotalCharges" AS DOUBLE) IS NOT NULL GROUP BY 1""", RAW_CUSTOMERS))
+def recreated_table(spark, sf_dir):
+    """The typed customer table, created twice under the same name."""
+    root = store.scratch_path(spark, "typed")
+    raw = bridge.raw_customers(spark, sf_dir)
+    typed = store.stage(features.typed_customers(raw, bridge.REFERENCE_DATE), "typed")
+    name = "customers_" + root[-8:]
+    for _ in range(2):
+        table = store.replace_table(typed, name, f"{root}/table", key="customerID", buckets=8)
+    return table.groupBy("contract").agg(
+        F.count(F.lit(1)).alias("customers"), rounded(F.sum("monthly_charges"), 2).alias("mrr")
+    )
+
+
 @register("declared_tables", query(f"""
 SELECT 'customers' AS table_name, {big('count(*)')} AS n_rows FROM raw_customers
 UNION ALL SELECT 'monthly_revenue', {big('count(*)')} FROM panel

@@ -69,6 +69,21 @@ def save_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> st
     return path
 
 
+def replace_table(
+    df: DataFrame, name: str, path: str, key: str | None = None, buckets: int = 64
+) -> DataFrame:
+    """(Re)create a catalog table from a query; running it again is harmless.
+
+    With `key`, rows are bucketed and sorted by it, so that later joins and
+    aggregations on the key need no shuffle.
+    """
+    writer = df.write.mode("overwrite").format("parquet").option("path", path)
+    if key is not None:
+        writer = writer.bucketBy(buckets, key).sortBy(key)
+    writer.saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def _fs(spark: SparkSession, path: str):
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path

@@ -102,3 +102,15 @@ def test_drift_is_logged_per_batch(spark, root):
     jobs.watch_drift(stream, baseline, root, ["v"])
     flags = [r["flag"] for r in jobs.drift_log(spark, root).collect()]
     assert sorted(flags) == ["alert", "stable"]
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, root):
+    rows = spark.range(1000).select("id", (F.col("id") % 7).alias("v"))
+    left = store.replace_table(rows, "bucketed_left", f"{root}/left", "id", 8)
+    right = store.replace_table(rows, "bucketed_right", f"{root}/right", "id", 8)
+    joined = left.join(right.hint("merge"), "id").groupBy("id").agg(F.sum(left["v"]).alias("v"))
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert joined.count() == 1000
+    # Creating it again replaces the rows.
+    assert store.replace_table(rows.limit(10), "bucketed_left", f"{root}/left", "id", 8).count() == 10
