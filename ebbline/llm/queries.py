@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbline.llm import chat, contamination, covering_simhash, packing, sharding, url_rules
+from ebbline.llm import (
+    chat,
+    contamination,
+    covering_simhash,
+    neighbours,
+    packing,
+    sharding,
+    url_rules,
+)
 from ebbline.llm.common import crc32_text, read_table, remainder, utf8  # noqa: F401
 
 QUERIES: dict = {}
@@ -22,6 +30,14 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+# ── 1: approximate nearest neighbours ────────────────────────────────────────
+
+@register("op1_neighbours")
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = read_table(spark, sf_dir, "embeddings")
+    return neighbours.nearest_neighbours(table, F.col("id") % 20 == 0, k=20)
+
+
 # ── 2: benchmark decontamination ─────────────────────────────────────────────
 
 @register("op2_decontamination", r"""
