@@ -9,9 +9,12 @@ from ebbline.llm import (
     chat,
     contamination,
     covering_simhash,
+    language_id,
     neighbours,
+    ordinal_quality,
     packing,
     sharding,
+    toxicity,
     url_rules,
 )
 from ebbline.llm.common import crc32_text, read_table, remainder, utf8  # noqa: F401
@@ -76,11 +79,32 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         contamination.items_digest("hit_items").alias("items_sha256"), "contaminated")
 
 
+# ── 3: quality classifier ────────────────────────────────────────────────────
+
+@register("op3_quality")
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades 0: low quality, 1: good but toxic, 2: good. Selected: likely 1 or better.
+
+    Learned from labels whose crc32(doc_id) mod 5 is not 0; the rest is held out.
+    """
+    ratings = read_table(spark, sf_dir, "labels").select(
+        "doc_id", F.when(F.col("quality") == 0, 0).otherwise(2 - F.col("toxic")).alias("grade"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ordinal_quality.fit_quality(docs, ratings, remainder("doc_id", 5) != 0)
+    return ordinal_quality.score_quality(docs, model, wanted=1).select(
+        "doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
+        "expected_grade", "tail_probability", "selected")
+
+
 # ── 4: packing ───────────────────────────────────────────────────────────────
 
 @register("op4_packing")
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack_documents(read_table(spark, sf_dir, "documents"), packing_tokenizer())
+    return packed_pieces(read_table(spark, sf_dir, "documents"))
+
+
+def packed_pieces(docs: DataFrame) -> DataFrame:
+    packed = packing.pack_documents(docs, packing_tokenizer())
     return packed.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
         "sequence_id", "offset")
@@ -179,6 +203,41 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "host", "path", F.when(F.col("listed"), F.col("rule")).alias("rule"), "verdict")
 
 
+# ── 8: language identification ───────────────────────────────────────────────
+
+def fitted_language_reader(spark: SparkSession, sf_dir: str):
+    """Learned from the documents that the contract lets be learned from."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language_id.fit_language_reader(docs, remainder("doc_id", 3) != 1)
+
+
+@register("op8_language_id")
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reader = fitted_language_reader(spark, sf_dir)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return language_id.predict_language(docs, reader).select(
+        "doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"),
+        "lang_pred", "score")
+
+
+# ── 9: toxicity ──────────────────────────────────────────────────────────────
+
+def fitted_toxicity(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
+    """Learned from the labels that the contract lets be learned from."""
+    return toxicity.fit_toxicity(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"),
+        remainder("doc_id", 5) != 0)
+
+
+@register("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = fitted_toxicity(spark, sf_dir)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score_toxicity(docs, model).select(
+        "doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
+        "score", "predicted")
+
+
 # ── 10: sharding ─────────────────────────────────────────────────────────────
 
 @register("op10_sharding")
