@@ -121,6 +121,16 @@ class WordTokenizer:
         return b"".join(out)
 
 
+_TOKENIZERS: dict[str, WordTokenizer] = {}
+
+
+def tokenizer_for(path: str) -> WordTokenizer:
+    """One tokenizer for each worker process, so that tasks share what it remembers."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordTokenizer(path)
+    return _TOKENIZERS[path]
+
+
 class SlackPool:
     """Waiting lengths, and the choice of the next window's content."""
 
@@ -223,7 +233,7 @@ def pack_documents(
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        words = WordTokenizer(tokenizer)
+        words = tokenizer_for(tokenizer)
         writer = _Writer(to_arrow_schema(schema), TaskContext.get().partitionId() << 33)
         pool, waiting, number = SlackPool(capacity), {}, 0
         for batch in batches:
