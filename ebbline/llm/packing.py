@@ -76,12 +76,11 @@ class WordTokenizer:
     def _core_ids(self, core: str) -> list[int]:
         """Ids of one run. Letters need no splitting and go to the model directly."""
         if core.isalpha():
-            if not core.isascii():
-                core = unicodedata.normalize("NFC", core).lower()
+            small = core if core.isascii() else unicodedata.normalize("NFC", core).lower()
             # Lower-casing can leave marks (a dotted I), and the capital sigma depends on
             # its neighbours: these take the whole way below.
-            if core.isascii() or core.isalpha() and not _SIGMAS.intersection(core):
-                letters = core.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            if small.isascii() or small.isalpha() and not _SIGMAS.intersection(small):
+                letters = small.encode().decode("latin-1").translate(_BYTE_LETTERS)
                 return [t.id for t in self.inner.model.tokenize(letters)]
         return self.inner.encode(core, add_special_tokens=False).ids
 

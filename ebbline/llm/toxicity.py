@@ -58,6 +58,7 @@ KINDS = ("whole", "whole_fuzzy", "stem", "stem_fuzzy")
 WINDOW_WORDS = 8
 MEMO_WORDS = 500_000
 _WORD_SPANS = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+_RUNS = re.compile(r"[^\W_]+")
 _PAIRED = ((b"\xe2\x80\x9c", b"\xe2\x80\x9d"), (b"\xc2\xab", b"\xc2\xbb"), (b"\xe2\x80\x9e", b"\xe2\x80\x9c"))
 
 
@@ -151,6 +152,11 @@ class LexiconAutomaton:
 
 
 
+def letter_runs(word: bytes) -> list[str]:
+    """The runs of letters and digits in a word: non-ASCII quotes and dashes go."""
+    return _RUNS.findall(word.decode("utf-8", "replace"))
+
+
 class HitFinder:
     """Features of whole texts; remembers the kinds of words it has seen."""
 
@@ -165,7 +171,8 @@ class HitFinder:
                 self.kinds.clear()
             for word in set(words):
                 if word not in self.kinds:
-                    self.kinds[word] = self.automaton.kind(word.decode("utf-8", "replace"))
+                    kinds = [self.automaton.kind(w) for w in letter_runs(word)]
+                    self.kinds[word] = min((k for k in kinds if k), key=(0, 1, 3, 2, 4).index, default=0)
             found = list(map(self.kinds.__getitem__, words))
         return found
 
@@ -179,10 +186,8 @@ class HitFinder:
         out = []
         for i, kind in enumerate(kinds):
             if kind:
-                near = {
-                    w.decode("utf-8", "replace")
-                    for w in words[max(0, i - WINDOW_WORDS): i + WINDOW_WORDS + 1]
-                }
+                window = words[max(0, i - WINDOW_WORDS): i + WINDOW_WORDS + 1]
+                near = {run for w in window for run in letter_runs(w)}
                 out.append((
                     spans[i][0], spans[i][1], kind - 1, quoted(text, *spans[i]),
                     not REPORTING.isdisjoint(near), not ADDRESS.isdisjoint(near)))
@@ -202,12 +207,18 @@ class HitFinder:
 
 
 def quoted(text: bytes, start: int, stop: int) -> bool:
-    """Whether a span lies in quotation marks that open and close on its line."""
+    """Whether a span lies in quotation marks that open and close on its line.
+
+    Typographic quotes touch their word, so they may be inside the span.
+    """
     low = text.rfind(b"\n", 0, start) + 1
     high = text.find(b"\n", stop)
     before, after = text[low:start], text[stop:high if high >= 0 else len(text)]
     if before.count(b'"') % 2 and b'"' in after:
         return True
+    inside = text[start:stop]
+    middle = max(1, len(inside) // 2)
+    before, after = before + inside[:middle], inside[middle:] + after
     return any(
         before.rfind(opens) > before.rfind(closes) and closes in after for opens, closes in _PAIRED)
 
@@ -314,7 +325,7 @@ def fit_toxicity(
         sample.select(id_column, "_label", "_fold", distinct_words(utf8(text)).alias("w"))
         .orderBy(id_column).toLocalIterator()
     ):
-        words[row["_fold"], row["_label"]].append({bytes(w).decode("utf-8", "replace") for w in row["w"]})
+        words[row["_fold"], row["_label"]].append({run for w in row["w"] for run in letter_runs(bytes(w))})
     terms = tuple(learn_terms(words[0, 1] + words[1, 1], words[0, 0] + words[1, 0]))
     found = []
     for own in (0, 1):

@@ -47,7 +47,7 @@ def test_documents_against_brute_force(spark, block_words):
     items = [(i, words(rng, rng.randint(1, 30), "abcdefghij")) for i in range(12)] + [(50, None), (51, ""), (52, " , ")]
     items.append((60, items[0][1]))
     rows = [(1, None), (2, ""), (3, "!!"), (4, items[3][1].upper()), (4, items[3][1].upper()), (None, "a b")]
-    rows += [(10 + i, words(rng, rng.randint(1, 300), "abcdefghij") + " " + rng.choice(items)[1] if i % 3 else "q " * 5000)
+    rows += [(10 + i, words(rng, rng.randint(1, 300), "abcdefghij") + " " + items[rng.randrange(12)][1] if i % 3 else "q " * 5000)
              for i in range(12) if items[i][1]]
     rows = [(i, t, "clash", 1, "x") for i, t in rows]
     docs, bench = spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")
