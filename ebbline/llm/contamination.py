@@ -7,10 +7,11 @@ marks its words as hit, an item shorter than the window counts as one window of
 length. Spans of hit words are removed where they are longer than `max_span`, and a
 document is rejected where hits cover more than `coverage` of it.
 
-Items are cut into blocks of at most `block_words` words (a longer item into pieces that
-overlap by a window less one word), so that an automaton has a bounded size whatever the
-benchmark's. Each block is one pass over the documents; hits are united per document.
-The usual benchmark is one block.
+Items are cut into blocks of about `block_words` words at most (a longer item into pieces
+that overlap by a window less one word), each sent to the tasks by itself, so that an
+automaton has a bounded size whatever the benchmark's. A task keeps KEPT_AUTOMATA of them
+and rebuilds the others for each batch of documents; hits of all blocks are united per
+document. The usual benchmark is one block.
 
 Defined results: a null or empty text has no words, is never hit and is returned as it
 is. Items without words are ignored, items of equal text all count. Null item ids are
@@ -33,6 +34,8 @@ from ebbline.llm.common import replace_columns, stage, utf8, word_bytes
 
 WINDOW = 13
 BLOCK_WORDS = 100_000
+KEPT_AUTOMATA = 4
+NO_ID = "\0"  # stands for a null item id, whose windows count but whose id is not listed
 
 _WORD_SPANS = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 HITS = "struct<n_words:bigint,spans:array<struct<first:int,last:int>>,items:array<string>>"
@@ -176,29 +179,56 @@ class SuffixAutomaton:
         return spans, items
 
 
-def _hit_column(text: str, block: DataFrame, window: int) -> Column:
-    """An Arrow function with the hits of one block of items in each text."""
-    items = [(r["item"], word_bytes(bytes(r["text"]))) for r in block.collect()]
-    spark = block.sparkSession
-    sent = spark.sparkContext.broadcast(items)
+def join_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans; those that touch or overlap are one."""
+    out: list[tuple[int, int]] = []
+    for first, last in sorted(spans):
+        if out and first <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], last))
+        else:
+            out.append((first, last))
+    return out
+
+
+def _hit_column(text: str, blocks: list[DataFrame], window: int) -> Column:
+    """An Arrow function with the hits of all blocks of items in each text."""
+    context = blocks[0].sparkSession.sparkContext
+    sent = [
+        context.broadcast([
+            (NO_ID if r["item"] is None else r["item"], bytes(r["text"]).split()) for r in block.collect()])
+        for block in blocks
+    ]
 
     @F.arrow_udf(HITS)
     def compute(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        automaton = SuffixAutomaton.build(sent.value, window)
+        kept: dict[int, SuffixAutomaton] = {}
         kind = pa.struct([
             ("n_words", pa.int64()),
             ("spans", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))),
             ("items", pa.list_(pa.string())),
         ])
         for texts in batches:
+            sizes = [0] * len(texts)
+            found: dict[int, tuple[list[tuple[int, int]], set[str]]] = {}
+            for b, block in enumerate(sent):
+                automaton = kept.get(b) or SuffixAutomaton.build(block.value, window)
+                if b < KEPT_AUTOMATA:
+                    kept[b] = automaton
+                for i, t in enumerate(texts):
+                    words = word_bytes(t.as_py() or b"")
+                    sizes[i] = len(words)
+                    spans, items = automaton.hits(words)
+                    if spans:
+                        before = found.setdefault(i, ([], set()))
+                        before[0].extend(spans)
+                        before[1].update(items)
             rows = []
-            for t in texts:
-                words = word_bytes(t.as_py() or b"")
-                spans, found = automaton.hits(words)
+            for i, n in enumerate(sizes):
+                spans, items = found.get(i, ([], set()))
                 rows.append({
-                    "n_words": len(words),
-                    "spans": [{"first": a, "last": b} for a, b in spans],
-                    "items": sorted(found),
+                    "n_words": n,
+                    "spans": [{"first": a, "last": z} for a, z in join_spans(spans)],
+                    "items": sorted(items - {NO_ID}),
                 })
             yield pa.array(rows, type=kind)
 
@@ -241,10 +271,8 @@ def find_hits(
 ) -> DataFrame:
     """Add n_words, n_hit, hit_spans (word positions) and hit_items to each document."""
     blocks = _item_blocks(benchmark, window, block_words)
-    hits = [_hit_column(text, block, window) for block in blocks]
-    named = replace_columns(docs, {"_hits": F.array(*hits)})
-    united = _unite(F.col("_hits"))
-    return replace_columns(named.withColumn("_hits", united), {
+    named = replace_columns(docs, {"_hits": _hit_column(text, blocks, window)})
+    return replace_columns(named, {
         "n_words": F.col("_hits.n_words"),
         "n_hit": F.aggregate(
             "_hits.spans", F.lit(0).cast("long"),
@@ -254,29 +282,6 @@ def find_hits(
     }).drop("_hits")
 
 
-def _unite(blocks: Column) -> Column:
-    """The hits of all blocks of items in one: spans that touch are joined."""
-
-    @F.arrow_udf(HITS)
-    def compute(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for parts in batches:
-            rows = []
-            for row in parts.to_pylist():
-                spans: list[dict] = []
-                for s in sorted((s for part in row for s in part["spans"]), key=lambda s: s["first"]):
-                    if spans and s["first"] <= spans[-1]["last"] + 1:
-                        spans[-1]["last"] = max(spans[-1]["last"], s["last"])
-                    else:
-                        spans.append(dict(s))
-                rows.append({
-                    "n_words": row[0]["n_words"], "spans": spans,
-                    "items": sorted({i for part in row for i in part["items"]}),
-                })
-            yield pa.array(rows, type=parts.type.value_type)
-
-    return compute.asNondeterministic()(blocks)
-
-
 def cut_spans(text: bytes, spans: list[tuple[int, int]], max_span: int) -> bytes:
     """The text without its hit spans of more than `max_span` words."""
     at = [m.span() for m in _WORD_SPANS.finditer(text)]

@@ -4,19 +4,19 @@ The lexicon's terms form a trie; a term is a whole word or a stem. A word is rea
 intersection of that trie with the Levenshtein automata of all terms: a state is the set
 of (trie node, edits spent) that the letters so far can reach, states are made when first
 met, and a word that leaves every term's reach is dropped after a few letters. Whole words
-and stems of `fuzzy_from` letters or more are also found with one letter changed, added,
-left out, or two neighbours swapped.
+of `fuzzy_from` letters or more are also found with one letter changed, added, left out, or
+two neighbours swapped; stems are short pieces of many clean words too and are not.
 
 Each hit is judged in its context window: in quotation marks on its line, near a verb of
-reporting, near an address to someone. Hits of each kind, quoted and not, exact and
-misspelled, are features of a logistic score, so that quotation and abuse weigh differently
-as far as the labels say so.
+reporting, near an address to someone. A hit counts with its term's weight, the log-odds of
+the term among toxic documents. Sums of hits by kind, quoted and not, exact and misspelled,
+are features of a logistic score, so that quotation and abuse weigh differently as far as
+the labels say so.
 
 The lexicon is BASE_TERMS and what labels teach, from a bounded sample: at most
 `sample_docs` documents of each label, those of the smallest hash. A greedy cover picks the
-word or stem that most of the toxic documents not yet covered hold and (nearly) no clean
-one does; copies of one toxic text therefore add no terms beyond the first that explains
-them. The context weights are fitted on two folds, each with terms from the other one, so
+word or stem that gains most toxic documents not yet covered for the clean ones it costs;
+copies of one toxic text therefore add no terms beyond the first that explains them. The context weights are fitted on two folds, each with terms from the other one, so
 a term that fits its own examples by chance earns no trust. Scoring reads whole texts.
 
 Defined results: a null or empty text has no hits and gets the score of a document without
@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -54,7 +54,7 @@ BASE_TERMS = (
     "imbécile débile ordure minable dummkopf trottel abschaum versager erbärmlich widerlich".split()
 )
 
-KINDS = ("whole", "whole_fuzzy", "stem", "stem_fuzzy")
+KINDS = ("whole", "misspelled", "stem")
 WINDOW_WORDS = 8
 MEMO_WORDS = 500_000
 _WORD_SPANS = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -66,6 +66,7 @@ _PAIRED = ((b"\xe2\x80\x9c", b"\xe2\x80\x9d"), (b"\xc2\xab", b"\xc2\xbb"), (b"\x
 class Term:
     text: str
     stem: bool = False
+    weight: float = 1.0
 
 
 class LexiconAutomaton:
@@ -73,10 +74,11 @@ class LexiconAutomaton:
 
     def __init__(self, terms: Iterable[Term], fuzzy_from: int = 5, edits: int = 1) -> None:
         self.children: list[dict[str, int]] = [{}]
-        self.ends: list[set[tuple[bool, int]]] = [set()]  # (stem, edits allowed)
+        self.terms = list(terms)
+        self.ends: list[set[tuple[bool, int, int]]] = [set()]  # (stem, edits allowed, term)
         self.reach = [0]  # most edits allowed by any term below a node
-        for term in terms:
-            allowed = edits if len(term.text) >= fuzzy_from else 0
+        for number, term in enumerate(self.terms):
+            allowed = edits if len(term.text) >= fuzzy_from and not term.stem else 0
             node = 0
             self.reach[0] = max(self.reach[0], allowed)
             for letter in term.text:
@@ -87,7 +89,7 @@ class LexiconAutomaton:
                     self.reach.append(0)
                 node = self.children[node][letter]
                 self.reach[node] = max(self.reach[node], allowed)
-            self.ends[node].add((term.stem, allowed))
+            self.ends[node].add((term.stem, allowed, number))
         self.numbers: dict[frozenset, int] = {}
         self.states: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
@@ -120,7 +122,7 @@ class LexiconAutomaton:
                 if letter == swap:
                     after.add((node, spent, ""))
                 continue
-            if any(stem and spent <= allowed for stem, allowed in self.ends[node]):
+            if any(stem and spent <= allowed for stem, allowed, _ in self.ends[node]):
                 after.add((node, spent, ""))  # a stem goes on with anything
             for own, child in self.children[node].items():
                 if own == letter:
@@ -133,23 +135,26 @@ class LexiconAutomaton:
         closed = self._closed(after)
         return self._number(closed) if closed else -1
 
-    def kind(self, word: str) -> int:
-        """0 for no hit, else 1 + the place in KINDS of the best match."""
+    def match(self, word: str) -> tuple[int, float] | None:
+        """Place in KINDS and weight of the best match: exact before misspelled, then the
+        larger weight."""
         state = self.start
         for letter in word:
             following = self.moves[state].get(letter)
             if following is None:
                 following = self.moves[state][letter] = self._move(state, letter)
             if following < 0:
-                return 0
+                return None
             state = following
-        found = {
-            2 * stem + (spent > 0)
+        found = [
+            (spent == 0, self.terms[number].weight, 2 if stem else min(spent, 1))
             for node, spent, swap in self.states[state] if not swap
-            for stem, allowed in self.ends[node] if spent <= allowed
-        }
-        return 1 + min(found, key=(0, 2, 1, 3).index) if found else 0
-
+            for stem, allowed, number in self.ends[node] if spent <= allowed
+        ]
+        if not found:
+            return None
+        _, weight, kind = max(found)
+        return kind, weight
 
 
 def letter_runs(word: bytes) -> list[str]:
@@ -162,22 +167,23 @@ class HitFinder:
 
     def __init__(self, terms: Iterable[Term], fuzzy_from: int = 5) -> None:
         self.automaton = LexiconAutomaton(terms, fuzzy_from)
-        self.kinds: dict[bytes, int] = {}
+        self.kinds: dict[bytes, tuple[int, float] | bool] = {}
 
-    def _kinds(self, words: list[bytes]) -> list[int]:
+    def _kinds(self, words: list[bytes]) -> list[tuple[int, float] | bool]:
+        """Kind and weight of each word's best match, False for none."""
         found = list(map(self.kinds.get, words))
         if None in found:
             if len(self.kinds) > MEMO_WORDS:
                 self.kinds.clear()
             for word in set(words):
                 if word not in self.kinds:
-                    kinds = [self.automaton.kind(w) for w in letter_runs(word)]
-                    self.kinds[word] = min((k for k in kinds if k), key=(0, 1, 3, 2, 4).index, default=0)
+                    matches = [m for w in letter_runs(word) if (m := self.automaton.match(w))]
+                    self.kinds[word] = max(matches, key=lambda m: (m[0] != 1, m[1]), default=False)
             found = list(map(self.kinds.__getitem__, words))
         return found
 
-    def hits(self, text: bytes) -> list[tuple[int, int, int, bool, bool, bool]]:
-        """(first byte, last byte, kind, quoted, reported, addressed) of each hit."""
+    def hits(self, text: bytes) -> list[tuple[int, int, int, float, bool, bool, bool]]:
+        """(start and end byte, kind, weight, quoted, reported, addressed) of each hit."""
         words = word_bytes(text)
         kinds = self._kinds(words)
         if not any(kinds):
@@ -189,21 +195,21 @@ class HitFinder:
                 window = words[max(0, i - WINDOW_WORDS): i + WINDOW_WORDS + 1]
                 near = {run for w in window for run in letter_runs(w)}
                 out.append((
-                    spans[i][0], spans[i][1], kind - 1, quoted(text, *spans[i]),
+                    *spans[i], *kind, quoted(text, *spans[i]),
                     not REPORTING.isdisjoint(near), not ADDRESS.isdisjoint(near)))
         return out
 
     def features(self, text: bytes | None) -> list[float]:
-        """Per kind: hits in quotes and outside; then reported, addressed, and the share
-        of words that are hits (all but the share as log(1 + n))."""
-        counts = [0] * (2 * len(KINDS) + 2)
+        """Per kind: weights of hits outside quotes and inside; then reported, addressed,
+        and the share of words that are hits (all but the share as log(1 + sum))."""
+        sums = [0.0] * (2 * len(KINDS) + 2)
         found = self.hits(text or b"")
-        for _, _, kind, inside, reported, addressed in found:
-            counts[2 * kind + inside] += 1
-            counts[-2] += reported
-            counts[-1] += addressed
+        for _, _, kind, weight, inside, reported, addressed in found:
+            sums[2 * kind + inside] += weight
+            sums[-2] += reported
+            sums[-1] += addressed
         share = len(found) / max(1, len(word_bytes(text or b""))) if found else 0.0
-        return [*np.log1p(counts).tolist(), share]
+        return [*np.log1p(sums).tolist(), share]
 
 
 def quoted(text: bytes, start: int, stop: int) -> bool:
@@ -241,40 +247,56 @@ def _candidates(word: str, shortest: int, longest: int) -> Iterator[tuple[str, b
 
 
 def learn_terms(
-    toxic: list[set[str]], clean: list[set[str]], support: int = 3, clean_share: float = 0.002,
-    shortest: int = 4, longest: int = 10,
+    toxic: list[set[str]], clean: list[set[str]], clean_scale: float = 1.0,
+    support: int = 3, share: float = 0.01, shortest: int = 4, longest: int = 10,
 ) -> list[Term]:
     """Greedy cover of the toxic documents (sets of words) by words and stems.
 
-    BASE_TERMS come first and cover what holds them as they are. A further term has at least `support` toxic documents that no earlier term covers and at most
-    `clean_share` of the clean ones. Of equal cover the longer text wins, then the whole
-    word, then the alphabet.
+    `clean_scale` says how many clean documents one of the sample stands for, a toxic one
+    standing for one. BASE_TERMS come first. A further term gains the toxic documents that
+    no earlier term covers, at least `support` and a `share` of all, less the clean ones it
+    newly hits. Of equal gain the longer text wins, then the whole word, then the alphabet.
     """
     held: dict[tuple[str, bool], set[int]] = defaultdict(set)
     for i, words in enumerate(toxic):
         for word in words:
             for term in _candidates(word, shortest, longest):
                 held[term].add(i)
-    held = {t: docs for t, docs in held.items() if len(docs) >= support}
-    in_clean: Counter = Counter()
-    for words in clean:
-        in_clean.update({t for word in words for t in _candidates(word, shortest, longest) if t in held})
-    most = clean_share * len(clean)
-    held = {t: docs for t, docs in held.items() if in_clean[t] <= most}
-    queue = [(-len(docs), -len(t[0]), t[1], t[0]) for t, docs in held.items()]
-    heapq.heapify(queue)
-    chosen = [Term(t) for t in BASE_TERMS]
+    least = max(support, share * len(toxic))
+    held = {t: docs for t, docs in held.items() if len(docs) >= least or t[0] in BASE_TERMS and not t[1]}
+    cost: dict[tuple[str, bool], set[int]] = defaultdict(set)
+    for i, words in enumerate(clean):
+        for word in words:
+            for term in _candidates(word, shortest, longest):
+                if term in held:
+                    cost[term].add(i)
     covered = {i for i, words in enumerate(toxic) if not words.isdisjoint(BASE_TERMS)}
+    hit = {i for i, words in enumerate(clean) if not words.isdisjoint(BASE_TERMS)}
+
+    def weight(term: tuple[str, bool], known: bool) -> float:
+        """Log-odds of the term, shrunk for learned ones, at least 0.1."""
+        a = len(held.get(term, ())) + (2.0 if known else 0.0)
+        c = (len(cost.get(term, ())) + (0.05 if known else 0.5)) * clean_scale
+        n1, n0 = len(toxic) + 4.0, (len(clean) + 4.0) * clean_scale
+        return max(0.1, float(np.log(max(a, 0.5) / n1) - np.log(c / n0)))
+
+    chosen = [Term(t, False, weight((t, False), True)) for t in BASE_TERMS]
+    queue = [(-float(len(docs)), -len(t[0]), t[1], t[0]) for t, docs in held.items() if t[0] not in BASE_TERMS]
+    heapq.heapify(queue)
     while queue:
-        count, length, stem, text = heapq.heappop(queue)
-        fresh = len(held[text, stem] - covered)
-        if fresh < support:
+        bound, length, stem, text = heapq.heappop(queue)
+        fresh = held[text, stem] - covered
+        gain = len(fresh) - clean_scale * len(cost[text, stem] - hit)
+        if len(fresh) < least or gain <= 0:
+            # Clean documents already hit cost nothing more, so a gain can grow; it is
+            # judged when it is looked at, and a term is looked at in the order of bounds.
             continue
-        if fresh < -count:
-            heapq.heappush(queue, (-fresh, length, stem, text))
+        if gain < -bound and queue and -gain > queue[0][0]:
+            heapq.heappush(queue, (-gain, length, stem, text))
             continue
         covered |= held[text, stem]
-        chosen.append(Term(text, stem))
+        hit |= cost[text, stem]
+        chosen.append(Term(text, stem, weight((text, stem), False)))
     return chosen
 
 
@@ -326,17 +348,18 @@ def fit_toxicity(
         .orderBy(id_column).toLocalIterator()
     ):
         words[row["_fold"], row["_label"]].append({run for w in row["w"] for run in letter_runs(bytes(w))})
-    terms = tuple(learn_terms(words[0, 1] + words[1, 1], words[0, 0] + words[1, 0]))
+    shares = {r["_label"]: r["count"] for r in usable.groupBy("_label").count().collect()}
+    taken = [len(words[0, y]) + len(words[1, y]) for y in (0, 1)]
+    scale = shares.get(0, 0) / max(1, taken[0]) * taken[1] / max(1, shares.get(1, 0)) or 1.0
+    terms = tuple(learn_terms(words[0, 1] + words[1, 1], words[0, 0] + words[1, 0], scale))
     found = []
     for own in (0, 1):
-        others = tuple(learn_terms(words[1 - own, 1], words[1 - own, 0]))
+        others = tuple(learn_terms(words[1 - own, 1], words[1 - own, 0], scale))
         found += sample.where(F.col("_fold") == own).select(
             "_label", features_column(docs, text, others, fuzzy_from).alias("f")).collect()
     width = 2 * len(KINDS) + 3
     x = np.array([r["f"] for r in found]).reshape(-1, width)
     y = np.array([r["_label"] for r in found], dtype=float)
-    # Weighted back to the labels' own shares: the sample has both labels alike.
-    shares = {r["_label"]: r["count"] for r in usable.groupBy("_label").count().collect()}
     total = shares.get(0, 0) + shares.get(1, 0)
     if not len(y) or not 0 < y.mean() < 1:
         share = shares.get(1, 0) / total if total else 0.0
@@ -344,6 +367,7 @@ def fit_toxicity(
         constant[-1] = np.log(max(share, 1e-12) / max(1 - share, 1e-12))
         return ToxicityModel(terms, constant, fuzzy_from)
     weights = fit_weights(x, y)
+    # Back to the labels' own shares: the sample may have both labels alike.
     prior = shares[1] / shares[0]
     weights[-1] += np.log(prior) - np.log(y.mean() / (1 - y.mean()))
     return ToxicityModel(terms, weights, fuzzy_from)
