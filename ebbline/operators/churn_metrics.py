@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ebbline.functions.scalars import REPORT_BANDS, band, percent, rounded
 
 
+OUTSIDE = "outside"  # label of rows that no band holds
+
+
 def churn_rate_pct() -> Column:
     return rounded(F.avg("churned") * 100, 2).alias("churn_rate_pct")
 
@@ -53,12 +56,13 @@ def churn_by_band(
 ) -> DataFrame:
     """Churn rate per band of a numeric column, in the order of the labels.
 
-    Rows outside every band are left out. `keep_empty` also lists bands
-    without customers.
+    Rows outside every band, and those without a value, are counted as OUTSIDE.
+    `keep_empty` also lists bands without customers.
     """
     name = f"{column}_band"
     labels = [*bands["labels"], *([bands["else_label"]] if bands.get("else_label") else [])]
-    report = churn_by(subs, [band(column, **bands).alias(name)]).where(F.col(name).isNotNull())
+    labels.append(OUTSIDE)
+    report = churn_by(subs, [F.coalesce(band(column, **bands), F.lit(OUTSIDE)).alias(name)])
     if keep_empty:
         domain = subs.sparkSession.createDataFrame([(x,) for x in labels], f"{name} string")
         report = domain.join(report, name, "left").fillna(0, ["customers", "churned"])

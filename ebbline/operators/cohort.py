@@ -15,19 +15,20 @@ from pyspark.sql import functions as F
 from ebbline.functions.grids import add_zero_rows
 from ebbline.functions.scalars import month_label, month_start, ratio, rounded
 
-MAX_OFFSET = 72
 MIN_HISTORY = 12
 
 
 def _reached(
-    subs: DataFrame, by: Sequence[str], last_offset: int, value: str | None = None
+    subs: DataFrame, by: Sequence[str], last_offset: int | None, value: str | None = None
 ) -> DataFrame:
     """Customers (and their summed value) that reached each offset, per group.
 
-    Offsets run from 0 to the longest tenure of the group, at most
-    `last_offset`. Customers without a tenure count in the size only.
+    Offsets run from 0 to the longest tenure of the group, or to `last_offset`
+    where a report ends there. Customers without a tenure count in the size only.
     """
-    capped = F.least(F.col("tenure"), F.lit(last_offset))
+    capped = F.col("tenure")
+    if last_offset is not None:
+        capped = F.least(capped, F.lit(last_offset))
     offset = F.when(F.col("tenure") >= 0, capped).otherwise(-1)
     amount = F.col(value).cast("double") if value else F.lit(0.0)
     stopped = subs.groupBy(*by, offset.alias("month_offset")).agg(
@@ -49,12 +50,12 @@ def _reached(
     ).where(F.col("month_offset") >= 0)
 
 
-def cohort_table(subs: DataFrame) -> DataFrame:
+def cohort_table(subs: DataFrame, last_offset: int | None = None) -> DataFrame:
     """Size, active customers and retention rate per cohort and offset."""
     cohorts = subs.where(F.col("signup_date").isNotNull()).withColumn(
         "_month", month_start("signup_date")
     )
-    return _reached(cohorts, ["_month"], MAX_OFFSET).select(
+    return _reached(cohorts, ["_month"], last_offset).select(
         month_label("_month").alias("cohort"),
         "month_offset",
         F.col("size").alias("cohort_size"),

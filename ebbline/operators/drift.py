@@ -36,7 +36,7 @@ def _numeric_bin(feature: str, edges: Sequence[float], closed: bool) -> Column:
 
 
 def bin_counts(
-    df: DataFrame, edges: dict[str, list], categorical: Sequence[str] = (), closed: bool = True
+    df: DataFrame, edges: dict[str, list], categorical: Sequence[str] = (), closed: bool = False
 ) -> DataFrame:
     """Rows per feature and bin, all features in one pass.
 
@@ -80,7 +80,7 @@ def psi_from_counts(expected: DataFrame, actual: DataFrame) -> DataFrame:
 
 def psi(
     baseline: DataFrame, new: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (),
-    bins: int = 10, closed: bool = True,
+    bins: int = 10, closed: bool = False,
 ) -> DataFrame:
     """Stability index per feature, binned on the baseline's quantiles."""
     edges = baseline_edges(baseline, numeric, bins)
@@ -97,7 +97,7 @@ def psi_flag(value: Column) -> Column:
 
 def feature_drift(
     baseline: DataFrame, new: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (),
-    bins: int = 10, closed: bool = True,
+    bins: int = 10, closed: bool = False,
 ) -> DataFrame:
     """Stability index and flag per feature, largest first.
 

@@ -42,14 +42,16 @@ def mrr_by(subs: DataFrame, segment: str) -> DataFrame:
     )
 
 
-def mrr_series(subs: DataFrame, reference_date: str, max_months: int = 72) -> DataFrame:
+def mrr_series(subs: DataFrame, reference_date: str, max_months: int | None = None) -> DataFrame:
     """Active customers, MRR and ARPU per calendar month up to a reference date.
 
-    A customer is active from the sign-up month for `tenure` months, at most
-    `max_months` of them.
+    A customer is active from the sign-up month for `tenure` months; a report may
+    count the first `max_months` of them only.
     """
     first = F.col("signup_month")
-    months = F.least(F.col("tenure"), F.lit(max_months))
+    months = F.col("tenure")
+    if max_months is not None:
+        months = F.least(months, F.lit(max_months))
     totals = calendar_totals(subs, first, months, reference_date)
     return totals.select(
         "month",

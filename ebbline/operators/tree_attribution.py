@@ -3,9 +3,8 @@
 A tree's expected output with some features unknown follows both branches of
 an unknown split in proportion to the training rows that went each way. Along
 one leaf's path this makes a product of terms, one per feature, so a row's
-contribution depends only on which of the path's conditions it meets. For each
-leaf these few patterns are worked out once; a task then only compares and
-looks up.
+contribution depends only on which of the path's conditions it meets. A task
+works out each pattern of a leaf that occurs in its rows once.
 """
 
 from __future__ import annotations
@@ -23,7 +22,6 @@ from pyspark.sql import functions as F
 
 # Contributions are on the log-odds scale, which is twice the sum of the trees.
 LOG_ODDS = 2.0
-MAX_PATH_FEATURES = 10
 
 
 @dataclass
@@ -68,23 +66,24 @@ def leaf_paths(spark: SparkSession, path: str, tree_weights: list[float]) -> lis
     return leaves
 
 
-def _pattern_table(leaf: LeafPath) -> np.ndarray:
-    """Contributions per pattern of met conditions (bit j: condition j is met)."""
+def _contributions(leaf: LeafPath, met: np.ndarray) -> np.ndarray:
+    """Contributions of a leaf's features for rows of met conditions (patterns x features).
+
+    Sets of known features are summed by size: coefficient s of a product of one linear
+    term per other feature.
+    """
     k = len(leaf.features)
-    if k > MAX_PATH_FEATURES:
-        raise ValueError(f"a path uses more than {MAX_PATH_FEATURES} features")
-    weights = [factorial(s) * factorial(k - s - 1) / factorial(k) for s in range(k)]
-    table = np.zeros((2**k, k))
-    for pattern in range(2**k):
-        met = [(pattern >> j) & 1 for j in range(k)]
-        for j in range(k):
-            # Coefficient s: known sets of s other features, summed.
-            by_size = np.array([1.0])
-            for i in range(k):
-                if i != j:
-                    by_size = np.convolve(by_size, [leaf.share[i], met[i]])
-            table[pattern, j] = leaf.value * (met[j] - leaf.share[j]) * (by_size @ weights)
-    return table
+    weights = np.array([factorial(s) * factorial(k - s - 1) / factorial(k) for s in range(k)])
+    out = np.zeros(met.shape)
+    for j in range(k):
+        by_size = np.zeros((len(met), k))
+        by_size[:, 0] = 1.0
+        for i in range(k):
+            if i != j:
+                shifted = np.pad(by_size[:, :-1], ((0, 0), (1, 0)))
+                by_size = by_size * leaf.share[i] + shifted * met[:, i: i + 1]
+        out[:, j] = leaf.value * (met[:, j] - leaf.share[j]) * (by_size @ weights)
+    return out
 
 
 def tree_contributions(
@@ -95,7 +94,6 @@ def tree_contributions(
     `path` is where the model was saved. Base plus contributions is margin.
     """
     leaves = leaf_paths(features.sparkSession, path, list(model.treeWeights))
-    tables = [_pattern_table(leaf) for leaf in leaves]
     base = float(sum(leaf.value * leaf.share.prod() for leaf in leaves))
 
     def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -104,11 +102,12 @@ def tree_contributions(
                 continue
             x = np.stack(batch["features"].to_numpy())
             phi, margin = np.zeros_like(x), np.zeros(len(x))
-            for leaf, table in zip(leaves, tables):
+            for leaf in leaves:
                 values = x[:, leaf.features]
                 met = (values > leaf.low) & (values <= leaf.high)
-                pattern = met @ (1 << np.arange(len(leaf.features)))
-                phi[:, leaf.features] += table[pattern]
+                # Rows share few patterns, and each is worked out once in a batch.
+                patterns, place = np.unique(met, axis=0, return_inverse=True)
+                phi[:, leaf.features] += _contributions(leaf, patterns.astype(float))[place.ravel()]
                 margin += leaf.value * met.all(axis=1)
             yield pd.DataFrame({
                 id_column: batch[id_column], "contributions": list(phi), "base": base, "margin": margin,

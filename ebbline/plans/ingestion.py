@@ -18,7 +18,7 @@ from ebbline.plans.sql_base import (
     query,
     r,
 )
-from ebbline.schemas import MONTHLY_REVENUE, RAW_CUSTOMERS as RAW_SCHEMA, STORED_CUSTOMERS
+from ebbline.schemas import MONTHLY_REVENUE, RAW_CUSTOMERS as RAW_SCHEMA
 from ebbline.sources import bridge, store
 from ebbline.streaming import jobs
 
@@ -33,7 +33,8 @@ base AS (SELECT * REPLACE (TRY_CAST("TotalCharges" AS DOUBLE) AS "TotalCharges")
   FROM raw_customers WHERE CAST(substr("customerID", 6) AS BIGINT) % 3 <> 0),
 staged AS (SELECT * REPLACE (TRY_CAST("TotalCharges" AS DOUBLE) AS "TotalCharges",
     """ + r('"MonthlyCharges" * 1.1::DOUBLE', 2) + """ AS "MonthlyCharges", 'Other' AS gender)
-  FROM raw_customers WHERE CAST(substr("customerID", 6) AS BIGINT) % 2 = 0),
+  FROM raw_customers WHERE CAST(substr("customerID", 6) AS BIGINT) % 2 = 0
+    OR CAST(substr("customerID", 6) AS BIGINT) % 3 = 0),
 merged AS (
   SELECT coalesce(b."customerID", s."customerID") AS "customerID",
     CASE WHEN s."customerID" IS NULL THEN b.tenure ELSE s.tenure END AS tenure,
@@ -51,11 +52,12 @@ merged AS (
 def _upserted_store(spark, sf_dir):
     root = store.scratch_path(spark, "store")
     raw = store.stage(features.coerce_totals(bridge.raw_customers(spark, sf_dir)), "customers")
-    staged = raw.where(_number() % 2 == 0).withColumns({
+    # Some only in the store, some only staged, some in both; everyone is in one of them.
+    staged = raw.where((_number() % 2 == 0) | (_number() % 3 == 0)).withColumns({
         "MonthlyCharges": rounded(F.col("MonthlyCharges") * 1.1, 2), "gender": F.lit("Other"),
     })
-    store.ingest_customers(spark, root, raw.where(_number() % 3 != 0))
-    store.ingest_customers(spark, root, staged)
+    store.ingest_customers(spark, root, raw.where(_number() % 3 != 0), ["tenure"])
+    store.ingest_customers(spark, root, staged, ["tenure"])
     return root, staged
 
 
@@ -88,7 +90,7 @@ SELECT {big('count(*)')} AS n_rows, {big('count(DISTINCT "customerID")')} AS dis
 def store_reingest_check(spark, sf_dir):
     """Upserting the same rows again changes nothing."""
     root, staged = _upserted_store(spark, sf_dir)
-    store.ingest_customers(spark, root, staged)
+    store.ingest_customers(spark, root, staged, ["tenure"])
     return store.customers(spark, root).agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_distinct("customerID").alias("distinct_keys"),
         rounded(F.sum("MonthlyCharges"), 2).alias("mrr"),
@@ -127,17 +129,17 @@ def store_replay_months(spark, sf_dir):
 
 
 @register("ingestion_history", query(f"""
-SELECT 1 AS ingestion_id, 'customers' AS table_name, CAST(count(*) AS INTEGER) AS rows_ingested,
+SELECT 1::BIGINT AS ingestion_id, 'customers' AS table_name, CAST(count(*) AS BIGINT) AS rows_ingested,
   'upserted ' || count(*) || ' customer records' AS detail FROM raw_customers
 UNION ALL
-SELECT CAST(1 + row_number() OVER (ORDER BY month) AS INTEGER), 'monthly_revenue', CAST(n AS INTEGER),
+SELECT CAST(1 + row_number() OVER (ORDER BY month) AS BIGINT), 'monthly_revenue', CAST(n AS BIGINT),
   'month ' || month || ': ' || n || ' billing events'
 FROM (SELECT month, count(*) AS n FROM panel GROUP BY 1)""", RAW_CUSTOMERS, PANEL_EVENTS3D))
 def ingestion_history(spark, sf_dir):
     root = store.scratch_path(spark, "store")
     raw = store.stage(features.coerce_totals(bridge.raw_customers(spark, sf_dir)), "customers")
-    store.ingest_customers(spark, root, raw)
-    store.ingest_all_months(spark, root, store.stage(_panel(spark, sf_dir), "panel"))
+    store.ingest_customers(spark, root, raw, ["tenure"])
+    store.ingest_all_months(spark, root, _panel(spark, sf_dir))
     return store.ingestion_history(spark, root).drop("ingested_at")
 
 
@@ -160,26 +162,16 @@ def recreated_table(spark, sf_dir):
 @register("declared_tables", query(f"""
 SELECT 'customers' AS table_name, {big('count(*)')} AS n_rows FROM raw_customers
 UNION ALL SELECT 'monthly_revenue', {big('count(*)')} FROM panel
-UNION ALL SELECT 'ingestion_log', {big('count(DISTINCT month)')} FROM panel""", RAW_CUSTOMERS, PANEL_EVENTS3D))
+UNION ALL SELECT 'ingestion_log', {big('1 + count(DISTINCT month)')} FROM panel""", RAW_CUSTOMERS, PANEL_EVENTS3D))
 def declared_tables(spark, sf_dir):
     root = store.scratch_path(spark, "tables")
     database = "store_" + root[-8:]
     spark.sql(f"CREATE DATABASE {database} LOCATION '{root}/database'")
     store.declare_tables(spark, root, database)
-    store.declare_tables(spark, root, database)  # declaring again is harmless
     raw = features.coerce_totals(bridge.raw_customers(spark, sf_dir))
-    stamped = raw.withColumn("last_updated", F.current_timestamp())
-    stamped.select(*[f.name for f in STORED_CUSTOMERS]).write.insertInto(f"{database}.customers")
-    panel = _panel(spark, sf_dir).withColumn("ingested_at", F.current_timestamp())
-    # A partitioned table keeps its partition column last.
-    panel.select("customerID", "mrr", "event", "ingested_at", "month").write.insertInto(
-        f"{database}.monthly_revenue"
-    )
-    log = panel.groupBy("month").agg(F.count(F.lit(1)).cast("int").alias("n")).select(
-        F.col("month").alias("ingestion_id"), F.lit("monthly_revenue"), "n",
-        F.current_timestamp(), F.lit("replayed"),
-    )
-    log.write.insertInto(f"{database}.ingestion_log")
+    store.ingest_customers(spark, root, raw, ["tenure"])
+    store.ingest_all_months(spark, root, _panel(spark, sf_dir))
+    store.declare_tables(spark, root, database)  # again, now with rows
     counts = None
     for name in ("customers", "monthly_revenue", "ingestion_log"):
         one = spark.table(f"{database}.{name}").agg(F.count(F.lit(1)).alias("n_rows")).select(
@@ -244,25 +236,38 @@ def stream_billing(spark, sf_dir):
 
 
 @register("stream_upserts", """
-SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer""")
+SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS ts,
+  arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value
+FROM events GROUP BY user_id""")
 def stream_upserts(spark, sf_dir):
+    """The last event of every user. Four batches hold events of the same users, and times
+    go back and forth between them; the stream is restarted half way."""
     root = store.scratch_path(spark, "stream")
-    schema = bridge.table(spark, sf_dir, "customer").schema
-    changes = jobs.file_stream(spark, sf_dir, schema, "customer.parquet")
-    jobs.ingest_upserts(changes, root, "c_custkey", ["c_acctbal"])
-    return store.read_snapshot(spark, f"{root}/stream_customers", schema)
+    events = store.stage(
+        bridge.table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type", "value"),
+        "events")
+    arrivals = f"{root}/arrivals"
+    for batch in (2, 0, 3, 1):
+        part = events.where(F.pmod("event_id", F.lit(4)) == batch)
+        part.coalesce(1).write.mode("append").parquet(arrivals)
+        if batch in (0, 1):
+            stream = jobs.file_stream(spark, arrivals, events.schema, files_per_batch=1)
+            jobs.ingest_upserts(
+                stream, root, "user_id", ["event_id", "ts", "event_type", "value"], ["ts", "event_id"])
+    return store.read_snapshot(spark, f"{root}/stream_customers", events.schema)
 
 
 @register("stream_windows", f"""
 SELECT w AS window_start, w + INTERVAL 3 DAYS AS window_end, event_type, {r('sum(value)', 2)} AS revenue,
   {big('count(*)')} AS events
 FROM (SELECT *, time_bucket(INTERVAL 3 DAYS, ts, TIMESTAMP '1970-01-01') AS w FROM events)
-WHERE w + INTERVAL 3 DAYS <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY w, event_type""")
+GROUP BY w, event_type""")
 def stream_windows(spark, sf_dir):
+    """Every event is in a window, those still open at the end included."""
     root = store.scratch_path(spark, "stream")
     windows = jobs.windowed_revenue(_event_stream(spark, sf_dir))
-    jobs.write_windows(windows, f"{root}/windows", f"{root}/checkpoints/windows")
-    return round_columns(spark.read.parquet(f"{root}/windows"), {"revenue": 2})
+    jobs.write_window_updates(windows, f"{root}/windows", f"{root}/checkpoints/windows")
+    return round_columns(jobs.latest_windows(spark, f"{root}/windows"), {"revenue": 2})
 
 
 @register("stream_drift", query(f"""

@@ -29,8 +29,8 @@ def churn_sql(*dims: str) -> str:
 def banded_sql(cases: str) -> str:
     return over_subscribers(
         f"""SELECT tenure_band, {CHURN_COLUMNS}
-        FROM (SELECT *, CASE {cases} END AS tenure_band FROM subscribers)
-        WHERE tenure_band IS NOT NULL GROUP BY 1"""
+        FROM (SELECT *, coalesce(CASE {cases} END, 'outside') AS tenure_band FROM subscribers)
+        GROUP BY 1"""
     )
 
 
@@ -87,8 +87,9 @@ SELECT d.label AS tenure_band, {big('count(s.customer_id)')} AS customers,
   {r('avg(churned) * 100', 2)} AS churn_rate_pct,
   {r('avg(monthly_charges)', 2)} AS avg_monthly_charges
 FROM (VALUES ('0–6 mo', 0, 6), ('7–12 mo', 6, 12), ('13–24 mo', 12, 24), ('25–36 mo', 24, 36),
-             ('37–48 mo', 36, 48), ('49–72 mo', 48, 72)) d(label, lo, hi)
-LEFT JOIN subscribers s ON s.tenure > d.lo AND s.tenure <= d.hi GROUP BY 1"""))
+             ('37–48 mo', 36, 48), ('49–72 mo', 48, 72), ('outside', NULL, NULL)) d(label, lo, hi)
+LEFT JOIN subscribers s ON CASE WHEN d.lo IS NULL THEN (s.tenure > 0 AND s.tenure <= 72) IS NOT TRUE
+  ELSE s.tenure > d.lo AND s.tenure <= d.hi END GROUP BY 1"""))
 def churn_by_early_life_band(spark, sf_dir):
     return churn_metrics.churn_by_band(
         bridge.subscribers(spark, sf_dir), EARLY_LIFE_BANDS, keep_empty=True
@@ -173,7 +174,7 @@ SELECT month, {big('count(DISTINCT customer_id)')} AS active_customers,
   {r('sum(monthly_charges)', 0)} AS mrr, {r('avg(monthly_charges)', 2)} AS arpu
 FROM (SELECT customer_id, monthly_charges,
         CAST(signup_month + to_months(CAST(m.month_offset - 1 AS INTEGER)) AS DATE) AS month
-      FROM subscribers CROSS JOIN (SELECT unnest(range(1, 73)) AS month_offset) m
+      FROM subscribers CROSS JOIN (SELECT unnest(range(1, (SELECT max(tenure) + 1 FROM subscribers))) AS month_offset) m
       WHERE m.month_offset <= tenure)
 WHERE month <= DATE '2001-08-01' GROUP BY month"""))
 def mrr_series(spark, sf_dir):
@@ -328,5 +329,5 @@ def adhoc_sql(spark, sf_dir):
     ]) + " FROM subscribers"))
 def numeric_columns(spark, sf_dir):
     subs = bridge.subscribers(spark, sf_dir)
-    names = profile.numeric_columns(subs, 20)
+    names = profile.numeric_columns(subs)
     return subs.agg(*[F.count(c).alias(c) for c in names])

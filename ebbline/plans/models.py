@@ -57,7 +57,7 @@ def boosted_model(spark, sf_dir):
 @register("feature_importance")
 def feature_importance(spark, sf_dir):
     table = _table(spark, sf_dir)
-    model = churn_model.train_boosted(features.model_features(table), trees=20)
+    model = churn_model.train_boosted(features.model_features(table))
     return churn_model.feature_importance(model, features.feature_names(table))
 
 
@@ -65,7 +65,7 @@ def feature_importance(spark, sf_dir):
 def tree_contribution_ranking(spark, sf_dir):
     table = _table(spark, sf_dir)
     prepared = store.stage(features.model_features(table), "features")
-    model = churn_model.train_boosted(prepared, trees=20)
+    model = churn_model.train_boosted(prepared)
     path = churn_model.save_model(model, store.scratch_path(spark, "model"))
     parts = tree_attribution.tree_contributions(model, path, prepared)
     return tree_attribution.contribution_ranking(parts, features.feature_names(table))
@@ -82,8 +82,8 @@ def scored_customers(spark, sf_dir):
     """Fit, save, load again and score everyone."""
     prepared = _prepared(spark, sf_dir)
     path = store.scratch_path(spark, "model")
-    churn_model.save_model(churn_model.train_logistic(prepared), path)
-    model = churn_model.load_logistic(path)
+    churn_model.save_model(churn_model.train_boosted(prepared), path)
+    model = churn_model.load_boosted(path)
     return churn_model.score(model, prepared, "churn_probability").select(
         "customerID", "label", "churn_probability"
     )

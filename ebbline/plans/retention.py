@@ -29,7 +29,7 @@ cohorts AS (
     {big('count(*) FILTER (WHERE s.tenure >= o.month_offset)')} AS active_customers,
     count(*) FILTER (WHERE s.tenure >= o.month_offset) / CAST(any_value(m.cohort_size) AS DOUBLE) AS retention_rate
   FROM subscribers s JOIN cohort_max m USING (signup_month)
-  CROSS JOIN (SELECT unnest(range(0, 73)) AS month_offset) o
+  CROSS JOIN (SELECT unnest(range(0, (SELECT max(tenure) + 1 FROM subscribers))) AS month_offset) o
   WHERE o.month_offset <= m.longest GROUP BY 1, 2),
 mature AS (
   SELECT * FROM cohorts WHERE month_offset <= 24 AND cohort IN (

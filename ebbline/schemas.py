@@ -57,7 +57,8 @@ STORED_REVENUE = T.StructType(
 )
 
 INGESTION_LOG = _schema(
-    ingestion_id=_INT, table_name=_TEXT, rows_ingested=_INT, ingested_at=_TIME, detail=_TEXT
+    ingestion_id=T.LongType(), table_name=_TEXT, rows_ingested=T.LongType(), ingested_at=_TIME,
+    detail=_TEXT,
 )
 
 DRIFT_LOG = _schema(

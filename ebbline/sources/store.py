@@ -8,10 +8,11 @@ Revenue is partitioned by month and appended to.
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +26,14 @@ from ebbline.schemas import (
 )
 
 
+#: What a run writes to its own folder of the log; `run` comes from the folder's name.
+LOG_FILES = T.StructType([
+    T.StructField("entry", T.LongType()),
+    *[f for f in INGESTION_LOG if f.name != "ingestion_id"],
+    T.StructField("run", T.StringType()),
+])
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder below the session's shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -121,17 +130,19 @@ def read_snapshot(
 
 def upsert_snapshot(
     spark: SparkSession, path: str, staged: DataFrame, key: str, mutable: Sequence[str],
-    order_by: Sequence[str] = (), version: int | None = None,
+    order_by: Sequence[str], version: int | None = None,
 ) -> int:
     """Write the snapshot that results from merging `staged` into the newest one.
 
-    A given `version` is written on top of its predecessors, so that repeating
-    the same version leaves the same snapshot.
+    `order_by` (an event time, then a sequence) says which of two rows of a key is newer,
+    within the staged rows and against the snapshot; it is kept as data. A given `version`
+    is written on top of its predecessors, so that repeating the same version leaves the
+    same snapshot.
     """
     if version is None:
         version = max(_committed_versions(spark, path), default=0) + 1
     current = read_snapshot(spark, path, staged.schema, before=version)
-    merged = merge_rows(current, newest_per_key(staged, key, order_by), key, mutable)
+    merged = merge_rows(current, newest_per_key(staged, key, order_by), key, mutable, order_by)
     merged.write.mode("overwrite").parquet(f"{path}/v={version}")
     return version
 
@@ -149,11 +160,17 @@ def monthly_revenue(spark: SparkSession, root: str) -> DataFrame:
 
 
 def ingestion_history(spark: SparkSession, root: str) -> DataFrame:
-    """Every ingestion run, oldest first."""
+    """Every ingestion run, oldest first, numbered from 1.
+
+    Runs are ordered by the time-ordered name of their folder, so two runs at once never
+    share a number; there is one row per table or month of a run.
+    """
     path = f"{root}/ingestion_log"
     if not _exists(spark, path):
         return spark.createDataFrame([], INGESTION_LOG)
-    return spark.read.schema(INGESTION_LOG).parquet(path).orderBy("ingestion_id")
+    log = spark.read.schema(LOG_FILES).parquet(path)
+    number = F.row_number().over(Window.partitionBy().orderBy("run", "entry"))
+    return log.withColumn("ingestion_id", number.cast("long")).select(*INGESTION_LOG.names)
 
 
 def register_store(spark: SparkSession, root: str) -> None:
@@ -164,31 +181,41 @@ def register_store(spark: SparkSession, root: str) -> None:
 
 
 def declare_tables(spark: SparkSession, root: str, database: str = "default") -> None:
-    """Create empty catalog tables over the store's layout, if there are none."""
-    revenue = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in STORED_REVENUE)
-    log = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in INGESTION_LOG)
-    people = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in STORED_CUSTOMERS)
-    for name, columns, extra in [
-        ("customers", people, ""),
-        ("monthly_revenue", revenue, "PARTITIONED BY (month)"),
-        ("ingestion_log", log, ""),
+    """Declare the store in the catalog: revenue and log where ingestion writes them,
+    customers as a view of the newest committed snapshot.
+
+    Declaring again is harmless and brings the catalog up to date with the store.
+    """
+    for name, schema, parts in [
+        ("monthly_revenue", STORED_REVENUE, "month"), ("ingestion_log", LOG_FILES, "run"),
     ]:
+        columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet {extra} "
-            f"LOCATION '{root}/catalog/{name}'"
+            f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet "
+            f"PARTITIONED BY ({parts}) LOCATION '{root}/{name}'"
         )
+        if _exists(spark, f"{root}/{name}"):
+            spark.sql(f"MSCK REPAIR TABLE {database}.{name}")
+            spark.catalog.refreshTable(f"{database}.{name}")
+    versions = _committed_versions(spark, f"{root}/customers")
+    people = ", ".join(f"CAST(NULL AS {f.dataType.simpleString()}) AS {f.name}" for f in STORED_CUSTOMERS)
+    rows = (
+        f"SELECT * FROM parquet.`{root}/customers/v={versions[-1]}`" if versions
+        else f"SELECT {people} WHERE false"
+    )
+    spark.sql(f"CREATE OR REPLACE VIEW {database}.customers AS {rows}")
 
 
 # ── ingestion ────────────────────────────────────────────────────────────────
 
-def newest_per_key(
-    staged: DataFrame, key: str, order_by: Sequence[str] = ()
-) -> DataFrame:
-    """One staged row per key: the last by `order_by`, ties by the largest row.
+def newest_per_key(staged: DataFrame, key: str, order_by: Sequence[str]) -> DataFrame:
+    """One staged row per key: the last by `order_by`; full ties go to the largest row.
 
     A mergeable maximum instead of a ranking, so that a key with very many
     copies is reduced before the shuffle.
     """
+    if not order_by:
+        raise ValueError("order_by is needed to know which row of a key is newer")
     rest = [c for c in staged.columns if c != key]
     ranked = F.struct(*order_by, *[c for c in rest if c not in order_by])
     return staged.groupBy(key).agg(F.max(ranked).alias("_row")).select(
@@ -197,53 +224,71 @@ def newest_per_key(
 
 
 def merge_rows(
-    current: DataFrame, staged: DataFrame, key: str, mutable: Sequence[str]
+    current: DataFrame, staged: DataFrame, key: str, mutable: Sequence[str],
+    order_by: Sequence[str] = (),
 ) -> DataFrame:
-    """Upsert: new keys are added; known keys only change in `mutable` columns."""
+    """Upsert: new keys are added; known keys only change in `mutable` columns.
+
+    With `order_by`, a staged row that is older than the current one changes nothing.
+    """
     old, new = current.alias("old"), staged.alias("new")
     joined = old.join(new, F.col(f"old.{key}") == F.col(f"new.{key}"), "full_outer")
     known, arriving = F.col(f"old.{key}").isNotNull(), F.col(f"new.{key}").isNotNull()
+    if order_by:
+        age = lambda side: F.struct(*[F.col(f"{side}.{c}").alias(c) for c in order_by])
+        arriving = arriving & (~known | (age("new") >= age("old")))
 
     def pick(name: str):
         was, becomes = F.col(f"old.{name}"), F.col(f"new.{name}")
-        if name in mutable:
+        if name in mutable or name in order_by:
             return F.when(arriving, becomes).otherwise(was).alias(name)
         return F.when(known, was).otherwise(becomes).alias(name)
 
     return joined.select(*[pick(name) for name in current.columns])
 
 
-def _next_ingestion_id(spark: SparkSession, root: str) -> int:
-    row = ingestion_history(spark, root).agg(F.max("ingestion_id")).first()
-    return (row[0] or 0) + 1
+def new_run() -> str:
+    """A run's name: later runs sort behind earlier ones, runs at once differ."""
+    return f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
 
 
-def _log(spark: SparkSession, root: str, entries: DataFrame) -> None:
+def _log(spark: SparkSession, root: str, entries: DataFrame, run: str | None) -> None:
+    """Write a run's log rows to its own folder; repeating the run replaces them."""
     entries.withColumn("ingested_at", F.current_timestamp()).select(
-        *[F.col(f.name).cast(f.dataType) for f in INGESTION_LOG]
-    ).write.mode("append").parquet(f"{root}/ingestion_log")
+        *[F.col(f.name).cast(f.dataType) for f in LOG_FILES if f.name != "run"]
+    ).write.mode("overwrite").parquet(f"{root}/ingestion_log/run={run or new_run()}")
 
 
-def log_run(spark: SparkSession, root: str, table: str, rows: int, detail: str) -> None:
-    entry = [(_next_ingestion_id(spark, root), table, rows, detail)]
+def log_run(
+    spark: SparkSession, root: str, table: str, rows: int, detail: str, run: str | None = None
+) -> None:
+    entry = [(1, table, rows, detail)]
     _log(spark, root, spark.createDataFrame(
-        entry, "ingestion_id int, table_name string, rows_ingested long, detail string"
-    ))
+        entry, "entry long, table_name string, rows_ingested long, detail string"
+    ), run)
 
 
 def ingest_customers(
-    spark: SparkSession, root: str, staged: DataFrame, order_by: Sequence[str] = ()
+    spark: SparkSession, root: str, staged: DataFrame, order_by: Sequence[str],
+    run: str | None = None,
 ) -> int:
     """Upsert customers and log the run; returns the number of staged rows.
 
-    Total charges have to be numbers or null by now.
+    Total charges have to be numbers or null by now. `order_by` names the columns by which
+    one of several staged rows of a customer is the newest; against the store a run is
+    always newer than the runs before it.
     """
-    stamped = staged.withColumn("last_updated", F.current_timestamp()).select(
+    counted = Observation()
+    # Counted while the rows pass by, so that the input is derived once.
+    stamped = newest_per_key(
+        staged.observe(counted, F.count(F.lit(1)).alias("rows")), "customerID", order_by
+    ).withColumn("last_updated", F.current_timestamp()).select(
         *[F.col(f.name).cast(f.dataType) for f in STORED_CUSTOMERS]
     )
-    upsert_snapshot(spark, f"{root}/customers", stamped, "customerID", MUTABLE_COLUMNS, order_by)
-    staged_rows = staged.count()
-    log_run(spark, root, "customers", staged_rows, f"upserted {staged_rows} customer records")
+    upsert_snapshot(
+        spark, f"{root}/customers", stamped, "customerID", MUTABLE_COLUMNS, ["last_updated"])
+    staged_rows = counted.get["rows"]
+    log_run(spark, root, "customers", staged_rows, f"upserted {staged_rows} customer records", run)
     return staged_rows
 
 
@@ -260,32 +305,32 @@ def _append_months(root: str, panel: DataFrame, replace: bool) -> None:
 
 
 def ingest_month(
-    spark: SparkSession, root: str, panel: DataFrame, month: int, replace: bool = False
+    spark: SparkSession, root: str, panel: DataFrame, month: int, replace: bool = False,
+    run: str | None = None,
 ) -> int:
     """Append one month of billing rows and log the run.
 
     With `replace` the month's partition is rewritten, so that a repeated run
     leaves the same rows instead of doubling them.
     """
-    part = panel.where(F.col("month") == month)
+    counted = Observation()
+    part = panel.where(F.col("month") == month).observe(counted, F.count(F.lit(1)).alias("rows"))
     _append_months(root, part, replace)
-    rows = part.count()
-    log_run(spark, root, "monthly_revenue", rows, f"month {month}: {rows} billing events")
+    rows = counted.get["rows"]
+    log_run(spark, root, "monthly_revenue", rows, f"month {month}: {rows} billing events", run)
     return rows
 
 
 def ingest_all_months(
-    spark: SparkSession, root: str, panel: DataFrame, replace: bool = False
+    spark: SparkSession, root: str, panel: DataFrame, replace: bool = False, run: str | None = None
 ) -> None:
     """Append every month in one partitioned write, with one log row each."""
+    panel = stage(panel, "panel")  # written once, then read for the rows and for the counts
     _append_months(root, panel, replace)
-    first = _next_ingestion_id(spark, root)
     counts = panel.groupBy("month").agg(F.count(F.lit(1)).alias("rows_ingested"))
-    # One row per month.
-    number = F.row_number().over(Window.partitionBy().orderBy("month"))
     _log(spark, root, counts.select(
-        (number + (first - 1)).alias("ingestion_id"),
+        F.col("month").cast("long").alias("entry"),
         F.lit("monthly_revenue").alias("table_name"),
         "rows_ingested",
         F.format_string("month %d: %d billing events", "month", "rows_ingested").alias("detail"),
-    ))
+    ), run)

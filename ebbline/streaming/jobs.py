@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,15 +70,23 @@ def ingest_billing(stream: DataFrame, root: str, month: Column) -> None:
     run_available(stream, f"{root}/checkpoints/billing", handle)
 
 
-def ingest_upserts(stream: DataFrame, root: str, key: str, mutable: Sequence[str]) -> None:
-    """Merge changed rows into the newest snapshot, one snapshot per batch."""
+def ingest_upserts(
+    stream: DataFrame, root: str, key: str, mutable: Sequence[str], order_by: Sequence[str]
+) -> None:
+    """Merge changed rows into the newest snapshot, one snapshot per batch.
+
+    `order_by` (event time, then sequence) decides which change of a key is the last one,
+    within a batch and between batches: a change that arrives late undoes nothing newer.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        counted = Observation()
         upsert_snapshot(
-            spark, f"{root}/stream_customers", batch, key, mutable, version=batch_id + 1
+            spark, f"{root}/stream_customers", batch.observe(counted, F.count(F.lit(1)).alias("rows")),
+            key, mutable, order_by, version=batch_id + 1,
         )
-        _batch_log(batch, root, "customers", batch_id, batch.count())
+        _batch_log(batch, root, "customers", batch_id, counted.get["rows"])
 
     run_available(stream, f"{root}/checkpoints/customers", handle)
 
@@ -95,7 +103,8 @@ def utc_wall_time(instant: Column) -> Column:
 def windowed_revenue(events: DataFrame, width: str = "3 days", lateness: str = "1 day") -> DataFrame:
     """Revenue and events per tumbling window and event type.
 
-    On a stream, a window is emitted once the watermark has passed its end.
+    On a stream in append mode, a window is emitted once the watermark has passed its end;
+    in update mode, whenever it changes.
     """
     return (
         events.withColumn("at", utc_instant(F.col("ts")))
@@ -110,6 +119,34 @@ def windowed_revenue(events: DataFrame, width: str = "3 days", lateness: str = "
     )
 
 
+def write_window_updates(windows: DataFrame, path: str, checkpoint: str) -> None:
+    """Write every window that a batch changed, open ones too, keyed by the batch.
+
+    latest_windows() reads each window's last state, so that after the stream has drained
+    all its events are delivered.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        save_table(batch, f"{path}/batch={batch_id}")
+
+    query = (
+        windows.writeStream.outputMode("update").foreachBatch(handle)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+
+
+def latest_windows(spark: SparkSession, path: str) -> DataFrame:
+    """One row per window and event type: the state after the last batch that changed it."""
+    keys = ["window_start", "window_end", "event_type"]
+    updates = spark.read.parquet(path)
+    rest = [c for c in updates.columns if c not in (*keys, "batch")]
+    last = updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last"))
+    return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
+
+
 def write_windows(windows: DataFrame, path: str, checkpoint: str) -> None:
     """Append closed windows to a parquet table, exactly once."""
     query = (

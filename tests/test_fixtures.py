@@ -7,7 +7,18 @@ from pyspark.sql import functions as F
 
 from ebbline.functions.scalars import EARLY_LIFE_BANDS, FEATURE_BANDS, REPORT_BANDS, band
 from ebbline.functions.stats import normal_cdf, two_sided_p
-from ebbline.operators import cohort, drift, experiment, features, mrr, nrr, revenue, scoring, survival
+from ebbline.operators import (
+    churn_metrics,
+    cohort,
+    drift,
+    experiment,
+    features,
+    mrr,
+    nrr,
+    revenue,
+    scoring,
+    survival,
+)
 
 
 def test_kaplan_meier_with_ties_and_censoring(spark):
@@ -218,7 +229,21 @@ def test_retention_falls_from_one(spark, subs):
         else:
             assert r["retention_rate"] <= last[r["cohort"]]
         last[r["cohort"]] = r["retention_rate"]
-    assert max(r["month_offset"] for r in rows) <= cohort.MAX_OFFSET
+    longest = subs.agg({"tenure": "max"}).first()[0]
+    assert max(r["month_offset"] for r in rows) == longest
+    capped = cohort.cohort_table(subs, 12).agg({"month_offset": "max"}).first()[0]
+    assert capped == min(longest, 12)
+
+
+def test_long_tenures_are_neither_cut_nor_left_out(spark):
+    rows = [(1, "1990-01-01", 100, 0, 10.0), (2, "1990-01-01", 2, 1, 10.0)]
+    df = spark.createDataFrame(rows, "customer_id int, d string, tenure int, churned int, monthly_charges double")
+    df = df.withColumn("signup_month", F.to_date("d"))
+    series = revenue.mrr_series(df, "2005-01-01").collect()
+    assert len(series) == 100 and series[-1]["mrr"] == 10
+    assert len(revenue.mrr_series(df, "2005-01-01", 72).collect()) == 72
+    bands = {r["tenure_band"]: r["customers"] for r in churn_metrics.churn_by_band(df, FEATURE_BANDS).collect()}
+    assert bands == {"0-12 mo": 1, "outside": 1}
 
 
 def test_unknown_tenure_counts_in_the_cohort_size(spark):

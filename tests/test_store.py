@@ -28,17 +28,65 @@ def test_upsert_takes_the_newest_copy(spark, root):
     assert [tuple(r) for r in store.read_snapshot(spark, root, staged.schema).collect()] == [("a", 3, 3.0)]
 
 
+def test_upsert_needs_an_order_and_keeps_what_is_newer(spark, root):
+    kind = "id string, at int, v double"
+    first = spark.createDataFrame([("a", 5, 900.0), ("a", 7, 100.0), ("b", 1, 1.0)], kind)
+    with pytest.raises(ValueError):
+        store.upsert_snapshot(spark, root, first, "id", ["v"], [])
+    store.upsert_snapshot(spark, root, first, "id", ["v"], ["at"])
+    late = spark.createDataFrame([("a", 6, 50.0), ("b", 1, 2.0), ("c", 0, 3.0)], kind)
+    store.upsert_snapshot(spark, root, late, "id", ["v"], ["at"])
+    rows = sorted(map(tuple, store.read_snapshot(spark, root, first.schema).collect()))
+    assert rows == [("a", 7, 100.0), ("b", 1, 2.0), ("c", 0, 3.0)]
+
+
+def test_long_counts_and_repeated_runs(spark, root):
+    store.log_run(spark, root, "t", 3_000_000_000, "many", run="1")
+    store.log_run(spark, root, "t", 3_000_000_000, "many", run="1")
+    store.log_run(spark, root, "t", 5, "few")
+    log = store.ingestion_history(spark, root).collect()
+    assert [(r["ingestion_id"], r["rows_ingested"]) for r in log] == [(1, 5), (2, 3_000_000_000)] or [
+        (r["ingestion_id"], r["rows_ingested"]) for r in log] == [(1, 3_000_000_000), (2, 5)]
+
+
+def test_declared_tables_are_the_written_ones(spark, root):
+    panel = spark.createDataFrame(
+        [("a", 1, 5.0, "active"), ("a", 2, 7.0, "churn")], "customerID string, month int, mrr double, event string")
+    database = "declared_" + root[-8:]
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{root}/database'")
+    store.declare_tables(spark, root, database)
+    assert spark.table(f"{database}.customers").count() == spark.table(f"{database}.monthly_revenue").count() == 0
+    store.ingest_month(spark, root, panel, 1)
+    store.ingest_month(spark, root, panel, 2)
+    store.declare_tables(spark, root, database)
+    assert spark.table(f"{database}.monthly_revenue").count() == spark.table(f"{database}.ingestion_log").count() == 2
+
+
+def test_late_events_update_their_window(spark, root):
+    kind = jobs.EVENTS
+    days = ["2024-01-02 00:00:00", "2024-01-03 12:00:00", "2024-01-03 06:00:00", "2024-01-05 00:00:00"]
+    for i, day in enumerate(days):
+        row = spark.range(1).select(*[
+            {"ts": F.lit(day), "event_type": F.lit("buy"), "value": F.lit(1.0)}.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in kind])
+        row.coalesce(1).write.mode("append").parquet(f"{root}/in")
+        stream = jobs.file_stream(spark, f"{root}/in", kind, files_per_batch=1)
+        jobs.write_window_updates(jobs.windowed_revenue(stream), f"{root}/w", f"{root}/c")
+    windows = sorted((str(r["window_start"]), r["events"]) for r in jobs.latest_windows(spark, f"{root}/w").collect())
+    assert sum(n for _, n in windows) == 4 and len({w for w, _ in windows}) == len(windows)
+
+
 def test_upsert_twice_is_upsert_once(spark, root):
     staged = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "id string, v double")
-    store.upsert_snapshot(spark, root, staged, "id", ["v"])
+    store.upsert_snapshot(spark, root, staged, "id", ["v"], ["v"])
     once = sorted(store.read_snapshot(spark, root, staged.schema).collect())
-    store.upsert_snapshot(spark, root, staged, "id", ["v"])
+    store.upsert_snapshot(spark, root, staged, "id", ["v"], ["v"])
     assert sorted(store.read_snapshot(spark, root, staged.schema).collect()) == once
 
 
 def test_uncommitted_snapshot_is_not_read(spark, root):
     staged = spark.createDataFrame([("a", 1.0)], "id string, v double")
-    store.upsert_snapshot(spark, root, staged, "id", ["v"])
+    store.upsert_snapshot(spark, root, staged, "id", ["v"], ["v"])
     staged.withColumn("v", F.lit(9.0)).write.option(
         "mapreduce.fileoutputcommitter.marksuccessfuljobs", "false"
     ).parquet(f"{root}/v=2")
