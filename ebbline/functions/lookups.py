@@ -1,4 +1,4 @@
-"""Joining a large frame with a small aggregate whose size is checked first."""
+"""Joining a large frame with a small aggregate."""
 
 from __future__ import annotations
 
@@ -6,23 +6,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-# A lookup of at most this many rows is sent to every executor.
-LOOKUP_ROWS = 100_000
+from ebbline.functions.staging import stage
 
 
 def attach_lookup(
-    df: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left",
-    max_rows: int = LOOKUP_ROWS,
+    df: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left"
 ) -> DataFrame:
-    """Join `df` with a per-segment aggregate without shuffling `df`.
+    """Join `df` with a per-segment aggregate.
 
-    The aggregate is computed once. Up to `max_rows` it becomes a local table
-    that every task reads, so a hot segment cannot overload one reducer. Beyond
-    that it is a shuffled join, which adaptive execution splits on skew.
+    The aggregate is computed once, into a staged file. The planner knows that file's size:
+    below its broadcast threshold every task reads it and `df` is not shuffled, beyond it
+    the join is shuffled and adaptive execution splits skewed keys.
     """
-    spark = df.sparkSession
-    rows = lookup.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df.join(lookup, list(on), how)
-    local = spark.createDataFrame(rows, lookup.schema)
-    return df.join(local.hint("broadcast"), list(on), how)
+    return df.join(stage(lookup, "lookup"), list(on), how)

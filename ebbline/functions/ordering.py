@@ -11,36 +11,17 @@ tie-breaking key.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbline.functions.lookups import attach_lookup
+from ebbline.functions.staging import ensure_checkpoint_dir
 
 BLOCK_BITS = 33  # monotonically_increasing_id keeps the partition above this bit
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session.
-
-    A local session without one gets a temporary folder; a cluster has to name
-    its own in `spark.checkpoint.dir`.
-    """
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        configured = tempfile.mkdtemp(prefix="ebbline-")
-    context.setCheckpointDir(configured)
-    return configured
-
-
 def range_layout(df: DataFrame, keys: Sequence[Column]) -> DataFrame:
     """Globally ordered blocks, with `_pos` (position) and `_block` (number)."""
     ensure_checkpoint_dir(df.sparkSession)

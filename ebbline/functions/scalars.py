@@ -61,6 +61,11 @@ def churn_flag(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("int")
 
 
+def portable_key(id_column: Column | str, seed: int) -> Column:
+    """A hash of an id and a seed that any SQL engine can state: md5 of `id-seed`."""
+    return F.md5(F.concat(as_column(id_column).cast("string"), F.lit(f"-{seed}")).cast("binary"))
+
+
 def cents(value: Column | str) -> Column:
     """Money as whole cents, so that sums are exact whatever their order."""
     return F.round(as_column(value) * 100).cast("long")

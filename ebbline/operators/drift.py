@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbline.functions.ordering import ensure_checkpoint_dir, exact_quantiles
+from ebbline.functions.ordering import exact_quantiles
+from ebbline.functions.staging import ensure_checkpoint_dir
 from ebbline.functions.scalars import bin_number, ratio
 
 # Bands of the stability index and the tolerated drop in AUC.

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbline.functions.ordering import exact_quantiles
-from ebbline.functions.scalars import percent_text, ratio
+from ebbline.functions.scalars import percent_text, portable_key, ratio
 from ebbline.functions.stats import normal_quantile, two_sided_p
 
 
@@ -22,8 +22,8 @@ def experiment_population(
 
 def assign_arms(df: DataFrame, id_column: str = "customer_id", seed: int = 42) -> DataFrame:
     """Even split into control and treatment, the same on every run."""
-    coin = F.pmod(F.xxhash64(F.col(id_column), F.lit(seed)), F.lit(2))
-    return df.withColumn("arm", F.when(coin == 0, "control").otherwise("treatment"))
+    digit = F.substring(portable_key(id_column, seed), 1, 1)
+    return df.withColumn("arm", F.when(digit.isin(*"02468ace"), "control").otherwise("treatment"))
 
 
 def analyze_experiment(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ebbline.functions.grids import add_zero_rows
 from ebbline.functions.lookups import attach_lookup
 from ebbline.functions.ordering import exact_quantiles
-from ebbline.functions.scalars import churn_flag, ratio, rounded_even
+from ebbline.functions.scalars import churn_flag, portable_key, ratio, rounded_even
 
 MAX_TENURE_MONTHS = 72
 CLV_TIERS = ["Low Value", "Medium Value", "High Value"]
@@ -207,4 +207,4 @@ def value_kpis(df: DataFrame) -> DataFrame:
 
 def fixed_sample(df: DataFrame, n: int, id_column: str = "customer_id", seed: int = 42) -> DataFrame:
     """The same `n` rows every time, whatever the partitioning."""
-    return df.orderBy(F.xxhash64(F.col(id_column), F.lit(seed)), id_column).limit(n)
+    return df.orderBy(portable_key(id_column, seed), id_column).limit(n)

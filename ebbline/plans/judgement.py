@@ -345,12 +345,16 @@ def experiment_summary(spark, sf_dir):
     return experiment.summarize_result(result).select("summary")
 
 
-@register("assigned_arms")
+@register("assigned_arms", over_subscribers(f"""
+SELECT CASE WHEN substr(md5(customer_id || '-42'), 1, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e')
+    THEN 'control' ELSE 'treatment' END AS arm,
+  {big('count(*)')} AS customers, {r('avg(churned)', 6)} AS churn_rate FROM subscribers GROUP BY 1"""))
 def assigned_arms(spark, sf_dir):
     assigned = experiment.assign_arms(bridge.subscribers(spark, sf_dir))
-    return assigned.groupBy("arm").agg(
+    arms = assigned.groupBy("arm").agg(
         F.count(F.lit(1)).alias("customers"), F.avg("churned").alias("churn_rate")
     )
+    return round_columns(arms, {"churn_rate": 6})
 
 
 @register("experiment_population", over_scored("""
@@ -379,8 +383,12 @@ def sample_size_sweep(spark, sf_dir):
 
 @register("underpowered_experiment")
 def underpowered_experiment(spark, sf_dir):
-    population = experiment.experiment_population(scored_subscribers(spark, sf_dir))
+    population = store.stage(
+        experiment.experiment_population(scored_subscribers(spark, sf_dir)), "population")
     few = experiment.assign_arms(fixed_sample(population, 60, seed=1))
     result = experiment.analyze_experiment(few)
-    needed = experiment.sample_size(F.col("churn_rate_control"), F.lit(0.08))
-    return experiment.power_warning(result, needed)
+    # The base rate is that of everyone at risk, not of the few in the experiment.
+    base_rate = population.agg(F.avg("score")).scalar()
+    result = result.withColumn("_base", base_rate)
+    needed = experiment.sample_size(F.col("_base"), F.lit(0.08))
+    return experiment.power_warning(result, needed).drop("_base")

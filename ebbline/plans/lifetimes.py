@@ -176,12 +176,16 @@ def value_kpis(spark, sf_dir):
     })
 
 
-@register("fixed_sample")
+@register("fixed_sample", over_subscribers(f"""
+SELECT customer_id, contract, monthly_charges, {r('clv', 2)} AS clv,
+  {r('expected_lifetime_months', 4)} AS expected_lifetime_months
+FROM valued ORDER BY md5(customer_id || '-42'), customer_id LIMIT 1500""", VALUED))
 def fixed_sample(spark, sf_dir):
     valued = _valued(spark, sf_dir).select(
         "customer_id", "contract", "monthly_charges", "clv", "expected_lifetime_months"
     )
-    return survival.fixed_sample(valued, 1500)
+    chosen = survival.fixed_sample(valued, 1500)
+    return round_columns(chosen, {"expected_lifetime_months": 4, "clv": 2})
 
 
 def _cox_fit(spark, sf_dir):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -29,6 +31,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
+    active = SparkSession.getActiveSession()
+    if active is None:
+        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="ebbline-"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

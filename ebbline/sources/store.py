@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ebbline.functions.ordering import ensure_checkpoint_dir
+from ebbline.functions.staging import scratch_path, stage
 from ebbline.schemas import (
     INGESTION_LOG,
     MUTABLE_COLUMNS,
@@ -34,22 +34,6 @@ LOG_FILES = T.StructType([
 ])
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder below the session's shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write a derived table once, for operators that read it several times.
-
-    The copy is in the shared folder: a lost executor costs a re-read, not a
-    second derivation from the source tables.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 # ── plain files ──────────────────────────────────────────────────────────────
 
 def read_customers_csv(spark: SparkSession, path: str) -> DataFrame:
