@@ -21,9 +21,9 @@ from ebbline.operators.features import one_hot
 
 MAX_STEPS = 30
 TOLERANCE = 1e-9
+SMALLEST_STEP = 1e-4
 MAX_DURATIONS = 100_000
-# Ties are summed term by term up to this many deaths at one duration.
-DIRECT_TIES = 100_000
+TIE_BLOCK = 1_000_000  # terms of one duration that are in memory at once
 
 
 @dataclass
@@ -33,6 +33,7 @@ class CoxFit:
     covariance: np.ndarray
     log_likelihood: float
     steps: int
+    converged: bool
     times: np.ndarray
     deaths: np.ndarray
     residual_sums: np.ndarray  # Schoenfeld residuals summed per duration
@@ -52,41 +53,18 @@ def cox_design(
     return design.na.drop(), names
 
 
-def _digamma_pair(x: float) -> tuple[float, float]:
-    """Digamma and trigamma by recurrence and their asymptotic series."""
-    shift1 = shift2 = 0.0
-    while x < 10:
-        shift1 -= 1 / x
-        shift2 += 1 / (x * x)
-        x += 1
-    y = 1 / (x * x)
-    first = math.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y / 252))
-    second = 1 / x + y / 2 + y / x * (1 / 6 - y * (1 / 30 - y / 42))
-    return shift1 + first, shift2 + second
-
-
-def _tie_sums(risk: float, tied: float, deaths: int):
-    """Sums over the Efron terms c = k/deaths, phi = risk - c * tied."""
-    if deaths <= DIRECT_TIES:
-        c = np.arange(deaths) / deaths
+def _tie_sums(risk: float, tied: float, deaths: int) -> np.ndarray:
+    """Sums over the Efron terms c = k/deaths, phi = risk - c * tied, in blocks of terms."""
+    total = np.zeros(6)
+    for first in range(0, deaths, TIE_BLOCK):
+        c = np.arange(first, min(deaths, first + TIE_BLOCK)) / deaths
         phi = risk - c * tied
         inverse = 1 / phi
-        return (
+        total += (
             np.log(phi).sum(), inverse.sum(), (c * inverse).sum(), (inverse**2).sum(),
             (c * inverse**2).sum(), (c**2 * inverse**2).sum(),
         )
-    # The same sums in closed form, for durations with very many deaths.
-    scale = deaths / tied
-    top = risk * scale
-    psi_hi, tri_hi = _digamma_pair(top + 1)
-    psi_lo, tri_lo = _digamma_pair(top - deaths + 1)
-    s1 = scale * (psi_hi - psi_lo)
-    s2 = scale**2 * (tri_lo - tri_hi)
-    logs = math.lgamma(top + 1) - math.lgamma(top - deaths + 1) - deaths * math.log(scale)
-    return (
-        logs, s1, (risk * s1 - deaths) / tied, s2, (risk * s2 - s1) / tied,
-        (risk**2 * s2 - 2 * risk * s1 + deaths) / tied**2,
-    )
+    return total
 
 
 def _duration_sums(design: DataFrame, columns: list, beta: np.ndarray) -> dict:
@@ -169,46 +147,55 @@ def fit_cox(design: DataFrame, names: Sequence[str]) -> CoxFit:
         beta = np.zeros(len(kept))
         sums = _duration_sums(design, columns, beta)
         loglik, gradient, information, residuals = _partial_likelihood(sums, beta)
+        converged = False
         for step in range(1, MAX_STEPS + 1):
             direction = np.linalg.solve(information, gradient)
-            size = 1.0
-            while True:
+            size, better = 1.0, False
+            while not better and size >= SMALLEST_STEP:
                 trial = beta + size * direction
-                sums = _duration_sums(design, columns, trial)
-                new = _partial_likelihood(sums, trial)
-                if new[0] >= loglik - 1e-9 * abs(loglik) or size < 1e-4:
-                    break
+                tried = _duration_sums(design, columns, trial)
+                new = _partial_likelihood(tried, trial)
+                better = new[0] >= loglik - 1e-12 * abs(loglik)
                 size /= 2
+            if not better:
+                # No step along the ascent direction helps: a maximum as far as doubles go,
+                # or a fit that failed. A worse one is never taken.
+                converged = bool(gradient @ direction < TOLERANCE * (abs(loglik) + 1))
+                break
             gain = new[0] - loglik
-            beta = trial
+            beta, sums = trial, tried
             loglik, gradient, information, residuals = new
             if abs(gain) < TOLERANCE * (abs(loglik) + 1):
+                converged = True
                 break
     finally:
         design.unpersist()
     covariance = np.linalg.inv(information) / np.outer(scale, scale)
     return CoxFit(
-        [names[i] for i in kept], beta / scale, covariance, loglik, step,
+        [names[i] for i in kept], beta / scale, covariance, loglik, step, converged,
         sums["times"], sums["n"][1], residuals * scale,
     )
 
 
 def hazard_ratios(spark, fit: CoxFit, level: float = 0.95) -> DataFrame:
-    """Coefficient, hazard ratio, standard error, z, p and interval per covariate."""
+    """Coefficient, hazard ratio, standard error, z, p and interval per covariate.
+
+    `converged` is false where the fit stopped before the likelihood settled.
+    """
     errors = np.sqrt(np.diag(fit.covariance))
     critical = NormalDist().inv_cdf(0.5 + level / 2)
     rows = [
         (
             name, float(b), float(np.exp(b)), float(se), float(b / se),
             math.erfc(abs(b / se) / math.sqrt(2)),
-            float(np.exp(b - critical * se)), float(np.exp(b + critical * se)),
+            float(np.exp(b - critical * se)), float(np.exp(b + critical * se)), fit.converged,
         )
         for name, b, se in zip(fit.names, fit.coefficients, errors)
     ]
     return spark.createDataFrame(
         rows,
         "covariate string, coef double, hazard_ratio double, se double, z double, p double, "
-        "hazard_ratio_low double, hazard_ratio_high double",
+        "hazard_ratio_low double, hazard_ratio_high double, converged boolean",
     )
 
 

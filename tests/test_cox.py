@@ -40,6 +40,7 @@ def fit(spark, rows):
 
 
 def test_covariate_without_variance_is_dropped(fit):
+    assert fit.converged
     assert fit.names == ["x1", "x2"]
 
 
@@ -64,14 +65,19 @@ def test_covariance_is_the_inverse_curvature(fit, rows):
     assert fit.covariance == pytest.approx(np.linalg.inv(-curvature), rel=1e-3)
 
 
-def test_closed_form_of_many_ties():
-    direct = cox._tie_sums(5000.0, 800.0, 900)
-    limit, cox.DIRECT_TIES = cox.DIRECT_TIES, 10
-    try:
-        closed = cox._tie_sums(5000.0, 800.0, 900)
-    finally:
-        cox.DIRECT_TIES = limit
-    assert closed == pytest.approx(direct, rel=1e-6)
+def test_ties_are_summed_in_blocks(monkeypatch):
+    whole = cox._tie_sums(5000.0, 800.0, 900)
+    monkeypatch.setattr(cox, "TIE_BLOCK", 7)
+    assert cox._tie_sums(5000.0, 800.0, 900) == pytest.approx(whole, rel=1e-12)
+
+
+def test_separated_groups_do_not_count_as_converged(spark, monkeypatch):
+    rows = [(float(t), 1, float(t < 6)) for t in range(1, 11)]
+    df = spark.createDataFrame(rows, "_t double, _event int, x double")
+    monkeypatch.setattr(cox, "MAX_STEPS", 3)
+    fit = cox.fit_cox(df, ["x"])
+    assert not fit.converged
+    assert not cox.hazard_ratios(spark, fit).first()["converged"]
 
 
 def test_hazard_table_and_residuals(spark, fit):
