@@ -23,6 +23,7 @@ HEADLINE = [
     "nrr_orders", "nrr_by_contract", "nrr_events",
     "naive_clv", "survival_curves", "customer_value", "churn_reduction_sensitivity",
     "feature_table", "feature_drift_open", "evaluate_score", "analyze_experiment",
+    "describe_columns", "value_summary", "cox_hazard_ratios", "store_upsert", "stream_windows",
 ]
 
 
