@@ -31,7 +31,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -54,6 +54,9 @@ BASE_TERMS = (
     "imbécile débile ordure minable dummkopf trottel abschaum versager erbärmlich widerlich".split()
 )
 
+_BASE = frozenset(BASE_TERMS)
+COUNT_TABLE = 1 << 20  # slots of the table that sorts out rare candidates
+
 KINDS = ("whole", "misspelled", "stem")
 WINDOW_WORDS = 8
 MEMO_WORDS = 500_000
@@ -247,31 +250,38 @@ def _candidates(word: str, shortest: int, longest: int) -> Iterator[tuple[str, b
 
 
 def learn_terms(
-    toxic: list[set[str]], clean: list[set[str]], clean_scale: float = 1.0,
+    toxic: list[Collection[str]], clean: list[Collection[str]], clean_scale: float = 1.0,
     support: int = 3, share: float = 0.01, shortest: int = 4, longest: int = 10,
 ) -> list[Term]:
-    """Greedy cover of the toxic documents (sets of words) by words and stems.
+    """Greedy cover of the toxic documents (their distinct words) by words and stems.
 
     `clean_scale` says how many clean documents one of the sample stands for, a toxic one
     standing for one. BASE_TERMS come first. A further term gains the toxic documents that
     no earlier term covers, at least `support` and a `share` of all, less the clean ones it
     newly hits. Of equal gain the longer text wins, then the whole word, then the alphabet.
     """
+    least = max(support, share * len(toxic))
+    # Most candidates are in one document only. A table of counts by hash, where collisions
+    # only add, says which can reach the support; the others are never stored.
+    table = [0] * COUNT_TABLE
+    for words in toxic:
+        for slot in {hash(t) % COUNT_TABLE for w in words for t in _candidates(w, shortest, longest)}:
+            table[slot] += 1
     held: dict[tuple[str, bool], set[int]] = defaultdict(set)
     for i, words in enumerate(toxic):
         for word in words:
             for term in _candidates(word, shortest, longest):
-                held[term].add(i)
-    least = max(support, share * len(toxic))
-    held = {t: docs for t, docs in held.items() if len(docs) >= least or t[0] in BASE_TERMS and not t[1]}
+                if table[hash(term) % COUNT_TABLE] >= least or word in _BASE and not term[1]:
+                    held[term].add(i)
+    held = {t: docs for t, docs in held.items() if len(docs) >= least or t[0] in _BASE and not t[1]}
     cost: dict[tuple[str, bool], set[int]] = defaultdict(set)
     for i, words in enumerate(clean):
         for word in words:
             for term in _candidates(word, shortest, longest):
                 if term in held:
                     cost[term].add(i)
-    covered = {i for i, words in enumerate(toxic) if not words.isdisjoint(BASE_TERMS)}
-    hit = {i for i, words in enumerate(clean) if not words.isdisjoint(BASE_TERMS)}
+    covered = {i for i, words in enumerate(toxic) if not _BASE.isdisjoint(words)}
+    hit = {i for i, words in enumerate(clean) if not _BASE.isdisjoint(words)}
 
     def weight(term: tuple[str, bool], known: bool) -> float:
         """Log-odds of the term, shrunk for learned ones, at least 0.1."""
@@ -281,7 +291,7 @@ def learn_terms(
         return max(0.1, float(np.log(max(a, 0.5) / n1) - np.log(c / n0)))
 
     chosen = [Term(t, False, weight((t, False), True)) for t in BASE_TERMS]
-    queue = [(-float(len(docs)), -len(t[0]), t[1], t[0]) for t, docs in held.items() if t[0] not in BASE_TERMS]
+    queue = [(-float(len(docs)), -len(t[0]), t[1], t[0]) for t, docs in held.items() if t[0] not in _BASE]
     heapq.heapify(queue)
     while queue:
         bound, length, stem, text = heapq.heappop(queue)
@@ -319,7 +329,7 @@ def fit_weights(features: np.ndarray, labels: np.ndarray, penalty: float = 0.05,
 
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, may_learn: Column, id_column: str = "doc_id",
-    text: str = "text", label: str = "toxic", sample_docs: int = 3000, seed: int = 23,
+    text: str = "text", label: str = "toxic", sample_docs: int = 2000, seed: int = 23,
     fuzzy_from: int = 5,
 ) -> ToxicityModel:
     """Learn terms and weights from labelled rows for which `may_learn` (over the id) holds."""
@@ -342,12 +352,14 @@ def fit_toxicity(
         docs.select(id_column, text).join(F.broadcast(chosen), id_column)
         .where("_label IN (0, 1)").withColumn("_fold", fold)
     )
-    words: dict[tuple[int, int], list[set[str]]] = {(f, y): [] for f in (0, 1) for y in (0, 1)}
+    words: dict[tuple[int, int], list[tuple[str, ...]]] = {(f, y): [] for f in (0, 1) for y in (0, 1)}
+    shared: dict[str, str] = {}  # one copy of each word
     for row in (
         sample.select(id_column, "_label", "_fold", distinct_words(utf8(text)).alias("w"))
         .orderBy(id_column).toLocalIterator()
     ):
-        words[row["_fold"], row["_label"]].append({run for w in row["w"] for run in letter_runs(bytes(w))})
+        own = {run for w in row["w"] for run in letter_runs(bytes(w))}
+        words[row["_fold"], row["_label"]].append(tuple(shared.setdefault(w, w) for w in sorted(own)))
     shares = {r["_label"]: r["count"] for r in usable.groupBy("_label").count().collect()}
     taken = [len(words[0, y]) + len(words[1, y]) for y in (0, 1)]
     scale = shares.get(0, 0) / max(1, taken[0]) * taken[1] / max(1, shares.get(1, 0)) or 1.0
