@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 
 from ebbline.llm.common import stage
 
-HITS = "query_id bigint, vec_id bigint, score double"
+HITS = "query_id bigint, hits array<struct<score:double,vec_id:bigint>>"
 VECTOR = "array<double>"
 
 
@@ -55,6 +55,7 @@ class LshIndex:
     width: float
     scale: float            # largest norm
     probes: int
+    rows: int               # vectors it was fitted on
     recall: float           # of the calibration queries at that number of probes
 
     @property
@@ -220,7 +221,7 @@ def fit_index(
     while True:
         rng = np.random.default_rng(seed)
         index = LshIndex(
-            rng.standard_normal((tables, hashes, dim + 1)), rng.random((tables, hashes)), width, scale, 1, 1.0)
+            rng.standard_normal((tables, hashes, dim + 1)), rng.random((tables, hashes)), width, scale, 1, count, 1.0)
         ranks = np.sort(_ranks(index, queries, ids, truth))
         if not len(ranks):
             return index
@@ -256,22 +257,87 @@ def _ranks(index: LshIndex, queries: np.ndarray, ids: np.ndarray, truth: list) -
 def _merge(hits: DataFrame, k: int, *more: Column) -> DataFrame:
     """The k best distinct candidates of each query, `rank` from 1."""
     entry = F.struct((-F.col("score")).alias("s"), "vec_id", *more)
-    best = hits.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set(entry)), 1, k).alias("best"))
+    return _ranked(
+        hits.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set(entry)), 1, k).alias("best")),
+        *(["v"] if more else []))
+
+
+def _ranked(best: DataFrame, *more: str) -> DataFrame:
     return best.select("query_id", F.posexplode("best").alias("p", "b")).select(
         "query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"),
-        (-F.col("b.s")).alias("score"), *[F.col(f"b.{c}") for c in ([] if not more else ["v"])])
+        (-F.col("b.s")).alias("score"), *[F.col(f"b.{c}") for c in more])
+
+
+@dataclass(frozen=True)
+class Placement:
+    """Which part of the index holds a bucket.
+
+    A bucket of more than the limit is dealt out over chunks by the vectors' ids, and each
+    chunk has its own part. There are at most as many such buckets as index entries divided
+    by the limit.
+    """
+
+    index: LshIndex
+    parts: int
+    hot: np.ndarray     # ascending keys of large buckets
+    chunks: np.ndarray  # how many chunks each has
+
+    def _chunks(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.hot):
+            return np.ones(keys.shape, dtype=np.int64)
+        at = np.searchsorted(self.hot, keys).clip(0, len(self.hot) - 1)
+        return np.where(self.hot[at] == keys, self.chunks[at], 1)
+
+    def _part(self, keys: np.ndarray, chunk: np.ndarray) -> np.ndarray:
+        return (_mixed(keys.astype(np.uint64) + _mixed(chunk.astype(np.uint64))) % np.uint64(self.parts)).astype(np.int64)
+
+    def place(self, ids: np.ndarray, vectors: np.ndarray) -> list[list[dict]]:
+        """Parts of each vector, with its buckets there."""
+        keys = self.index.keys(np.floor(self.index.slots(vectors, query=False)).astype(np.int64))
+        chunk = (_mixed(ids.astype(np.uint64))[:, None] % self._chunks(keys).astype(np.uint64)).astype(np.int64)
+        return [_by_part(k, p) for k, p in zip(keys, self._part(keys, chunk))]
+
+    def ask(self, vectors: np.ndarray) -> list[list[dict]]:
+        """Parts of each query's probed buckets, all chunks of large ones included."""
+        out = []
+        for keys in self.index.probe_keys(vectors):
+            chunks = self._chunks(keys)
+            spread = np.repeat(keys, chunks)
+            chunk = np.arange(len(spread)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+            out.append(_by_part(spread, self._part(spread, chunk)))
+        return out
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser: unsigned numbers spread evenly."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        return x ^ (x >> np.uint64(29))
+
+
+def _by_part(keys: np.ndarray, parts: np.ndarray) -> list[dict]:
+    order = np.argsort(parts, kind="stable")
+    cuts = np.flatnonzero(np.diff(parts[order])) + 1
+    return [
+        {"part": int(parts[group[0]]), "buckets": np.unique(keys[group]).tolist()}
+        for group in np.split(order, cuts) if len(group)
+    ]
+
+
+_PLACES = pa.list_(pa.struct([("part", pa.int64()), ("buckets", pa.list_(pa.int64()))]))
+_PLACES_DDL = "array<struct<part:bigint,buckets:array<bigint>>>"
 
 
 def search(
     vectors: DataFrame, queries: DataFrame, index: LshIndex, k: int = 20,
-    part_rows: int = 8192, bucket_limit: int = 4096,
+    part_bytes: int = 8 << 20, bucket_limit: int = 4096,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k nearest found.
 
     `vectors` and `queries` have `id, v`; a query's own id is no candidate of it.
     """
-    spark = vectors.sparkSession
-    sent = spark.sparkContext.broadcast(index)
+    context = vectors.sparkSession.sparkContext
+    sent = context.broadcast(index)
 
     @F.arrow_udf("array<bigint>")
     def own_keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -279,32 +345,35 @@ def search(
             cells = np.floor(sent.value.slots(_matrix(column), query=False)).astype(np.int64) if len(column) else None
             yield pa.array(sent.value.keys(cells).tolist() if len(column) else [], type=pa.list_(pa.int64()))
 
-    @F.arrow_udf("array<bigint>")
-    def probed_keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    # Only large buckets come to the driver; their number is bounded by their size.
+    large = (
+        vectors.select(F.explode(own_keys.asNondeterministic()("v")).alias("bucket"))
+        .groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_limit)
+        .orderBy("bucket").collect()
+    )
+    dim = index.directions.shape[2] - 1
+    placement = context.broadcast(Placement(
+        index, max(1, -(-index.rows * index.tables * dim * 8 // part_bytes)),
+        np.array([r["bucket"] for r in large], dtype=np.int64),
+        np.array([-(-r["n"] // bucket_limit) for r in large], dtype=np.int64)))
+
+    @F.arrow_udf(_PLACES_DDL)
+    def place(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for ids, column in batches:
+            found = placement.value.place(ids.to_numpy(), _matrix(column)) if len(column) else []
+            yield pa.array(found, type=_PLACES)
+
+    @F.arrow_udf(_PLACES_DDL)
+    def ask(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            yield pa.array(sent.value.probe_keys(_matrix(column)).tolist() if len(column) else [],
-                           type=pa.list_(pa.int64()))
-
-    entries = stage(
-        vectors.select("id", F.explode(own_keys.asNondeterministic()("v")).alias("bucket")), "lsh-entries")
-    sizes = stage(
-        entries.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / bucket_limit).alias("chunks")), "lsh-buckets")
-    parts = max(1, -(-entries.count() // part_rows))
-    part = F.pmod(F.xxhash64("bucket", "chunk"), F.lit(parts)).cast("int").alias("part")
+            yield pa.array(placement.value.ask(_matrix(column)) if len(column) else [], type=_PLACES)
+
     # Vectors and queries go once to each part that needs them, with their buckets there.
-    placed = (
-        entries.join(sizes, "bucket")
-        .withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
-        .select("id", part, "bucket").groupBy("id", "part").agg(F.collect_set("bucket").alias("buckets"))
-        .join(vectors, "id").select("part", F.lit(0).alias("kind"), "id", "buckets", "v")
-    )
-    asked = (
-        queries.select("id", F.explode(probed_keys.asNondeterministic()("v")).alias("bucket"))
-        .join(sizes, "bucket")
-        .select("id", "bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
-        .select("id", part, "bucket").groupBy("id", "part").agg(F.collect_set("bucket").alias("buckets"))
-        .join(queries, "id").select("part", F.lit(1).alias("kind"), "id", "buckets", "v")
-    )
+    columns = ["at.part", "kind", "id", "at.buckets", "v"]
+    placed = vectors.select(
+        "id", "v", F.lit(0).alias("kind"), F.explode(place.asNondeterministic()("id", "v")).alias("at")).select(*columns)
+    asked = queries.select(
+        "id", "v", F.lit(1).alias("kind"), F.explode(ask.asNondeterministic()("v")).alias("at")).select(*columns)
     both = placed.unionByName(asked).repartition("part").sortWithinPartitions("part", "kind", "id")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,11 +390,25 @@ def search(
                 if kinds[a] == 0:
                     block.add(int(which[a]), ids, lists, matrix)
                     continue
-                rows = block.answer(int(which[a]), ids, lists, matrix, k)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c) for c in rows], names=["query_id", "vec_id", "score"])
+                yield _hit_rows(*block.answer(int(which[a]), ids, lists, matrix, k))
+
+    # One row per query and part; what they hold is merged without being spread out.
+    best = both.mapInArrow(score, HITS).groupBy("query_id").agg(
+        F.slice(F.array_sort(F.array_distinct(F.transform(
+            F.flatten(F.collect_list("hits")),
+            lambda h: F.struct((-h["score"]).alias("s"), h["vec_id"].alias("vec_id"))))), 1, k).alias("best"))
+    return _ranked(best)
+
 
-    return _merge(both.mapInArrow(score, HITS), k)
+def _hit_rows(owners: list[int], ids: list[np.ndarray], scores: list[np.ndarray]) -> pa.RecordBatch:
+    """One row per query with its best candidates in a part."""
+    offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
+    flat = pa.StructArray.from_arrays(
+        [pa.array(np.concatenate([np.zeros(0), *scores])),
+         pa.array(np.concatenate([np.zeros(0, np.int64), *ids]).astype(np.int64))], ["score", "vec_id"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(owners, type=pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)],
+        names=["query_id", "hits"])
 
 
 class _PartBlock:
@@ -361,11 +444,10 @@ class _PartBlock:
                             probed[self.members[bucket]] = True
                     rough[~probed | (self.ids == own)] = -np.inf
                     near, exact = _nearest(self.matrix, self.ids, query, rough, k)
-                    out[0].append(np.full(len(near), own))
+                    out[0].append(int(own))
                     out[1].append(self.ids[near])
                     out[2].append(exact)
-        kinds = (np.int64, np.int64, np.float64)
-        return [np.concatenate(c).astype(t) if c else np.zeros(0, t) for c, t in zip(out, kinds)]
+        return out
 
 
 def nearest_neighbours(

@@ -169,7 +169,7 @@ def test_recall_with_clusters_norms_and_a_hot_bucket(spark):
     vectors = neighbours.usable_vectors(table).cache()
     index = neighbours.fit_index(vectors, 10)
     assert index.recall >= 0.95
-    got = neighbours.search(vectors, vectors.where("id % 20 = 0"), index, 10, part_rows=300, bucket_limit=100).collect()
+    got = neighbours.search(vectors, vectors.where("id % 20 = 0"), index, 10, part_bytes=300 * 16 * 8, bucket_limit=100).collect()
     expected = brute_neighbours(rows, range(0, 1500, 20), 10)
     found = sum(r["vec_id"] in {i for i, _ in expected[r["query_id"]]} for r in got)
     assert found / sum(map(len, expected.values())) >= 0.9
@@ -177,7 +177,7 @@ def test_recall_with_clusters_norms_and_a_hot_bucket(spark):
 
 
 def test_probe_order_is_by_border_distance():
-    index = neighbours.LshIndex(np.zeros((1, 3, 2)), np.zeros((1, 3)), 1.0, 1.0, 1, 1.0)
+    index = neighbours.LshIndex(np.zeros((1, 3, 2)), np.zeros((1, 3)), 1.0, 1.0, 1, 1, 1.0)
     order = index.probe_order(np.array([0.1, 0.5, 0.8]), 27)
     costs = [sum(((0.1, 0.5, 0.8)[j] if o < 0 else 1 - (0.1, 0.5, 0.8)[j]) ** 2 for j, o in enumerate(row) if o) for row in order]
     assert costs == sorted(costs) and len({tuple(r) for r in order}) == 27 and not order[0].any()
