@@ -90,7 +90,8 @@ def rule_index(rules: DataFrame, tokens: DataFrame) -> DataFrame:
     `tokens` has one row per URL and token (`token`). Only tokens that occur in a rule
     are counted, partially before the shuffle.
     """
-    wanted = rules.select("rule", F.explode("tokens").alias("token"))
+    # Written, so that the planner knows its size and need not shuffle frequent tokens.
+    wanted = stage(rules.select("rule", F.explode("tokens").alias("token")), "rule-tokens")
     counts = (
         tokens.join(wanted.select("token").distinct(), "token", "left_semi")
         .groupBy("token").agg(F.count(F.lit(1)).alias("urls"))
