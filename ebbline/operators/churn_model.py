@@ -145,3 +145,24 @@ def retrain_and_compare(
         row, "old_model_auc double, new_model_auc double, improved boolean, delta double"
     ).withColumn("retrained_at", F.current_timestamp())
     return new_model, report
+
+
+def retrain_if_needed(
+    train_fn: Trainer, new_train: DataFrame, test: DataFrame, old_model: Model, decision: DataFrame
+) -> DataFrame:
+    """The comparison of retrain_and_compare() with the decision's verdict and reasons.
+
+    Nothing is trained unless the decision (a row of `drift.retrain_decision`) says so; the
+    new model's figures are null then.
+    """
+    row = decision.select("should_retrain", "reasons").first()
+    if row["should_retrain"]:
+        _, report = retrain_and_compare(train_fn, new_train, test, old_model)
+    else:
+        kept = [(roc_auc(score(old_model, test), "label"), None, None, None)]
+        report = test.sparkSession.createDataFrame(
+            kept, "old_model_auc double, new_model_auc double, improved boolean, delta double"
+        ).withColumn("retrained_at", F.lit(None).cast("timestamp"))
+    return report.withColumns({
+        "should_retrain": F.lit(row["should_retrain"]), "reasons": F.lit(row["reasons"]),
+    })

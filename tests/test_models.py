@@ -4,7 +4,8 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from ebbline.operators import attribution, churn_model, features, scoring, splits
+from ebbline.operators import attribution, churn_model, drift, features, scoring, splits
+from ebbline.plans import models
 from ebbline.sources import bridge, store
 
 
@@ -89,6 +90,41 @@ def test_cross_validation_and_retraining(prepared):
     assert row["delta"] == pytest.approx(0) and not row["improved"]
 
 
+@pytest.fixture
+def fits(monkeypatch):
+    """Rows of each boosted fit of a query, with few trees; any other fit fails."""
+    rows, whole = [], churn_model.train_boosted
+
+    def few(train):
+        rows.append(train.count())
+        return whole(train, trees=2)
+
+    monkeypatch.setattr(churn_model, "train_boosted", few)
+    monkeypatch.setattr(churn_model, "train_logistic", lambda train: pytest.fail("logistic"))
+    return rows
+
+
+def test_query_cross_validates_the_boosted_model(spark, prepared, fits):
+    assert models.cross_validation(spark, SMALL).count() == 5
+    assert len(fits) == 5 and sum(fits) == 4 * prepared.count()
+
+
+def test_query_retrains_on_drift_only(spark, fits, monkeypatch):
+    row = models.retrain_and_compare(spark, SMALL).first()
+    assert row["should_retrain"] and "'MonthlyCharges'" in row["reasons"]
+    assert len(fits) == 2 and row["delta"] == pytest.approx(row["new_model_auc"] - row["old_model_auc"])
+    asked = []
+
+    def calm(shifts, performance):
+        asked.append((shifts.count(), performance.first()["baseline_auc"]))
+        return spark.createDataFrame([(False, "")], "should_retrain boolean, reasons string")
+
+    monkeypatch.setattr(drift, "retrain_decision", calm)
+    row = models.retrain_and_compare(spark, SMALL).first()
+    assert len(fits) == 3 and asked[0][0] == 5 and 0.5 < asked[0][1] < 1 and asked[0][1] != 0.9
+    assert row["new_model_auc"] is None and row["improved"] is None and row["old_model_auc"] > 0
+
+
 def test_contributions_add_up(subs):
     parts = attribution.linear_contributions(subs, {"tenure": -0.1, "tech_support": 0.4}, 1.0)
     gap = parts.select(
