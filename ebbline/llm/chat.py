@@ -7,16 +7,17 @@ system prompt, dropped earlier reasoning), and the turn is reported with the len
 outputs still share. The text inside a span is found by a second rendering in which the
 turn says only a sentinel: what stands before and after the sentinel is markup.
 
-A long conversation would make prefix rendering quadratic and its memory unbounded. After
-`context_turns` turns or `context_chars` characters the context is therefore anchored anew
-at its last turn: the rendering of that turn alone becomes the base, and the following
-turns are located against it. That is exact for a template whose markup of a turn depends
-on the turn before at most. It is checked at every anchor by rendering the next turn in
-the old and the new context; if the two differ, the old context is kept and grows on, so
-the result is the same as with full prefixes, and only the memory bound is given up.
+A template is rendered with full prefixes, which is quadratic in the turns of a conversation
+and holds all its text. Only a template declared `@local` is not: it promises that the
+rendering of `[..., previous, turn]` is that of `[..., previous]` followed by what `turn` adds
+to `[previous]` alone, so that what a turn adds depends on the turn before at most and nothing
+is ever rewritten. For it the context is anchored anew at its last turn after `context_turns`
+turns or `context_chars` characters: the rendering of that turn alone becomes the base, and the
+following turns are located against it. The next turn is still rendered in both contexts at an
+anchor; where they differ, the declaration is wrong and an error says so.
 
 Rows are brought together by conversation and sorted by turn; a task streams over them
-and holds one context, not a conversation.
+and holds one context, which for a template that is not local is the conversation.
 
 Defined results: a null text is empty, a null role too. Ties in the turn go by role and
 text. Repeated rows are turns of their own. A null conversation id is a conversation. An
@@ -62,6 +63,13 @@ def escape_role(role: str) -> str:
     return escape(role).replace("]", "\\]")
 
 
+def local(template: Template) -> Template:
+    """Declare that what a turn adds depends on the turn before at most, and rewrites nothing."""
+    template.local = True
+    return template
+
+
+@local
 def instruct_template(turns: Sequence[Turn]) -> str:
     """`<s>`, then `[INST] user [/INST]`, ` assistant</s>`, `[SYS] system [/SYS]`;
     other roles are named in `[ROLE name]` blocks. Texts are escaped."""
@@ -126,11 +134,11 @@ class IncrementalFormatter:
 
     def __init__(self, template: Template, context_turns: int = CONTEXT_TURNS, context_chars: int = CONTEXT_CHARS):
         self.template, self.turn_limit, self.char_limit = template, context_turns, context_chars
+        self.anchors = getattr(template, "local", False)
         self.turns: list[Turn] = []
         self.base = ""       # rendering of the context
         self.done = 0        # turns located
         self.length = 0      # characters of the whole formatted text so far
-        self.retry_at = 0    # context size at which anchoring is tried again
 
     def _added(self, context: list[Turn], base: str, turn: Turn) -> str | None:
         output = self.template([*context, turn])
@@ -148,18 +156,16 @@ class IncrementalFormatter:
         return None
 
     def _anchor(self, turn: Turn) -> None:
-        """Shorten the context to its last turn if the next turn renders alike there."""
+        """Shorten the context to its last turn."""
         short = self.turns[-1:]
         base = self.template(short)
-        if self._added(short, base, turn) == self._added(self.turns, self.base, turn) is not None:
-            self.turns, self.base = short, base
-            self.retry_at = 0
-        else:
-            self.retry_at = 2 * len(self.turns)
+        if not self._added(short, base, turn) == self._added(self.turns, self.base, turn) is not None:
+            raise ValueError(f"the template is declared local, but turn {self.done} depends on more than one before")
+        self.turns, self.base = short, base
 
     def add(self, role: str, text: str) -> Span:
         turn = (role, text)
-        if len(self.turns) > 1 and len(self.turns) >= self.retry_at and (
+        if self.anchors and len(self.turns) > 1 and (
                 len(self.turns) >= self.turn_limit or len(self.base) >= self.char_limit):
             self._anchor(turn)
         before = len(self.base)
@@ -244,7 +250,8 @@ def format_conversations(
     whole), `text_start` and `text_stop` (the message inside), `loss` (whether the message
     is learned: role assistant), `rewrites_history` and `shared_chars`. Joining `formatted`
     by position gives the conversation, unless a turn rewrites history: then the text
-    before it counts up to `shared_chars` only.
+    before it counts up to `shared_chars` only. `context_turns` and `context_chars` bound the
+    context of a template declared `@local`; any other is rendered with full prefixes.
     """
     source = _sorted_turns(turns, id_column)
     schema = T.StructType([

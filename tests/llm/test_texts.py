@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import zlib
 
@@ -196,6 +197,44 @@ def test_template_that_looks_far_back_keeps_its_context():
     assert "".join(formatter.add(*t).formatted for t in turns) == numbered(turns)
 
 
+def follow(template, turns):
+    """Spans, and the text that they build up, checked against every full prefix."""
+    formatter, text, spans = chat.IncrementalFormatter(template), "", []
+    for i, turn in enumerate(turns):
+        s = formatter.add(*turn)
+        before, full = text, template(turns[:i + 1])
+        text = text[:s.shared if s.rewrites else len(text)] + s.formatted
+        assert text == full and s.rewrites == (not full.startswith(before)), i
+        assert s.start == s.shared == len(os.path.commonprefix([before, full])), i
+        spans.append(s)
+    return spans
+
+
+def test_templates_that_drop_or_move_turns_late_are_followed():
+    def last_twenty(turns):
+        return "".join(f"{r}: {t}\n" for r, t in turns[-20:])
+
+    def system_first(turns):
+        return "".join(f"<{r}>{t}" for r, t in sorted(turns, key=lambda t: t[0] != "system"))
+
+    turns = [("user" if i % 2 else "assistant", f"t{i}") for i in range(50)]
+    assert [s.rewrites for s in follow(last_twenty, turns)] == [i >= 20 for i in range(50)]
+    turns[30] = ("system", "late")
+    spans = follow(system_first, turns)
+    assert [s.position for s in spans if s.rewrites] == [30] and spans[30].shared == 1
+
+
+def test_wrongly_declared_template_is_an_error():
+    @chat.local
+    def numbered(turns):
+        return "".join(f"{i}/{r}:{t};" for i, (r, t) in enumerate(turns))
+
+    formatter = chat.IncrementalFormatter(numbered, context_turns=3)
+    with pytest.raises(ValueError, match="declared local"):
+        for i in range(5):
+            formatter.add("user", f"t{i}")
+
+
 def test_conversation_rows(spark):
     rows = [
         (1, 1, "assistant", "b <s>"), (1, 0, "user", None), (1, 2, None, "x"), (None, 0, "user", "n"), (2, None, "assistant", ""),
