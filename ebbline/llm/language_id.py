@@ -3,8 +3,9 @@
 The network reads every byte of a text in both directions and labels every position; a
 document's probabilities are the mean over its positions. It is trained in numpy by
 backpropagation through time (Adam, balanced over languages) on windows of a bounded
-sample of labelled documents: at most `sample_docs` rows, the ones of the smallest hash,
-and `windows` evenly spaced windows of each. Labelling reads whole texts: a text is cut
+sample of labelled documents: of each language of the whole table an equal part of
+`sample_docs` distinct ids, one at least, those of the smallest hash, and `windows` evenly
+spaced windows of each; of copies of an id in a language one counts. Labelling reads whole texts: a text is cut
 into segments of `steps` bytes, each read with fresh states, and segments of many
 documents run side by side as matrices inside an Arrow function.
 
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ebbline.llm.common import replace_columns, utf8
@@ -223,7 +224,7 @@ def training_windows(
     docs: DataFrame, label: str = "lang", id_column: str = "doc_id", text: str = "text",
     sample_docs: int = 3000, windows: int = 4, steps: int = 48, seed: int = 11,
 ) -> tuple[list[bytes], list[str]]:
-    """Windows of the `sample_docs` labelled documents of the smallest hash."""
+    """Windows of labelled documents of the smallest hash, as many of each language."""
 
     @F.arrow_udf("array<binary>")
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -236,13 +237,24 @@ def training_windows(
                 out.append([body[s:s + steps] for s in starts] if body else [])
             yield pa.array(out, type=pa.list_(pa.binary()))
 
-    # Ids first, so that no text is sorted; their number is bounded by the parameter.
-    order = [F.xxhash64(id_column, F.lit(seed)), F.col(id_column)]
-    labelled = docs.where(F.col(label).isNotNull() & F.col(id_column).isNotNull())
-    chosen = labelled.select(id_column).orderBy(*order).limit(sample_docs)
+    # Ids first, so that no text is sorted; copies of an id count once per language.
+    labelled = docs.where(F.col(label).isNotNull() & F.col(id_column).isNotNull()).select(
+        id_column, F.col(label).alias("label"), F.col(text).alias("_text"))
+    pairs = labelled.select(id_column, "label").distinct().withColumn("_hash", F.xxhash64(id_column, F.lit(seed)))
+    sizes = pairs.groupBy("label").agg(F.count(F.lit(1)).alias("_n"), F.min("_hash").alias("_least"))
+    each = max(1, sample_docs // max(1, sizes.count()))
+    # What may be among a language's smallest hashes is little, so that no task ranks all of it.
+    near = (F.col("_hash") / F.lit(2.0**64) + 0.5) * F.col("_n") <= 2 * each + 20
+    first = Window.partitionBy("label").orderBy("_hash", id_column)
+    chosen = (
+        pairs.join(sizes, "label").where(near | (F.col("_hash") == F.col("_least")))
+        .withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= each)
+        .select(id_column, "label")
+    )
     rows = (
-        labelled.join(F.broadcast(chosen.distinct()), id_column, "left_semi")
-        .select(id_column, F.col(label).alias("label"), cut(utf8(text)).alias("windows"))
+        labelled.join(F.broadcast(chosen), [id_column, "label"], "left_semi")
+        .select(id_column, "label", cut(utf8("_text")).alias("windows"))
+        .groupBy(id_column, "label").agg(F.max("windows").alias("windows"))
         .orderBy(id_column, "label").collect()
     )
     pairs = [(bytes(w), r["label"]) for r in rows for w in r["windows"]]

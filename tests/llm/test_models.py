@@ -163,6 +163,15 @@ def test_language_rows(spark, reader):
     assert {r["lang_pred"] for r in language_id.predict_language(docs, None).collect()} == {"und"}
 
 
+def test_training_sample_has_rare_languages_and_stays_bounded(spark):
+    rows = [(i, "the thing and the", "aa") for i in range(3000)] + [(7000, "der und schön", "rare")]
+    rows += [(i, "copied words", "bb") for i in (8000, 8001) for _ in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    _, labels = language_id.training_windows(docs, sample_docs=30, windows=1)
+    assert {k: labels.count(k) for k in labels} == {"aa": 10, "bb": 2, "rare": 1}
+    assert language_id.training_windows(docs.limit(0)) == ([], [])
+
+
 def test_held_out_languages(spark):
     from ebbline.llm import queries
 
