@@ -241,7 +241,8 @@ SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS ts,
 FROM events GROUP BY user_id""")
 def stream_upserts(spark, sf_dir):
     """The last event of every user. Four batches hold events of the same users, and times
-    go back and forth between them; the stream is restarted half way."""
+    go back and forth between them; the stream is restarted for each. A batch is a folder of
+    as many files as it has partitions."""
     root = store.scratch_path(spark, "stream")
     events = store.stage(
         bridge.table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type", "value"),
@@ -249,11 +250,10 @@ def stream_upserts(spark, sf_dir):
     arrivals = f"{root}/arrivals"
     for batch in (2, 0, 3, 1):
         part = events.where(F.pmod("event_id", F.lit(4)) == batch)
-        part.coalesce(1).write.mode("append").parquet(arrivals)
-        if batch in (0, 1):
-            stream = jobs.file_stream(spark, arrivals, events.schema, files_per_batch=1)
-            jobs.ingest_upserts(
-                stream, root, "user_id", ["event_id", "ts", "event_type", "value"], ["ts", "event_id"])
+        part.write.parquet(f"{arrivals}/{batch}")
+        stream = jobs.file_stream(spark, f"{arrivals}/*", events.schema)
+        jobs.ingest_upserts(
+            stream, root, "user_id", ["event_id", "ts", "event_type", "value"], ["ts", "event_id"])
     return store.read_snapshot(spark, f"{root}/stream_customers", events.schema)
 
 

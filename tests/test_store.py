@@ -1,11 +1,13 @@
 """The store and the incremental jobs."""
 
 from datetime import timedelta
+from pathlib import Path
 
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
+from ebbline.plans import ingestion
 from ebbline.sources import bridge, store
 from ebbline.streaming import jobs
 
@@ -162,3 +164,20 @@ def test_bucketed_tables_join_without_a_shuffle(spark, root):
     assert joined.count() == 1000
     # Creating it again replaces the rows.
     assert store.replace_table(rows.limit(10), "bucketed_left", f"{root}/left", "id", 8).count() == 10
+
+
+def test_an_arrival_of_many_files_is_one_batch(spark, monkeypatch):
+    whole, ingest, files, roots = store.stage, jobs.ingest_upserts, [], []
+    monkeypatch.setattr(store, "stage", lambda df, name: whole(df.repartition(3), name))
+
+    def counted(stream, root, *rest):
+        folder = Path(root.removeprefix("file:"))
+        files.append(len(list(folder.glob("arrivals/**/part-*.parquet"))))
+        ingest(stream, root, *rest)
+        roots.append(len(list(folder.glob("stream_log/table=customers/batch=*"))))
+
+    monkeypatch.setattr(jobs, "ingest_upserts", counted)
+    got = ingestion.stream_upserts(spark, SMALL)
+    assert files == [3, 6, 9, 12] and roots == [1, 2, 3, 4]
+    events = spark.read.parquet(f"{SMALL}/events.parquet")
+    assert got.count() == events.select("user_id").distinct().count()
