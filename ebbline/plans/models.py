@@ -24,19 +24,11 @@ def _prepared(spark, sf_dir):
     return store.stage(features.model_features(_table(spark, sf_dir)), "features")
 
 
-_FITTED: dict[tuple[str, str], str] = {}
-
-
-def _fitted_on_everyone(spark, sf_dir, prepared):
-    """The boosted model of all customers, fitted and saved once in a session.
-
-    Three queries look at the same model; each loads the saved one.
-    """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _FITTED:
-        path = store.scratch_path(spark, "model")
-        _FITTED[key] = churn_model.save_model(churn_model.train_boosted(prepared), path)
-    return churn_model.load_boosted(_FITTED[key]), _FITTED[key]
+def _fitted_on_everyone(spark, prepared):
+    """The boosted model of all customers: fitted, saved and loaded again, with its folder."""
+    path = store.scratch_path(spark, "model")
+    churn_model.save_model(churn_model.train_boosted(prepared), path)
+    return churn_model.load_boosted(path), path
 
 
 def _split(spark, sf_dir):
@@ -76,7 +68,7 @@ def boosted_model(spark, sf_dir):
 @register("feature_importance")
 def feature_importance(spark, sf_dir):
     table = _table(spark, sf_dir)
-    model, _ = _fitted_on_everyone(spark, sf_dir, _prepared(spark, sf_dir))
+    model, _ = _fitted_on_everyone(spark, _prepared(spark, sf_dir))
     return churn_model.feature_importance(model, features.feature_names(table))
 
 
@@ -84,7 +76,7 @@ def feature_importance(spark, sf_dir):
 def tree_contribution_ranking(spark, sf_dir):
     table = _table(spark, sf_dir)
     prepared = _prepared(spark, sf_dir)
-    model, path = _fitted_on_everyone(spark, sf_dir, prepared)
+    model, path = _fitted_on_everyone(spark, prepared)
     parts = tree_attribution.tree_contributions(model, path, prepared)
     return tree_attribution.contribution_ranking(parts, features.feature_names(table))
 
@@ -99,7 +91,7 @@ def cross_validation(spark, sf_dir):
 def scored_customers(spark, sf_dir):
     """Fit, save, load again and score everyone."""
     prepared = _prepared(spark, sf_dir)
-    model, _ = _fitted_on_everyone(spark, sf_dir, prepared)
+    model, _ = _fitted_on_everyone(spark, prepared)
     return churn_model.score(model, prepared, "churn_probability").select(
         "customerID", "label", "churn_probability"
     )

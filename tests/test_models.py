@@ -125,6 +125,12 @@ def test_query_retrains_on_drift_only(spark, fits, monkeypatch):
     assert row["new_model_auc"] is None and row["improved"] is None and row["old_model_auc"] > 0
 
 
+def test_every_query_of_the_whole_model_fits_it(spark, prepared, fits):
+    for query in (models.scored_customers, models.feature_importance, models.tree_contribution_ranking):
+        assert query(spark, SMALL).count() > 0
+    assert fits == [prepared.count()] * 3
+
+
 def test_contributions_add_up(subs):
     parts = attribution.linear_contributions(subs, {"tenure": -0.1, "tech_support": 0.4}, 1.0)
     gap = parts.select(
