@@ -10,14 +10,16 @@ from ebbline.llm import (
     contamination,
     covering_simhash,
     language_id,
+    merkle,
     neighbours,
     ordinal_quality,
     packing,
     sharding,
     toxicity,
     url_rules,
+    whitening,
 )
-from ebbline.llm.common import crc32_text, read_table, remainder, utf8  # noqa: F401
+from ebbline.llm.common import ascii_lower, crc32_text, read_table, remainder, utf8  # noqa: F401
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -249,3 +251,77 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (F.octet_length(body) + 8).cast("long").alias("size"),
         F.crc32(body).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+# ── 11: Merkle dataset manifest ──────────────────────────────────────────────
+
+MANIFEST_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def _manifest_sql(levels: int = 6) -> str:
+    """Runs of 16 level by level, written out: enough for 16^levels leaves of a source."""
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(
+            f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({v}::VARCHAR) || ':' || {v}::VARCHAR END"
+            for c, v in zip(MANIFEST_FIELDS, [*MANIFEST_FIELDS[:-1], text])) + ")"
+
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    key = "(doc_id::VARCHAR)"
+    # CRC-32 bit by bit; a byte of the key enters before every eighth step.
+    mixed = f"CASE WHEN i % 8 = 0 THEN xor(c, ascii({key}[i // 8 + 1])::BIGINT) ELSE c END"
+    crc = (
+        f"xor(4294967295, list_reduce(range(8 * length({key})), lambda c, i: "
+        f"xor(({mixed}) >> 1, CASE WHEN ({mixed}) & 1 = 1 THEN 3988292384 ELSE 0 END), 4294967295::BIGINT))")
+    steps = [f"""digests AS (SELECT doc_id, source, {leaf("text")} AS node,
+        CASE WHEN doc_id IS NOT NULL AND {crc} % 5 = 0 THEN {leaf(lower)} ELSE {leaf("text")} END AS told FROM documents
+    )""", """leaves AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+        row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, node) - 1 AS place,
+        count(*) OVER (PARTITION BY source) AS n FROM digests
+    )""", "a0 AS (SELECT tree, place, node, n FROM leaves)"]
+    for name in "ab":  # the sources' trees, then the one over their roots
+        for k in range(levels):
+            steps += [
+                f"{name}r{k} AS (SELECT tree, place // 16 AS run, n, list(node ORDER BY place) AS nodes "
+                f"FROM {name}{k} GROUP BY ALL)",
+                f"{name}{k + 1} AS (SELECT tree, run AS place, CASE WHEN n > 1 THEN sha256(array_to_string(nodes, '')) "
+                f"ELSE nodes[1] END AS node, (n + 15) // 16 AS n FROM {name}r{k})"]
+        if name == "a":
+            steps.append(
+                f"b0 AS (SELECT 0 AS tree, tree AS place, node, count(*) OVER () AS n FROM a{levels})")
+    # The path of each leaf: siblings in order, and what the told leaf folds to.
+    steps.append("p0 AS (SELECT *, '' AS siblings, told AS folded, 0 AS top FROM leaves)")
+    at = 0
+    for name, place in (("a", "place"), ("b", "tree")):
+        for k in range(levels):
+            tree = "p.tree" if name == "a" else "p.top"
+            here = f"(p.{place} // {16**k}) % 16"
+            steps.append(
+                f"p{at + 1} AS (SELECT p.* REPLACE (CASE WHEN r.n > 1 THEN siblings || array_to_string(r.nodes[1:{here}], '') "
+                f"|| array_to_string(r.nodes[{here} + 2:], '') ELSE siblings END AS siblings, CASE WHEN r.n > 1 THEN sha256("
+                f"array_to_string(r.nodes[1:{here}], '') || folded || array_to_string(r.nodes[{here} + 2:], '')) "
+                f"ELSE folded END AS folded) FROM p{at} p JOIN {name}r{k} r ON r.tree = {tree} AND r.run = p.{place} // {16**(k + 1)})")
+            at += 1
+    return "WITH " + ", ".join(steps) + f"""
+SELECT doc_id, p.node AS leaf, s.node AS subroot, t.node AS root, sha256(siblings) AS proof_sha256,
+    folded AS folded_root, folded = t.node AS verified
+FROM p{at} p JOIN a{levels} s USING (tree), b{levels} t"""
+
+
+@register("op11_merkle", _manifest_sql())
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    altered = F.when(remainder("doc_id", 5) == 0, ascii_lower(F.col("text"))).otherwise(F.col("text"))
+    return merkle.merkle_manifest(docs, MANIFEST_FIELDS, claimed={"text": altered}).select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(F.col("siblings").cast("binary"), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+# ── 12: embedding whitening ──────────────────────────────────────────────────
+
+@register("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten_embeddings(read_table(spark, sf_dir, "embeddings"), components=4)
+    pairs = F.arrays_zip("whitened", "explained")
+    return white.select("vec_id", "n", "deviation", "identity_error", F.posexplode(pairs).alias("at", "c")).select(
+        "vec_id", (F.col("at") + 1).cast("int").alias("component"), "n", "deviation",
+        "c.whitened", "c.explained", "identity_error")
