@@ -14,6 +14,7 @@ from ebbline.llm import (
     neighbours,
     ordinal_quality,
     packing,
+    pruned_graph,
     sharding,
     toxicity,
     url_rules,
@@ -325,3 +326,28 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return white.select("vec_id", "n", "deviation", "identity_error", F.posexplode(pairs).alias("at", "c")).select(
         "vec_id", (F.col("at") + 1).cast("int").alias("component"), "n", "deviation",
         "c.whitened", "c.explained", "identity_error")
+
+
+# ── 13: embedding near-duplicates ────────────────────────────────────────────
+
+@register("op13_embedding_dedup", """
+WITH usable AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding,
+        lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0
+), units AS (
+    SELECT vec_id, label, list_transform(v, lambda c: c / sqrt(list_dot_product(v, v))) AS u FROM usable
+), pairs AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM units a JOIN units b ON a.label = b.label AND a.vec_id <> b.vec_id
+        AND len(a.u) = len(b.u) AND list_dot_product(a.u, b.u) >= 0.93
+), reach AS (
+    WITH RECURSIVE walk(a, b) AS (SELECT vec_id, vec_id FROM embeddings
+        UNION SELECT walk.a, pairs.b FROM walk JOIN pairs ON walk.b = pairs.a)
+    SELECT a AS vec_id, min(b) AS component_id FROM walk GROUP BY a
+)
+SELECT e.vec_id, (SELECT count(*) FROM pairs WHERE a = e.vec_id)::BIGINT AS n_links,
+    component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN reach USING (vec_id)
+""")
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pruned_graph.near_duplicates(read_table(spark, sf_dir, "embeddings"), threshold=0.93).rows
