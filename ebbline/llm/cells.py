@@ -2,8 +2,8 @@
 
 A group starts as one cell. Cells above the limit are split around centres that are learned
 from a sample of them of bounded expected size (`SAMPLE` rows, picked by hash); each vector
-goes to its nearest centre and its home membership also to the second nearest, until no
-cell is above the limit. A hot group is thereby split like any other, and the number of
+goes to its nearest centre and its home membership also to the next nearest (`overlap` in
+all), until no cell is above the limit. A hot group is thereby split like any other, and the number of
 rounds is the logarithm of its size. Nothing but the decision to go on reaches the driver.
 """
 
@@ -58,18 +58,18 @@ def _centres(sample: np.ndarray, count: int) -> np.ndarray:
     return centres
 
 
-def _learn(sizes: DataFrame, sampled: DataFrame, limit: int) -> DataFrame:
+def _learn(sampled: DataFrame, limit: int, overlap: int) -> DataFrame:
     def learn(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
         cell, n = table.column("cell")[0].as_py(), table.column("n")[0].as_py()
-        found = _centres(matrix(table.column("v")), max(2, min(FAN, -(-3 * n // limit))))
+        found = _centres(matrix(table.column("v")), max(2, min(FAN, -(-3 * overlap * n // (2 * limit)))))
         return pa.table({"cell": [cell], "centres": [found.ravel().tolist()]}, schema=pa.schema(
             [("cell", pa.string()), ("centres", pa.list_(pa.float64()))]))
 
     return sampled.groupBy("cell").applyInArrow(learn, "cell string, centres array<double>")
 
 
-def _assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _assign(batches: Iterator[pa.RecordBatch], overlap: int) -> Iterator[pa.RecordBatch]:
     """Rows of (cell, salt, kind): the cell's centres first, then its members."""
     centres, at = None, None
     for batch in batches:
@@ -92,8 +92,9 @@ def _assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = np.argsort(-(vectors @ own.T), axis=1, kind="stable")
             yield _members(run, [f"{cells[a]}/{c}" for c in order[:, 0]], home)
             both = np.flatnonzero(home)
-            yield _members(
-                run.take(pa.array(both)), [f"{cells[a]}/{c}" for c in order[both, 1]], np.zeros(len(both), bool))
+            for nth in range(1, min(overlap, len(own))):
+                yield _members(
+                    run.take(pa.array(both)), [f"{cells[a]}/{c}" for c in order[both, nth]], np.zeros(len(both), bool))
 
 
 def _members(run: pa.RecordBatch, cells: list[str], home: np.ndarray) -> pa.RecordBatch:
@@ -101,11 +102,11 @@ def _members(run: pa.RecordBatch, cells: list[str], home: np.ndarray) -> pa.Reco
         [run.column(3), pa.array(cells, pa.string()), pa.array(home), run.column(5), run.column(6)], names=NAMES)
 
 
-def overlapping_cells(vectors: DataFrame, limit: int) -> DataFrame:
+def overlapping_cells(vectors: DataFrame, limit: int, overlap: int = 2) -> DataFrame:
     """`id, cell, home, r, v` for unit vectors `id, group, r, v`: memberships of every vector.
 
-    Each vector has one membership with `home`, and one more for each round of its splits. A
-    group within the limit is one cell. Cells never mix groups.
+    Each vector has one membership with `home`, and `overlap` - 1 more for each round of its
+    splits. A group within the limit is one cell. Cells never mix groups.
     """
     current = stage(vectors.select("id", F.col("group").cast("string").alias("cell"), F.lit(True).alias("home"), "r", "v"), "cells")
     done: list[DataFrame] = []
@@ -118,7 +119,7 @@ def overlapping_cells(vectors: DataFrame, limit: int) -> DataFrame:
         large = large.where("n IS NOT NULL")
         drawn = F.pmod(F.xxhash64("id", F.lit(round_)), F.lit(1 << 30)).cast("double")
         share = drawn * F.col("n") < float(SAMPLE << 30)
-        centres = _learn(sizes, large.where(share), limit)
+        centres = _learn(large.where(share), limit, overlap)
         salts = F.ceil(F.col("n") / SALT).cast("int")
         spread = centres.join(sizes, "cell").select(
             "cell", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("kind"),
@@ -128,7 +129,7 @@ def overlapping_cells(vectors: DataFrame, limit: int) -> DataFrame:
             "cell", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"), F.lit(1).alias("kind"), "id", "home", "r", "v")
         current = stage(
             spread.unionByName(members).repartition("cell", "salt").sortWithinPartitions("cell", "salt", "kind", "id")
-            .mapInArrow(_assign, MEMBER), "cells")
+            .mapInArrow(lambda batches: _assign(batches, overlap), MEMBER), "cells")
     else:
         raise RuntimeError("cells did not reach the limit")
     out = current

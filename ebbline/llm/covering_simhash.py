@@ -176,13 +176,15 @@ def deduplicate(
 ) -> DataFrame:
     """One row of each component stays: that of the smallest id, with all columns.
 
-    Ids are taken to be unique; rows of equal id count as one. Rows without an id cannot
-    be told apart and stay.
+    Rows of equal id count as one; of them the row with the smallest text stays (null before
+    any text, then by the other columns). Rows without an id cannot be told apart and stay.
     """
     named = docs.where(F.col(id_column).isNotNull())
     components = simhash_components(named, id_column, text, width, radius)
     kept = components.where(F.col(id_column) == F.col("component_id")).select(id_column)
-    return (
-        named.join(kept.distinct(), id_column, "left_semi").dropDuplicates([id_column])
-        .unionByName(docs.where(F.col(id_column).isNull()))
-    )
+    rest = [text, *[c for c in docs.columns if c not in (id_column, text)]]
+    least = named.join(kept.distinct(), id_column, "left_semi").groupBy(id_column).agg(
+        F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("_row"))
+    one = least.select(id_column, *[F.col("_row").getField(c).alias(c) for c in rest]).select(
+        *[F.col(f"`{c}`") for c in docs.columns])
+    return one.unionByName(docs.where(F.col(id_column).isNull()))

@@ -23,8 +23,8 @@ a query visits all of them: no bucket is cut.
 
 Defined results: vectors that are null, empty, zero, of another length than the commonest,
 or hold null or non-finite components take no part, neither do null ids. Equal scores go by
-the smaller id. A repeated id is one more candidate, except for the query's own id. A table
-without vectors gives an empty result. Other columns are not carried.
+the smaller id. Repeated rows, exact copies too, are candidates and queries of their own;
+only a query's own row is no candidate of it. A table without vectors gives an empty result. Other columns are not carried.
 """
 
 from __future__ import annotations
@@ -40,9 +40,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ebbline.functions.ordering import global_row_number
 from ebbline.llm.common import stage
 
-HITS = "query_id bigint, hits array<struct<score:double,vec_id:bigint>>"
+HITS = "part bigint, query_id bigint, hits array<struct<score:double,vec_id:bigint>>"
 VECTOR = "array<double>"
 
 
@@ -390,25 +391,32 @@ def search(
                 if kinds[a] == 0:
                     block.add(int(which[a]), ids, lists, matrix)
                     continue
-                yield _hit_rows(*block.answer(int(which[a]), ids, lists, matrix, k))
+                yield _hit_rows(int(which[a]), *block.answer(int(which[a]), ids, lists, matrix, k))
 
-    # One row per query and part; what they hold is merged without being spread out.
-    best = both.mapInArrow(score, HITS).groupBy("query_id").agg(
-        F.slice(F.array_sort(F.array_distinct(F.transform(
-            F.flatten(F.collect_list("hits")),
-            lambda h: F.struct((-h["score"]).alias("s"), h["vec_id"].alias("vec_id"))))), 1, k).alias("best"))
-    return _ranked(best)
+    # One row per query and part, merged in two steps without being spread out: neither
+    # gathers more than k candidates of about the root of the number of parts.
+    groups = math.ceil(math.sqrt(placement.value.parts))
+    entries = F.transform("hits", lambda h: F.struct((-h["score"]).alias("s"), h["vec_id"].alias("vec_id")))
+    first = both.mapInArrow(score, HITS).select("query_id", (F.col("part") % groups).alias("g"), entries.alias("best"))
+    return _ranked(_kept(_kept(first, k, "query_id", "g"), k, "query_id"))
 
 
-def _hit_rows(owners: list[int], ids: list[np.ndarray], scores: list[np.ndarray]) -> pa.RecordBatch:
+def _kept(lists: DataFrame, k: int, *by: str) -> DataFrame:
+    """The k best distinct entries of the lists of each group."""
+    return lists.groupBy(*by).agg(
+        F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k).alias("best"))
+
+
+def _hit_rows(part: int, owners: list[int], ids: list[np.ndarray], scores: list[np.ndarray]) -> pa.RecordBatch:
     """One row per query with its best candidates in a part."""
     offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
     flat = pa.StructArray.from_arrays(
         [pa.array(np.concatenate([np.zeros(0), *scores])),
          pa.array(np.concatenate([np.zeros(0, np.int64), *ids]).astype(np.int64))], ["score", "vec_id"])
     return pa.RecordBatch.from_arrays(
-        [pa.array(owners, type=pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)],
-        names=["query_id", "hits"])
+        [pa.array([part] * len(owners), type=pa.int64()), pa.array(owners, type=pa.int64()),
+         pa.ListArray.from_arrays(pa.array(offsets), flat)],
+        names=["part", "query_id", "hits"])
 
 
 class _PartBlock:
@@ -456,7 +464,26 @@ def nearest_neighbours(
 ) -> DataFrame:
     """Fit on the table's vectors and search for the rows that `queries` (over `id`) selects."""
     vectors = stage(usable_vectors(table, id_column, vector), "lsh-vectors")
+    repeated = vectors.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not repeated.isEmpty():
+        return _search_numbered(vectors, queries, k, **options)
     index = fit_index(vectors, k, **options)
     if index is None:
         return table.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     return search(vectors, vectors.where(queries), index, k)
+
+
+def _search_numbered(vectors: DataFrame, queries: Column, k: int, **options) -> DataFrame:
+    """The search where ids repeat: rows get numbers in the order of their ids, so that
+    each row is a candidate and a query of its own and ties still go by the id."""
+    row = stage(
+        global_row_number(
+            vectors.withColumn("_row", F.monotonically_increasing_id()), [F.col("id"), F.col("_row")], "number"),
+        "lsh-numbered")
+    numbered = row.select(F.col("number").cast("long").alias("id"), "v")
+    asked = row.where(queries).select(F.col("number").cast("long").alias("id"), "v")
+    found = search(numbered, asked, fit_index(numbered, k, **options), k)
+    own = row.select(F.col("number").alias("query_id"), F.col("id").alias("_query"))
+    other = row.select(F.col("number").alias("vec_id"), F.col("id").alias("_vec"))
+    return found.join(own, "query_id").join(other, "vec_id").select(
+        F.col("_query").alias("query_id"), "rank", F.col("_vec").alias("vec_id"), "score")

@@ -20,6 +20,7 @@ id and text are not carried.
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 from array import array
@@ -36,7 +37,8 @@ from ebbline.llm.common import utf8
 CAPACITY = 4096
 END_ID = 2
 POOL_TOKENS = 4_000_000
-MEMO_WORDS = 700_000
+MEMO_WORDS = 60_000   # runs in a generation of a tokenizer's memory, two of which are kept
+LONGEST_RUN = 64      # letters of a run that is remembered
 _SEGMENT = 1 << 20
 _TRAILING = ".,;:!?"
 _SIGMAS = frozenset("\u03a3\u03c3\u03c2")
@@ -46,13 +48,46 @@ _PLAIN = [b for b in range(256) if 33 <= b <= 126 or b >= 161 and b != 173]
 _BYTE_LETTERS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PLAIN)))}
 
 
+class Memory:
+    """Two generations of remembered ids: what the newer one lacks is taken over from the
+    older one, and a full newer one takes the older one's place."""
+
+    def __init__(self, entries: int) -> None:
+        self.entries = entries
+        self.new: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+
+    def make_room(self, entries: int) -> None:
+        if len(self.new) + entries > self.entries:
+            self.old, self.new = self.new, {"": b""}
+
+
+#: What WordTokenizer relies on; fixed values of the tokenizer file.
+KNOWN_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+KNOWN_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def splits_at_blanks(path: str) -> bool:
+    """Whether a tokenizer file normalises and splits the way WordTokenizer knows."""
+    with open(path, encoding="utf-8") as file:
+        rules = json.load(file)
+    normal, split = rules.get("normalizer") or {}, rules.get("pre_tokenizer") or {}
+    kinds = [n["type"] for n in normal.get("normalizers", [])]
+    steps = split.get("pretokenizers", [])
+    return (
+        kinds == KNOWN_NORMALIZERS and [p["type"] for p in steps] == ["Split", "ByteLevel"]
+        and steps[0]["pattern"].get("Regex") == KNOWN_SPLIT and not steps[1]["add_prefix_space"]
+        and rules["model"]["type"] == "BPE" and rules.get("post_processor") is None)
+
+
 class WordTokenizer:
-    """Token ids of texts for a tokenizer that never merges across white space.
+    """Token ids of texts, as bytes (unsigned 32-bit, little-endian).
 
-    The ids of each run between blanks are kept as bytes (unsigned 32-bit, little-endian),
-    so a text is mostly a join of known runs. Trailing punctuation after a letter is a
-    run of its own for such tokenizers and is kept apart. The memory is emptied when it
-    is full; that changes nothing but time.
+    For a tokenizer of the known rules nothing merges across white space, and trailing
+    punctuation after a letter is a run of its own: the ids of runs are remembered, so a
+    text is mostly a join of known runs. The memory is bounded by `memo_words` runs of at
+    most LONGEST_RUN letters in each of two generations. Any other tokenizer gets whole
+    texts.
     """
 
     def __init__(self, path: str, memo_words: int = MEMO_WORDS) -> None:
@@ -60,16 +95,17 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
-        self.memo_words = memo_words
-        self.runs: dict[str, bytes] = {"": b""}
-        self.cores: dict[str, bytes] = {"": b""}
+        self.by_runs = splits_at_blanks(path)
+        self.runs, self.cores = Memory(memo_words), Memory(memo_words // 2)
 
     @staticmethod
     def _parts(run: str) -> tuple[str, str]:
+        """A run and its trailing punctuation, apart where the tokenizer splits them: after
+        what is still a letter when normalised (a dotted capital I leaves a mark)."""
         core = run.rstrip(_TRAILING)
         if core and core.isascii() and core.isalpha():
             return core.lower(), run[len(core):]
-        if core and core.isalpha():
+        if core and core.isalpha() and unicodedata.normalize("NFC", core).lower().isalpha():
             return core, run[len(core):]
         return run, ""
 
@@ -84,19 +120,29 @@ class WordTokenizer:
                 return [t.id for t in self.inner.model.tokenize(letters)]
         return self.inner.encode(core, add_special_tokens=False).ids
 
-    def _learn(self, runs: set[str]) -> None:
-        if len(self.runs) + len(runs) > self.memo_words:
-            self.runs = {"": b""}
-        if len(self.cores) > self.memo_words:
-            self.cores = {"": b""}
-        parts = {run: self._parts(run) for run in runs}
-        wanted = {p for pair in parts.values() for p in pair}
-        cores = self.cores
-        for core in wanted:
-            if core not in cores:
-                cores[core] = array("I", self._core_ids(core)).tobytes()
-        for run, (core, tail) in parts.items():
-            self.runs[run] = cores[core] + cores[tail]
+    def _ids(self, core: str) -> bytes:
+        known = self.cores.new.get(core)
+        if known is None:
+            known = self.cores.old.get(core)
+            if known is None:
+                known = array("I", self._core_ids(core)).tobytes()
+            if len(core) <= LONGEST_RUN:
+                self.cores.new[core] = known
+        return known
+
+    def _learn(self, runs: set[str]) -> dict[str, bytes]:
+        """Ids of runs that the newer generation lacks; long ones are not remembered."""
+        self.cores.make_room(2 * len(runs))
+        found = {}
+        for run in runs:
+            known = self.runs.old.get(run)
+            if known is None:
+                core, tail = self._parts(run)
+                known = self._ids(core) + self._ids(tail)
+            found[run] = known
+        self.runs.make_room(len(runs))
+        self.runs.new.update((r, i) for r, i in found.items() if len(r) <= LONGEST_RUN)
+        return found
 
     def _segments(self, text: str) -> Iterator[str]:
         start = 0
@@ -110,16 +156,31 @@ class WordTokenizer:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit numbers."""
+        if not self.by_runs:
+            return array("I", self.inner.encode(text, add_special_tokens=False).ids).tobytes()
         out = []
         for segment in self._segments(text):
             runs = segment.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            unknown = {r for r in runs if r not in self.runs}
+            known = self.runs.new
+            unknown = {r for r in runs if r not in known}
             if unknown:
-                self._learn(set(runs) if len(self.runs) + len(unknown) > self.memo_words else unknown)
-            out.append(b"".join([self.runs[r] for r in runs]))
+                # What was known before may go to the older generation meanwhile.
+                known = _Either(self._learn(unknown), known)
+            out.append(b"".join([known[r] for r in runs]))
         return b"".join(out)
 
 
+class _Either(dict):
+    """A small dictionary in front of another one."""
+
+    def __init__(self, first: dict[str, bytes], second: dict[str, bytes]) -> None:
+        super().__init__(first)
+        self.second = second
+
+    def __missing__(self, key: str) -> bytes:
+        return self.second[key]
+
+
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 

@@ -32,12 +32,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ebbline.llm.cells import matrix, overlapping_cells, per_cell
 from ebbline.llm.common import stage
@@ -58,19 +59,35 @@ class Settings:
     candidates: int = 48
     random: int = 12
     beam: int = 16
+    overlap: int = 2  # cells of a leader in each round of splits
 
     def wider(self) -> Settings:
-        return Settings(self.cell_rows, 2 * self.degree, 2 * self.candidates, 2 * self.random, 4 * self.beam)
+        return Settings(
+            self.cell_rows, 2 * self.degree, 2 * self.candidates, 2 * self.random, 4 * self.beam, 2 * self.overlap)
+
+
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _directions(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for column in batches:
+        values = column.flatten().to_numpy(zero_copy_only=False)
+        sizes = np.asarray(column.value_lengths().fill_null(0))
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        out: list = [None] * len(column)
+        for size in np.unique(sizes[sizes > 0]):
+            rows = np.flatnonzero(sizes == size)
+            block = values[starts[rows][:, None] + np.arange(size)]
+            largest = np.abs(block).max(axis=1)
+            sound = np.isfinite(block).all(axis=1) & (largest > 0)
+            block = block[sound] / largest[sound, None]
+            block /= np.sqrt((block * block).sum(axis=1))[:, None]
+            for row, direction in zip(rows[sound], block):
+                out[row] = direction
+        yield pa.array(out, pa.list_(pa.float64()))
 
 
 def unit(vector: Column) -> Column:
-    """The direction of a sound vector, null for any other."""
-    v = vector.cast("array<double>")
-    sound = (F.size(v) > 0) & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(math.inf)))
-    largest = F.array_max(F.transform(v, lambda c: F.abs(c)))
-    scaled = F.transform(v, lambda c: c / largest)
-    length = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, c: a + c * c))
-    return F.when(sound & (largest > 0), F.transform(scaled, lambda c: c / length))
+    """The direction of a sound vector, null for any other; nulls inside count as not finite."""
+    return _directions(F.transform(vector.cast("array<double>"), lambda c: F.coalesce(c, F.lit(math.nan))))
 
 
 def _angles(cosines: np.ndarray) -> np.ndarray:
@@ -478,6 +495,8 @@ def near_duplicates(
         if recall >= TARGET:
             break
         settings = settings.wider()
+        balls = replace(balls, cells=stage(
+            overlapping_cells(balls.leaders, settings.cell_rows, settings.overlap), "leader-cells"))
     else:
         raise RuntimeError(f"the search finds {recall:.3f} of the links only")
     whole, single, edges = _verified(nodes, balls, pairs, theta, threshold)

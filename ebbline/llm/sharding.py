@@ -10,7 +10,8 @@ local shuffle). The result is a uniform permutation, and all sizes are exact.
 The matrix is never built. It is drawn down a binary tree over the partitions, every node
 with its own seeded generator; a task walks from the root to its own partition and so
 derives its row alone. What is sent to the tasks is one number per partition. Shards are
-cut into blocks of at most `block_rows` rows, so that no task holds a whole shard.
+cut into blocks of at most `block_rows` rows and, at the rows' mean size, `block_bytes` of
+text, so that no task holds a whole shard; each block is a task of its own.
 
 Law `rows`: shard sizes differ by at most one. A row's place depends only on the seed, its
 partition and its position there, so a lost task redraws the same. If the input does not
@@ -37,6 +38,7 @@ from pyspark.sql import types as T
 from ebbline.llm.common import replace_columns, stage
 
 BLOCK_ROWS = 1_000_000
+BLOCK_BYTES = 64 << 20
 
 
 def split_sizes(total: int, parts: int) -> np.ndarray:
@@ -136,19 +138,23 @@ def _deal(df: DataFrame, counts: dict[int, int], sizes: np.ndarray, seed: int) -
 
 def shuffle_into_shards(
     docs: DataFrame, shards: int, seed: int = 17, block_rows: int = BLOCK_ROWS, staged: bool = True,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """All rows and columns, plus `shard` (from 0) and `slot` (gapless from 0 in it)."""
     source = replace_columns(docs, {})
     source = source.drop("shard", "slot", "_block", "_key")
     if staged:
         source = stage(source, "shard-input")
-    counts = {
-        r["p"]: r["n"]
-        for r in source.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
-    }
+    texts = [f.name for f in source.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    length = sum((F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c in texts), F.lit(0)).cast("long")
+    # One row per input partition comes back.
+    found = source.groupBy(F.spark_partition_id().alias("p")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(length).alias("bytes")).collect()
+    counts = {r["p"]: r["n"] for r in found}
     rows = sum(counts.values())
-    sizes, blocks = block_sizes(rows, shards, block_rows)
-    dealt = _deal(source, counts, sizes, seed).repartition(len(sizes), "_block")
+    mean = sum(r["bytes"] for r in found) / max(1, rows)
+    sizes, blocks = block_sizes(rows, shards, max(1, min(block_rows, int(block_bytes / max(mean, 1.0)))))
+    dealt = _deal(source, counts, sizes, seed).repartitionById(len(sizes), F.col("_block").cast("int"))
     shard = F.floor(F.col("_block") / blocks)
     at = F.col("_block") - shard * blocks
     size = F.lit(rows // shards) + F.when(shard < rows % shards, 1).otherwise(0)

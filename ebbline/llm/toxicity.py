@@ -59,7 +59,8 @@ COUNT_TABLE = 1 << 20  # slots of the table that sorts out rare candidates
 
 KINDS = ("whole", "misspelled", "stem")
 WINDOW_WORDS = 8
-MEMO_WORDS = 500_000
+MEMO_WORDS = 60_000
+MEMO_STATES = 20_000
 _WORD_SPANS = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _RUNS = re.compile(r"[^\W_]+")
 _PAIRED = ((b"\xe2\x80\x9c", b"\xe2\x80\x9d"), (b"\xc2\xab", b"\xc2\xbb"), (b"\xe2\x80\x9e", b"\xe2\x80\x9c"))
@@ -93,6 +94,10 @@ class LexiconAutomaton:
                 node = self.children[node][letter]
                 self.reach[node] = max(self.reach[node], allowed)
             self.ends[node].add((term.stem, allowed, number))
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start with no states; they are made again when met."""
         self.numbers: dict[frozenset, int] = {}
         self.states: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
@@ -141,6 +146,8 @@ class LexiconAutomaton:
     def match(self, word: str) -> tuple[int, float] | None:
         """Place in KINDS and weight of the best match: exact before misspelled, then the
         larger weight."""
+        if len(self.states) > MEMO_STATES:
+            self._forget()
         state = self.start
         for letter in word:
             following = self.moves[state].get(letter)
@@ -176,13 +183,14 @@ class HitFinder:
         """Kind and weight of each word's best match, False for none."""
         found = list(map(self.kinds.get, words))
         if None in found:
-            if len(self.kinds) > MEMO_WORDS:
-                self.kinds.clear()
+            kinds = self.kinds
             for word in set(words):
-                if word not in self.kinds:
+                if word not in kinds:
                     matches = [m for w in letter_runs(word) if (m := self.automaton.match(w))]
-                    self.kinds[word] = max(matches, key=lambda m: (m[0] != 1, m[1]), default=False)
-            found = list(map(self.kinds.__getitem__, words))
+                    kinds[word] = max(matches, key=lambda m: (m[0] != 1, m[1]), default=False)
+            found = list(map(kinds.__getitem__, words))
+            if len(kinds) > MEMO_WORDS:
+                self.kinds = {}
         return found
 
     def hits(self, text: bytes) -> list[tuple[int, int, int, float, bool, bool, bool]]:
