@@ -59,7 +59,7 @@ COUNT_TABLE = 1 << 20  # slots of the table that sorts out rare candidates
 
 KINDS = ("whole", "misspelled", "stem")
 WINDOW_WORDS = 8
-MEMO_WORDS = 60_000
+MEMO_WORDS = 150_000
 MEMO_STATES = 20_000
 _WORD_SPANS = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _RUNS = re.compile(r"[^\W_]+")
