@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.classification import (
     GBTClassificationModel,
@@ -16,18 +19,24 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ebbline.functions.staging import scratch_path
 from ebbline.operators.scoring import evaluate, roc_auc
 from ebbline.operators.splits import stratified_folds
 
 Trainer = Callable[[DataFrame], Model]
 
+#: Bytes of features in a training partition. A boosted fit is over a thousand passes, so
+#: a partition that takes no longer than starting its task is a waste.
+PARTITION_BYTES = 16 << 20
+
 
 @contextmanager
 def _balanced(train: DataFrame, weights: Callable[[int, int], tuple[float, float]]) -> Iterator[DataFrame]:
     """Training rows kept in memory, with a `weight` per class.
 
     `weights` gets the numbers of kept and churned rows and returns the weight
-    of each. Fitting reads the rows many times.
+    of each. Fitting reads the rows many times; they come in partitions of about
+    PARTITION_BYTES.
     """
     level = train.storageLevel
     cached_before = level.useMemory or level.useDisk
@@ -36,11 +45,13 @@ def _balanced(train: DataFrame, weights: Callable[[int, int], tuple[float, float
         row = kept.agg(
             F.count_if(F.col("label") == 0).alias("neg"),
             F.count_if(F.col("label") == 1).alias("pos"),
+            F.max(F.size(vector_to_array("features"))).alias("width"),
         ).first()
         if not row["neg"] or not row["pos"]:
             raise ValueError("training needs rows of both classes")
         negative, positive = weights(row["neg"], row["pos"])
-        yield kept.withColumn("weight", F.when(F.col("label") == 1, positive).otherwise(negative))
+        size = 8 * row["width"] * (row["neg"] + row["pos"])
+        yield kept.coalesce(math.ceil(size / PARTITION_BYTES)).withColumn("weight", F.when(F.col("label") == 1, positive).otherwise(negative))
     finally:
         if not cached_before:
             kept.unpersist()
@@ -53,7 +64,8 @@ def train_logistic(
 
     `strength` is the inverse regularisation of a summed loss. The loss here is
     a weighted mean and the balanced weights add up to the row count `n`, so
-    the penalty is divided by it.
+    the penalty is divided by it. The model is the saved one, read again: a fitted model
+    keeps its training summary, and with it the session, which tasks cannot be sent.
     """
     n = 0
 
@@ -63,9 +75,10 @@ def train_logistic(
         return n / (2 * neg), n / (2 * pos)
 
     with _balanced(train, balance) as rows:
-        return LogisticRegression(
+        fitted = LogisticRegression(
             weightCol="weight", standardization=True, maxIter=max_iter, regParam=1 / (strength * n)
         ).fit(rows)
+    return load_logistic(save_model(fitted, scratch_path(train.sparkSession, "logistic")))
 
 
 def train_boosted(
@@ -91,16 +104,24 @@ def evaluate_model(model: Model, test: DataFrame, name: str = "") -> DataFrame:
 
 def cross_validate(
     train_fn: Trainer, features: DataFrame, folds: int = 5, id_column: str = "customerID",
-    seed: int = 42,
+    seed: int = 42, side_by_side: int | None = None,
 ) -> DataFrame:
-    """AUC per fold, with their mean and population standard deviation."""
+    """AUC per fold, with their mean and population standard deviation.
+
+    Folds share the assigned rows and are fitted `side_by_side` (all of them unless given):
+    the many short passes of one fit leave room for those of another.
+    """
     assigned = stratified_folds(features, folds, "label", id_column, seed).persist()
+
+    def auc(k: int) -> tuple[int, float]:
+        model = train_fn(assigned.where(F.col("fold") != k).drop("fold"))
+        held_out = assigned.where(F.col("fold") == k).drop("fold")
+        return k, roc_auc(score(model, held_out), "label")
+
     try:
-        scores = []
-        for k in range(folds):
-            model = train_fn(assigned.where(F.col("fold") != k).drop("fold"))
-            held_out = assigned.where(F.col("fold") == k).drop("fold")
-            scores.append((k, roc_auc(score(model, held_out), "label")))
+        assigned.count()  # kept before the folds start, so that it is derived once
+        with ThreadPoolExecutor(side_by_side or folds) as pool:
+            scores = list(pool.map(inheritable_thread_target(auc), range(folds)))
     finally:
         assigned.unpersist()
     table = features.sparkSession.createDataFrame(scores, "fold int, roc_auc double")

@@ -1,9 +1,9 @@
 """The persistent store: customers, monthly revenue and ingestion log.
 
-Each table lives in a folder of a shared file system. Customers are kept as
-numbered snapshots: an upsert writes the next snapshot in full and readers pick
-the newest one that was committed, so nothing is overwritten while it is read.
-Revenue is partitioned by month and appended to.
+Each table lives in a folder of a shared file system. Customers are a table of key
+buckets (`keyed_table`): an upsert rewrites the buckets it touches and commits the
+next version, so nothing is overwritten while it is read. Revenue is partitioned
+by month and appended to.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ebbline.functions.staging import scratch_path, stage
+from ebbline.sources import keyed_table
 from ebbline.schemas import (
     INGESTION_LOG,
     MUTABLE_COLUMNS,
@@ -82,19 +83,6 @@ def _fs(spark: SparkSession, path: str):
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
 
 
-def _committed_versions(spark: SparkSession, path: str) -> list[int]:
-    fs, folder = _fs(spark, path)
-    if not fs.exists(folder):
-        return []
-    found = []
-    for status in fs.listStatus(folder):
-        name = status.getPath().getName()
-        done = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith("v=") and fs.exists(done):
-            found.append(int(name[2:]))
-    return sorted(found)
-
-
 def _exists(spark: SparkSession, path: str) -> bool:
     fs, folder = _fs(spark, path)
     return fs.exists(folder)
@@ -102,37 +90,30 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 # ── tables ───────────────────────────────────────────────────────────────────
 
-def read_snapshot(
-    spark: SparkSession, path: str, schema: T.StructType, before: int | None = None
-) -> DataFrame:
-    """The newest committed snapshot (older than `before`), or an empty table."""
-    versions = [v for v in _committed_versions(spark, path) if before is None or v < before]
-    if not versions:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/v={versions[-1]}")
+def read_snapshot(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The newest committed version, or an empty table."""
+    return keyed_table.read(spark, path, schema)
 
 
 def upsert_snapshot(
     spark: SparkSession, path: str, staged: DataFrame, key: str, mutable: Sequence[str],
-    order_by: Sequence[str], version: int | None = None,
-) -> int:
-    """Write the snapshot that results from merging `staged` into the newest one.
+    order_by: Sequence[str], batch: int | None = None, buckets: int = keyed_table.BUCKETS,
+) -> int | None:
+    """Merge `staged` into the newest version and commit the next one; its number.
 
     `order_by` (an event time, then a sequence) says which of two rows of a key is newer,
-    within the staged rows and against the snapshot; it is kept as data. A given `version`
-    is written on top of its predecessors, so that repeating the same version leaves the
-    same snapshot.
+    within the staged rows and against the table; it is kept as data. Only the key buckets
+    that `staged` touches are read and written; `buckets` counts for a new table. Batches
+    are numbered upwards from 1: one that was merged before changes nothing and gives None.
     """
-    if version is None:
-        version = max(_committed_versions(spark, path), default=0) + 1
-    current = read_snapshot(spark, path, staged.schema, before=version)
-    merged = merge_rows(current, newest_per_key(staged, key, order_by), key, mutable, order_by)
-    merged.write.mode("overwrite").parquet(f"{path}/v={version}")
-    return version
+    newest = stage(newest_per_key(staged, key, order_by), "changes")
+    return keyed_table.change(
+        spark, path, newest, key,
+        lambda current, changes: merge_rows(current, changes, key, mutable, order_by), buckets, batch)
 
 
 def customers(spark: SparkSession, root: str) -> DataFrame:
-    """The newest committed snapshot; empty before the first upsert."""
+    """The newest committed version; empty before the first upsert."""
     return read_snapshot(spark, f"{root}/customers", STORED_CUSTOMERS)
 
 
@@ -166,7 +147,7 @@ def register_store(spark: SparkSession, root: str) -> None:
 
 def declare_tables(spark: SparkSession, root: str, database: str = "default") -> None:
     """Declare the store in the catalog: revenue and log where ingestion writes them,
-    customers as a view of the newest committed snapshot.
+    customers as a view of the newest committed version's files.
 
     Declaring again is harmless and brings the catalog up to date with the store.
     """
@@ -181,13 +162,20 @@ def declare_tables(spark: SparkSession, root: str, database: str = "default") ->
         if _exists(spark, f"{root}/{name}"):
             spark.sql(f"MSCK REPAIR TABLE {database}.{name}")
             spark.catalog.refreshTable(f"{database}.{name}")
-    versions = _committed_versions(spark, f"{root}/customers")
-    people = ", ".join(f"CAST(NULL AS {f.dataType.simpleString()}) AS {f.name}" for f in STORED_CUSTOMERS)
-    rows = (
-        f"SELECT * FROM parquet.`{root}/customers/v={versions[-1]}`" if versions
-        else f"SELECT {people} WHERE false"
-    )
-    spark.sql(f"CREATE OR REPLACE VIEW {database}.customers AS {rows}")
+    live = keyed_table.manifest(spark, f"{root}/customers").live
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in STORED_CUSTOMERS)
+    bucket = keyed_table.BUCKET
+    spark.sql(f"DROP TABLE IF EXISTS {database}.customers_files")  # its files stay
+    spark.sql(
+        f"CREATE TABLE {database}.customers_files ({columns}, {bucket} INT) USING parquet "
+        f"PARTITIONED BY ({bucket}) LOCATION '{root}/customers/data'")
+    if live:
+        parts = " ".join(
+            f"PARTITION ({bucket} = {b}) LOCATION '{root}/customers/data/{f}/{bucket}={b}'"
+            for b, f in sorted(live.items()))
+        spark.sql(f"ALTER TABLE {database}.customers_files ADD {parts}")
+    names = ", ".join(STORED_CUSTOMERS.names)
+    spark.sql(f"CREATE OR REPLACE VIEW {database}.customers AS SELECT {names} FROM {database}.customers_files")
 
 
 # ── ingestion ────────────────────────────────────────────────────────────────
@@ -254,7 +242,7 @@ def log_run(
 
 def ingest_customers(
     spark: SparkSession, root: str, staged: DataFrame, order_by: Sequence[str],
-    run: str | None = None,
+    run: str | None = None, buckets: int = keyed_table.BUCKETS,
 ) -> int:
     """Upsert customers and log the run; returns the number of staged rows.
 
@@ -270,7 +258,8 @@ def ingest_customers(
         *[F.col(f.name).cast(f.dataType) for f in STORED_CUSTOMERS]
     )
     upsert_snapshot(
-        spark, f"{root}/customers", stamped, "customerID", MUTABLE_COLUMNS, ["last_updated"])
+        spark, f"{root}/customers", stamped, "customerID", MUTABLE_COLUMNS, ["last_updated"],
+        buckets=buckets)
     staged_rows = counted.get["rows"]
     log_run(spark, root, "customers", staged_rows, f"upserted {staged_rows} customer records", run)
     return staged_rows

@@ -73,7 +73,7 @@ def ingest_billing(stream: DataFrame, root: str, month: Column) -> None:
 def ingest_upserts(
     stream: DataFrame, root: str, key: str, mutable: Sequence[str], order_by: Sequence[str]
 ) -> None:
-    """Merge changed rows into the newest snapshot, one snapshot per batch.
+    """Merge changed rows into the newest version, one version per batch.
 
     `order_by` (event time, then sequence) decides which change of a key is the last one,
     within a batch and between batches: a change that arrives late undoes nothing newer.
@@ -84,7 +84,7 @@ def ingest_upserts(
         counted = Observation()
         upsert_snapshot(
             spark, f"{root}/stream_customers", batch.observe(counted, F.count(F.lit(1)).alias("rows")),
-            key, mutable, order_by, version=batch_id + 1,
+            key, mutable, order_by, batch=batch_id + 1,
         )
         _batch_log(batch, root, "customers", batch_id, counted.get["rows"])
 

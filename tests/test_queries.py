@@ -6,19 +6,12 @@ from conftest import SMALL
 
 from ebbline.plans import catalog
 
-# Model training is covered by test_models on the same data.
-SLOW = {
-    "boosted_model", "feature_importance", "tree_contribution_ranking", "cross_validation",
-    "retrain_and_compare",
-}
-
-
 @pytest.fixture(scope="module")
 def con():
     return connect(SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, con, name):
     problem = compare(spark, con, name, catalog.QUERIES[name], catalog.ORACLES.get(name), SMALL)
     assert problem == ""

@@ -8,7 +8,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from ebbline.plans import ingestion
-from ebbline.sources import bridge, store
+from ebbline.sources import bridge, keyed_table, store
 from ebbline.streaming import jobs
 
 
@@ -181,3 +181,62 @@ def test_an_arrival_of_many_files_is_one_batch(spark, monkeypatch):
     assert files == [3, 6, 9, 12] and roots == [1, 2, 3, 4]
     events = spark.read.parquet(f"{SMALL}/events.parquet")
     assert got.count() == events.select("user_id").distinct().count()
+
+
+ROWS = "id string, at int, v double"
+
+
+def _plain(spark, root):
+    return sorted(map(tuple, keyed_table.read(spark, root, spark.createDataFrame([], ROWS).schema).collect()))
+
+
+def _upsert(spark, root, rows, **more):
+    return store.upsert_snapshot(spark, root, spark.createDataFrame(rows, ROWS), "id", ["v"], ["at"], **more)
+
+
+def test_upsert_leaves_untouched_buckets(spark, root):
+    _upsert(spark, root, [(f"k{i}", 1, float(i)) for i in range(100)], buckets=8)
+    before = keyed_table.manifest(spark, root)
+    assert _upsert(spark, root, [("k7", 2, -7.0)]) == 2
+    after = keyed_table.manifest(spark, root)
+    changed = [b for b in after.live if after.live[b] != before.live.get(b)]
+    assert len(changed) == 1 and after.buckets == 8 and len(after.live) == 8
+    assert _plain(spark, root) == sorted(
+        (f"k{i}", 2 if i == 7 else 1, -7.0 if i == 7 else float(i)) for i in range(100))
+
+
+def test_writers_at_once_lose_nothing(spark, root):
+    """The first commit of a writer finds its number taken: by a change of the same bucket,
+    which is merged again, and by one of another bucket, which is kept as it is."""
+    _upsert(spark, root, [("a", 1, 1.0)], buckets=4)
+    whole, calls = keyed_table.commit, []
+    others = [("a", 2, 2.0), ("b", 1, 5.0)]
+
+    def raced(spark, path, new):
+        if len(calls) < len(others):
+            calls.append(new.version)
+            keyed_table.commit, mine = whole, keyed_table.commit
+            try:
+                _upsert(spark, path, [others[len(calls) - 1]])
+            finally:
+                keyed_table.commit = mine
+        return whole(spark, path, new)
+
+    keyed_table.commit = raced
+    try:
+        _upsert(spark, root, [("a", 3, 3.0), ("c", 1, 9.0)])
+    finally:
+        keyed_table.commit = whole
+    assert _plain(spark, root) == [("a", 3, 3.0), ("b", 1, 5.0), ("c", 1, 9.0)]
+    assert keyed_table.versions(spark, root) == [1, 2, 3, 4]
+    late = keyed_table.Manifest(4, 4, 0, {})
+    assert not keyed_table.commit(spark, root, late) and len(_plain(spark, root)) == 3
+
+
+def test_a_batch_is_merged_once_and_old_files_go(spark, root):
+    assert _upsert(spark, root, [("a", 1, 1.0)], batch=1, buckets=2) == 1
+    assert _upsert(spark, root, [("a", 1, 2.0)], batch=1) is None
+    assert _upsert(spark, root, [("a", 2, 3.0)], batch=2) == 2
+    assert keyed_table.remove_unreferenced(spark, root, keep=1) == 0  # too young
+    assert keyed_table.remove_unreferenced(spark, root, keep=1, older_than_ms=-1) == 1
+    assert keyed_table.versions(spark, root) == [2] and _plain(spark, root) == [("a", 2, 3.0)]
