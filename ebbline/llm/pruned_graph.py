@@ -150,7 +150,7 @@ def gather_balls(nodes: DataFrame, theta: float, cell_rows: int) -> Balls:
         current = stage(
             current.drop("r").join(radii, F.col("id") == F.col("leader")).select("id", "group", "r", "v"), "leaders")
         before, count = count, current.count()
-        if count > 0.9 * before:
+        if count >= 0.9 * before:
             kept = current.select("id", F.col("r").alias("radius"))
             return Balls(members, current, stage(
                 cells.join(kept, "id").select("id", "cell", "home", F.col("radius").alias("r"), "v"), "leader-cells"))
