@@ -284,10 +284,13 @@ TEST_DIGITS = {
 }
 
 
-def tested_cte(by: str = "") -> str:
+ODD_EVEN = """
+arms AS (SELECT *, CASE WHEN customer_id % 2 = 0 THEN 'control' ELSE 'treatment' END AS arm FROM subscribers)"""
+
+
+def tested_cte(by: str = "", arms: str = ODD_EVEN) -> str:
     comma, group = (f"{by}, ", f"GROUP BY {by}") if by else ("", "")
-    return f"""
-arms AS (SELECT *, CASE WHEN customer_id % 2 = 0 THEN 'control' ELSE 'treatment' END AS arm FROM subscribers),
+    return f"""{arms},
 rates AS (
   SELECT {comma}count(*) FILTER (WHERE arm = 'control') AS nc, count(*) FILTER (WHERE arm = 'treatment') AS nt,
     avg(churned) FILTER (WHERE arm = 'control') AS pc, avg(churned) FILTER (WHERE arm = 'treatment') AS pt,
@@ -381,7 +384,23 @@ def sample_size_sweep(spark, sf_dir):
     return round_columns(experiment.sample_size_sweep(baseline, EFFECTS), {"baseline_rate": 6})
 
 
-@register("underpowered_experiment")
+FEW = """
+population AS (SELECT * FROM scored WHERE score >= (SELECT quantile_cont(score, 0.7) FROM scored)),
+arms AS (
+  SELECT *, CASE WHEN substr(md5(customer_id || '-42'), 1, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e')
+    THEN 'control' ELSE 'treatment' END AS arm
+  FROM (SELECT * FROM population ORDER BY md5(customer_id || '-1'), customer_id LIMIT 60))"""
+
+
+@register("underpowered_experiment", over_scored(f"""
+SELECT {big('nc')} AS n_control, {big('nt')} AS n_treatment, {r('pc', 6)} AS churn_rate_control,
+  {r('pt', 6)} AS churn_rate_treatment, {r('pc - pt', 6)} AS absolute_effect, {r('(pc - pt) / pc', 6)} AS relative_effect,
+  {r('z', 5)} AS z_stat, {r('p', 5)} AS p_value, {r('pc - pt - half', 6)} AS ci_low, {r('pc - pt + half', 6)} AS ci_high,
+  p < 0.05 AS significant, 0.05::DOUBLE AS alpha, {big('n')} AS n_needed_per_arm,
+  n > (nc + nt) / 2 AND NOT p < 0.05 AS underpowered
+FROM tested, (SELECT ceil((1.959963984540054 * sqrt(2 * (p1 - 0.04) * (1 - p1 + 0.04))
+        + 0.8416212335729143 * sqrt(p1 * (1 - p1) + (p1 - 0.08) * (1 - p1 + 0.08))) ** 2 / 0.08 ** 2) AS n
+      FROM (SELECT avg(score) AS p1 FROM population))""", tested_cte(arms=FEW)))
 def underpowered_experiment(spark, sf_dir):
     population = store.stage(
         experiment.experiment_population(scored_subscribers(spark, sf_dir)), "population")
@@ -391,4 +410,4 @@ def underpowered_experiment(spark, sf_dir):
     base_rate = population.agg(F.avg("score")).scalar()
     result = result.withColumn("_base", base_rate)
     needed = experiment.sample_size(F.col("_base"), F.lit(0.08))
-    return experiment.power_warning(result, needed).drop("_base")
+    return round_columns(experiment.power_warning(result, needed).drop("_base"), TEST_DIGITS)

@@ -69,6 +69,21 @@ def test_logistic_round_trip_beats_chance(spark, prepared):
     assert direct.exceptAll(scored).count() == 0
 
 
+def test_logistic_model_scores_after_an_ingestion(spark, prepared):
+    """An Observation keeps the session from being sent to tasks; a model must not hold it."""
+    panel = spark.createDataFrame([("a", 1, 5.0, "active")], "customerID string, month int, mrr double, event string")
+    store.ingest_month(spark, store.scratch_path(spark, "store"), panel, 1)
+    model = churn_model.train_logistic(prepared)
+    assert not model.hasSummary
+    assert churn_model.score(model, prepared).where("score BETWEEN 0 AND 1").count() == prepared.count()
+
+
+def test_folds_side_by_side_equal_one_after_another(prepared):
+    train = lambda rows: churn_model.train_boosted(rows, trees=3)
+    fold = lambda n: sorted(map(tuple, churn_model.cross_validate(train, prepared, 3, side_by_side=n).collect()))
+    assert fold(None) == fold(1)
+
+
 def test_boosted_trees_and_importance(spark, table, prepared):
     model = churn_model.train_boosted(prepared, trees=5)
     names = features.feature_names(table)
