@@ -24,6 +24,7 @@ HEADLINE = [
     "naive_clv", "survival_curves", "customer_value", "churn_reduction_sensitivity",
     "feature_table", "feature_drift_open", "evaluate_score", "analyze_experiment",
     "describe_columns", "value_summary", "cox_hazard_ratios", "store_upsert", "stream_windows",
+    "logistic_model",
 ]
 
 

@@ -176,11 +176,32 @@ def feature_table(spark, sf_dir):
     return round_columns(shown, {"log_monthly_charges": 6})
 
 
-@register("model_features")
+def _is(column: str, values: list[str]) -> list[str]:
+    return [f"""CASE WHEN "{column}" = '{x}' THEN 1 ELSE 0 END""" for x in values]
+
+
+#: The features in the order of the table's columns: numbers first, then the levels.
+FEATURES = [
+    "senior_citizen", '"Partner"', '"Dependents"', "tenure", '"PhoneService"',
+    *[f'"{c}"' for c in SERVICE_COLUMNS], '"PaperlessBilling"', '"MonthlyCharges"', f"({ADDONS})",
+    'ln(1 + "MonthlyCharges")', *_is("gender", ["Female", "Male"]), *_is("InternetService", REGIONS),
+    *_is("Contract", ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]),
+    *_is("PaymentMethod", ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]),
+]
+
+
+@register("model_features", over_raw(f"""
+SELECT "customerID", "Churn"::DOUBLE AS label, md5(concat_ws(',', {", ".join(
+    f"CAST(round(({x})::DOUBLE * 1000) AS BIGINT)" for x in FEATURES)})) AS features_md5,
+  {big(str(len(FEATURES)))} AS n_features FROM cleaned""", CLEANED))
 def model_features(spark, sf_dir):
+    """The vector of each customer, as a digest of its entries in thousandths."""
     table = features.preprocess(bridge.raw_customers(spark, sf_dir), bridge.REFERENCE_DATE)
+    entries = vector_to_array("features")
+    text = F.array_join(F.transform(entries, lambda x: F.round(x * 1000).cast("long").cast("string")), ",")
     return features.model_features(table).select(
-        "customerID", "label", F.to_json(vector_to_array("features")).alias("features")
+        "customerID", "label", F.md5(text.cast("binary")).alias("features_md5"),
+        F.size(entries).cast("long").alias("n_features"),
     )
 
 

@@ -85,7 +85,8 @@ def test_hazard_table_and_residuals(spark, fit):
     assert table["x1"]["hazard_ratio"] == pytest.approx(np.exp(fit.coefficients[0]))
     assert table["x1"]["hazard_ratio_low"] < table["x1"]["hazard_ratio"] < table["x1"]["hazard_ratio_high"]
     # At the maximum the residuals add up to zero.
-    assert fit.residual_sums.sum(axis=0) == pytest.approx([0, 0], abs=1e-4)
+    sums = np.array([r["residuals"] for r in fit.durations.collect()]).sum(axis=0)
+    assert sums == pytest.approx([0, 0], abs=1e-4)
     test = cox.proportionality_test(spark, fit).collect()
     assert all(0 <= r["p"] <= 1 for r in test)
 
@@ -104,3 +105,39 @@ def test_two_group_closed_form(spark):
         middle = (low + high) / 2
         low, high = (middle, high) if slope(middle) > 0 else (low, middle)
     assert fit.coefficients[0] == pytest.approx(low, abs=1e-3)
+
+
+def test_residuals_and_test_equal_the_definition(spark, fit, rows):
+    """Schoenfeld residuals row by row, their correlation with mean ranks, and no cap."""
+    t, e = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    x = np.array([r[2:] for r in rows], dtype=float)
+    w = np.exp(x @ fit.coefficients)
+    want = {}
+    for time in sorted(set(t[e == 1])):
+        dead, risk = (t == time) & (e == 1), t >= time
+        d = int(dead.sum())
+        expected = sum(
+            (w[risk] @ x[risk] - k / d * w[dead] @ x[dead]) / (w[risk].sum() - k / d * w[dead].sum()) for k in range(d))
+        want[time] = (d, x[dead].sum(axis=0) - expected)
+    got = {r["duration"]: r for r in fit.durations.collect()}
+    assert set(got) == set(want)
+    for time, (d, residual) in want.items():
+        assert got[time]["deaths"] == d and got[time]["residuals"] == pytest.approx(residual, abs=1e-8)
+    deaths = np.array([want[k][0] for k in sorted(want)])
+    sums = np.array([want[k][1] for k in sorted(want)])
+    rank = np.cumsum(deaths) - (deaths - 1) / 2
+    centred = rank - (rank * deaths).sum() / deaths.sum()
+    statistic = (centred @ (deaths.sum() * sums @ fit.covariance)) ** 2 / (
+        deaths.sum() * np.diag(fit.covariance) * (deaths * centred**2).sum())
+    table = cox.proportionality_test(spark, fit).collect()
+    assert [r["test_statistic"] for r in table] == pytest.approx(statistic.tolist(), rel=1e-6)
+
+
+def test_every_duration_may_differ(spark):
+    """As many durations as rows: they stay in Spark."""
+    n = 30_000
+    df = spark.range(n).select(
+        ((F.col("id") * 7919) % n + F.lit(1.0)).alias("_t"), (F.col("id") % 3 > 0).cast("int").alias("_event"),
+        (F.col("id") % 2).cast("double").alias("x"))
+    fit = cox.fit_cox(df, ["x"])
+    assert fit.converged and abs(fit.coefficients[0]) < 0.05 and fit.durations.count() == n - n // 3
