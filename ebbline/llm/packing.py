@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -41,6 +42,9 @@ MEMO_WORDS = 200_000  # runs in a generation of a tokenizer's memory, two of whi
 LONGEST_RUN = 64      # letters of a run that is remembered
 _SEGMENT = 1 << 20
 _TRAILING = ".,;:!?"
+#: str.split() cuts at these control characters too, the tokenizer does not.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+_BLANKS = re.compile("[ \t\n\r]")
 _SIGMAS = frozenset("\u03a3\u03c3\u03c2")
 #: Byte-level models write a byte as itself where it is printable and not a blank, else
 #: as the next free code point from 256.
@@ -120,28 +124,32 @@ class WordTokenizer:
                 return [t.id for t in self.inner.model.tokenize(letters)]
         return self.inner.encode(core, add_special_tokens=False).ids
 
-    def _ids(self, core: str) -> bytes:
-        known = self.cores.new.get(core)
+    def _core(self, core: str) -> bytes:
+        """Ids of a run that the newer generation lacks."""
+        known = self.cores.old.get(core)
         if known is None:
-            known = self.cores.old.get(core)
-            if known is None:
-                known = array("I", self._core_ids(core)).tobytes()
-            if len(core) <= LONGEST_RUN:
-                self.cores.new[core] = known
+            known = array("I", self._core_ids(core)).tobytes()
+        if len(core) <= LONGEST_RUN:
+            self.cores.new[core] = known
         return known
 
     def _learn(self, runs: set[str]) -> dict[str, bytes]:
-        """Ids of runs that the newer generation lacks; long ones are not remembered."""
+        """Ids of runs that the newer generation lacks, which takes them over."""
         self.cores.make_room(2 * len(runs))
-        found = {}
+        cores, before, parts, found = self.cores.new, self.runs.old, self._parts, {}
         for run in runs:
-            known = self.runs.old.get(run)
-            if known is None:
-                core, tail = self._parts(run)
-                known = self._ids(core) + self._ids(tail)
-            found[run] = known
-        self.runs.make_room(len(runs))
-        self.runs.new.update((r, i) for r, i in found.items() if len(r) <= LONGEST_RUN)
+            ids = before.get(run)
+            if ids is None:
+                core, tail = parts(run)
+                ids = cores.get(core)
+                if ids is None:
+                    ids = self._core(core)
+                if tail:
+                    rest = cores.get(tail)
+                    ids += self._core(tail) if rest is None else rest
+            found[run] = ids
+        self.runs.make_room(len(found))
+        self.runs.new.update(found)
         return found
 
     def _segments(self, text: str) -> Iterator[str]:
@@ -160,27 +168,24 @@ class WordTokenizer:
             return array("I", self.inner.encode(text, add_special_tokens=False).ids).tobytes()
         out = []
         for segment in self._segments(text):
-            runs = segment.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            runs = _BLANKS.split(segment) if _SEPARATORS.search(segment) else segment.split()
             known = self.runs.new
-            unknown = {r for r in runs if r not in known}
-            if unknown:
-                # What was known before may go to the older generation meanwhile.
-                known = _Either(self._learn(unknown), known)
-            out.append(b"".join([known[r] for r in runs]))
+            unknown = set(runs).difference(known)
+            if not unknown:
+                out.append(b"".join(map(known.__getitem__, runs)))
+                continue
+            found = self._learn(unknown)
+            if self.runs.new is not known:  # what was known is the older generation now
+                found |= {r: known[r] for r in set(runs) - unknown}
+                out.append(b"".join(map(found.__getitem__, runs)))
+            else:
+                out.append(b"".join(map(known.__getitem__, runs)))
+            for run in unknown:
+                if len(run) > LONGEST_RUN:
+                    del self.runs.new[run]
         return b"".join(out)
 
 
-class _Either(dict):
-    """A small dictionary in front of another one."""
-
-    def __init__(self, first: dict[str, bytes], second: dict[str, bytes]) -> None:
-        super().__init__(first)
-        self.second = second
-
-    def __missing__(self, key: str) -> bytes:
-        return self.second[key]
-
-
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 

@@ -227,7 +227,7 @@ def test_ids_of_any_letters_equal_the_tokenizer():
     plain, own = Tokenizer.from_file(packing_tokenizer()), packing.WordTokenizer(packing_tokenizer(), memo_words=300)
     assert own.by_runs
     rng = np.random.default_rng(6)
-    letters = list("aİıŞǅßΣσςéÉ̇  　\t\n.,!?'’s‍9٣中ﬁ") + ["'ll", "…", "Ⅷ", "\U0001d400", "🙂"]
+    letters = ["\x1c", "\x1f"] + list("aİıŞǅßΣσςéÉ̇  　\t\n.,!?'’s‍9٣中ﬁ") + ["'ll", "…", "Ⅷ", "\U0001d400", "🙂"]
     for _ in range(4000):
         text = "".join(rng.choice(letters, int(rng.integers(1, 9))))
         ids = np.frombuffer(own.encode(text), "<u4").tolist()
