@@ -38,7 +38,7 @@ from ebbline.llm.common import utf8
 CAPACITY = 4096
 END_ID = 2
 POOL_TOKENS = 4_000_000
-MEMO_WORDS = 200_000  # runs in a generation of a tokenizer's memory, two of which are kept
+MEMO_WORDS = 300_000  # runs in a generation of a tokenizer's memory, two of which are kept
 LONGEST_RUN = 64      # letters of a run that is remembered
 _SEGMENT = 1 << 20
 _TRAILING = ".,;:!?"
