@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,12 +49,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{_session_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+def stage(df: DataFrame, name: str = "stage", partition_by: Sequence[str] = ()) -> DataFrame:
     """Write a derived table once, for operators that read it several times.
 
     The copy is in the shared folder: a lost executor costs a re-read, not a
-    second derivation from the source tables.
+    second derivation from the source tables. With `partition_by`, who reads one value of
+    these columns reads that value's files only.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)

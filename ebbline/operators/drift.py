@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ebbline.functions.lookups import attach_lookup
 from ebbline.functions.ordering import exact_quantiles
 from ebbline.functions.staging import ensure_checkpoint_dir
 from ebbline.functions.scalars import bin_number, ratio
@@ -73,7 +74,7 @@ def psi_from_counts(expected: DataFrame, actual: DataFrame) -> DataFrame:
     )
     p_expected, p_actual = share("_e", "_te"), share("_a", "_ta")
     return (
-        aligned.join(totals, "feature")
+        attach_lookup(aligned, totals, ["feature"])
         .groupBy("feature")
         .agg(F.sum((p_actual - p_expected) * F.log(p_actual / p_expected)).alias("psi"))
     )

@@ -84,6 +84,20 @@ def nrr_by_month(
     )
 
 
+def observed_panel(panel: DataFrame, customers: DataFrame, event: str = "churned") -> DataFrame:
+    """The panel with `observed_until`: the last month of a customer who has not churned.
+
+    It is null for customers who have churned or are unknown, whose last month ends in churn.
+    """
+    # Merged first, so that a customer with a great many billing rows is a few months.
+    monthly = panel.groupBy("customer_id", "month").agg(F.sum("mrr").alias("mrr"))
+    own = Window.partitionBy("customer_id")
+    known = monthly.join(customers.select("customer_id", F.col(event).alias("_event")), "customer_id", "left")
+    return known.withColumn(
+        "observed_until", F.when(F.col("_event") == 0, F.max("month").over(own))
+    ).drop("_event")
+
+
 def nrr_by_segment(panel: DataFrame, customers: DataFrame, segment: str) -> DataFrame:
     """NRR per customer segment; customers without a segment are left out."""
     # Rows per customer are merged before the join, so that a customer with a

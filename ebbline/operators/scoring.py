@@ -7,9 +7,11 @@ distinct score, so tied scores cost nothing and row data is shuffled once.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ebbline.functions.lookups import attach_lookup
 from ebbline.functions.ordering import running_sums
@@ -132,6 +134,39 @@ def threshold_sweep(
     )
 
 
+def risk_report(
+    scored: DataFrame, thresholds: Sequence[float] = (0.3, 0.4, 0.5, 0.6, 0.7), threshold: float = 0.5,
+    label: str = "churned", score: str = "score",
+) -> DataFrame:
+    """All reports on one score as rows of section, item, measure and value.
+
+    Sections are `quality`, `confusion` (items: actual outcomes), `sweep` (items: thresholds),
+    `sanity` (items: over the threshold or not), `kpis` and `high_risk` (items: customers).
+    `scored` is read once per section: stage it first.
+    """
+
+    def long(section: str, item: str, table: DataFrame) -> DataFrame:
+        measures = [c for c in table.columns if c != item]
+        return table.select(
+            F.lit(section).alias("section"), F.col(item).cast("string").alias("item"),
+            *[F.col(c).cast("double") for c in measures],
+        ).unpivot(["section", "item"], measures, "measure", "value")
+
+    whole = lambda table: table.withColumn("_all", F.lit("all"))
+    quality = evaluate(scored, label, score)
+    numbers = [f.name for f in quality.schema if isinstance(f.dataType, T.NumericType)]
+    parts = [
+        long("quality", "_all", whole(quality.select(*numbers))),
+        long("confusion", "actual", confusion_matrix(scored, label, score, threshold)),
+        long("sweep", "threshold", threshold_sweep(scored, thresholds, label, score)),
+        long("sanity", "high_score", score_sanity(scored, threshold, label, score)),
+        long("kpis", "_all", whole(risk_kpis(scored, threshold, score))),
+        long("high_risk", "customer_id", high_risk_customers(scored, threshold, score=score).select(
+            "customer_id", score)),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def class_balance(df: DataFrame, label: str = "churned") -> DataFrame:
     """Churned and kept customers, churn rate and weight of the churned class."""
     pos, neg = F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)

@@ -11,13 +11,13 @@ from ebbline.functions.lookups import attach_lookup
 from ebbline.functions.ordering import values_at_ranks
 
 
-def split_by_fraction(
-    df: DataFrame, order_by: Sequence[str], fraction: float
-) -> tuple[DataFrame, DataFrame]:
-    """The earliest share of the rows, and the rest.
+def mark_first_share(
+    df: DataFrame, order_by: Sequence[str], fraction: float, name: str = "in_first"
+) -> DataFrame:
+    """Add whether a row belongs to the earliest share of the rows.
 
     `order_by` has to end with a unique key. Only these columns are put in
-    order, to find the first key of the second part; the rows are then split by
+    order, to find the first key of the second part; the rows are then marked by
     comparing with it.
     """
     key = F.struct(*order_by)
@@ -25,10 +25,17 @@ def split_by_fraction(
     cut = values_at_ranks(df.select(key.alias("_key")), "_key", F.array(rank)).select(
         F.col("ranked")[rank]
     )
-    marked = df.withColumn("_cut", cut.scalar()).withColumn(
-        "_first", F.coalesce(key < F.col("_cut"), F.lit(True))
-    )
-    part = lambda flag: marked.where(flag).drop("_first", "_cut")
+    return df.withColumn("_cut", cut.scalar()).withColumn(
+        name, F.coalesce(key < F.col("_cut"), F.lit(True))
+    ).drop("_cut")
+
+
+def split_by_fraction(
+    df: DataFrame, order_by: Sequence[str], fraction: float
+) -> tuple[DataFrame, DataFrame]:
+    """The earliest share of the rows, and the rest; see mark_first_share()."""
+    marked = mark_first_share(df, order_by, fraction, "_first")
+    part = lambda flag: marked.where(flag).drop("_first")
     return part(F.col("_first")), part(~F.col("_first"))
 
 

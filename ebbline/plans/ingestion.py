@@ -114,7 +114,7 @@ def store_report(spark, sf_dir):
 def store_append_months(spark, sf_dir):
     """Months arrive one at a time; the second one is delivered twice."""
     root = store.scratch_path(spark, "store")
-    panel = store.stage(_panel(spark, sf_dir), "panel")
+    panel = store.stage(_panel(spark, sf_dir), "panel", ["month"])
     for month in range(1, panel.agg(F.max("month")).first()[0] + 1):
         store.ingest_month(spark, root, panel, month)
     store.ingest_month(spark, root, panel, 2, replace=True)

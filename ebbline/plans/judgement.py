@@ -262,12 +262,11 @@ FROM (SELECT *, CASE WHEN row_number() OVER (ORDER BY signup_date, customer_id)
         <= floor((SELECT count(*) FROM subscribers) * 0.7) THEN 'baseline' ELSE 'new' END AS part FROM subscribers)
 GROUP BY 1"""))
 def split_by_order(spark, sf_dir):
-    subs = bridge.subscribers(spark, sf_dir).select("customer_id", "signup_date", "monthly_charges")
-    baseline, new = splits.split_by_fraction(subs, ["signup_date", "customer_id"], 0.7)
-    both = baseline.withColumn("part", F.lit("baseline")).unionByName(
-        new.withColumn("part", F.lit("new"))
-    )
-    report = both.groupBy("part").agg(
+    subs = store.stage(bridge.subscribers(spark, sf_dir).select(
+        "customer_id", "signup_date", "monthly_charges"), "subscribers")
+    marked = splits.mark_first_share(subs, ["signup_date", "customer_id"], 0.7)
+    part = F.when(F.col("in_first"), "baseline").otherwise("new")
+    report = marked.groupBy(part.alias("part")).agg(
         F.count(F.lit(1)).alias("customers"), F.sum("monthly_charges").alias("mrr"),
         F.max("signup_date").alias("last_signup"),
     )

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ebbline.operators import churn_model, drift, features, scoring, splits, tree_attribution
+from ebbline.functions.scalars import round_columns
+from ebbline.operators import churn_model, customer_scores, drift, features, scoring, splits, tree_attribution
 from ebbline.plans.registry import register
 from ebbline.plans.sql_base import RAW_CUSTOMERS, query
 from ebbline.schemas import CATEGORICAL_COLUMNS
@@ -97,6 +98,44 @@ def scored_customers(spark, sf_dir):
     )
 
 
+def _subscribers(spark, sf_dir):
+    """Customers under the id that the models use."""
+    return bridge.subscribers(spark, sf_dir).select(
+        "customer_id", F.concat(F.lit("CUST-"), F.col("customer_id").cast("string")).alias("customerID"),
+        "contract", "tenure", "monthly_charges", "churned",
+    )
+
+
+@register("customer_scorecard")
+def customer_scorecard(spark, sf_dir):
+    """Model score, lifetime value, unit economics and value tier of every customer."""
+    model, _ = _fitted_on_everyone(spark, prepared := _prepared(spark, sf_dir))
+    scores = churn_model.score(model, prepared, "churn_probability").select("customerID", "churn_probability")
+    card = customer_scores.scorecard(_subscribers(spark, sf_dir), scores, "customerID", bridge.CAC)
+    return round_columns(card.drop("customerID"), {
+        "expected_lifetime_months": 4, "clv": 2, "ltv_cac_ratio": 4, "payback_months": 4,
+    })
+
+
+@register("model_risk_report")
+def model_risk_report(spark, sf_dir):
+    """Confusion, thresholds, sanity and the riskiest customers, on customers not trained on."""
+    train, test = _split(spark, sf_dir)
+    scores = churn_model.score(churn_model.train_boosted(train), test).select("customerID", "score")
+    scored = _subscribers(spark, sf_dir).join(scores, "customerID")
+    return scoring.risk_report(store.stage(scored, "scored"))
+
+
+@register("explain_held_out_customer")
+def explain_held_out_customer(spark, sf_dir):
+    """Tree contributions of the riskiest customer among those not trained on."""
+    names = features.feature_names(_table(spark, sf_dir))
+    train, test = _split(spark, sf_dir)
+    path = churn_model.save_model(churn_model.train_boosted(train), store.scratch_path(spark, "model"))
+    parts = tree_attribution.tree_contributions(churn_model.load_boosted(path), path, test)
+    return tree_attribution.explain_top_customer(store.stage(parts, "contributions"), names)
+
+
 @register("retrain_and_compare")
 def retrain_and_compare(spark, sf_dir):
     """Earlier customers train the old model; later, dearer ones join for the new one.

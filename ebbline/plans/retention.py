@@ -200,8 +200,11 @@ def mrr_kpis(spark, sf_dir):
     })
 
 
-def nrr_cte(segment: str | None = None) -> str:
-    """The self-join form: last month's customers against this month's."""
+def nrr_cte(segment: str | None = None, panel: str = "panel", ended: str = "false") -> str:
+    """The self-join form: last month's customers against this month's.
+
+    `ended` states for a row p without a successor c that only its observation ended.
+    """
     key = f"{segment}, " if segment else ""
     same = f" AND p.{segment} = m.{segment}" if segment else ""
     firsts = (
@@ -209,8 +212,8 @@ def nrr_cte(segment: str | None = None) -> str:
         else "(SELECT min(month) FROM seg_panel)"
     )
     picked = (
-        f"SELECT p.*, s.{segment} FROM panel p JOIN subscribers s USING (customer_id)" if segment
-        else "SELECT * FROM panel"
+        f"SELECT p.*, s.{segment} FROM {panel} p JOIN subscribers s USING (customer_id)" if segment
+        else f"SELECT * FROM {panel}"
     )
     pkey = f"p.{segment}, " if segment else ""
     group = ", ".join(str(i) for i in range(1, 3 if segment else 2))
@@ -219,10 +222,11 @@ def nrr_cte(segment: str | None = None) -> str:
 seg_panel AS ({picked}),
 ending AS (SELECT {key}month, sum(mrr) AS ending_mrr FROM seg_panel GROUP BY {group}),
 moves AS (
-  SELECT {pkey}p.month + 1 AS month, sum(p.mrr) AS start,
+  SELECT {pkey}p.month + 1 AS month,
+    sum(CASE WHEN c.customer_id IS NULL AND {ended} THEN 0 ELSE p.mrr END) AS start,
     sum(CASE WHEN c.mrr > p.mrr THEN c.mrr - p.mrr ELSE 0 END) AS up,
     sum(CASE WHEN c.mrr < p.mrr THEN p.mrr - c.mrr ELSE 0 END) AS down,
-    sum(CASE WHEN c.customer_id IS NULL THEN p.mrr ELSE 0 END) AS gone
+    sum(CASE WHEN c.customer_id IS NULL AND NOT ({ended}) THEN p.mrr ELSE 0 END) AS gone
   FROM seg_panel p LEFT JOIN seg_panel c ON c.customer_id = p.customer_id AND c.month = p.month + 1
   GROUP BY {group}),
 parts AS (
@@ -266,6 +270,17 @@ def nrr_orders(spark, sf_dir):
     return round_columns(nrr.nrr_by_month(bridge.panel_orders12(spark, sf_dir)), NRR_DIGITS)
 
 
+@register("nrr_orders_observed", query(nrr_select(), SUBSCRIBERS, PANEL_ORDERS12, """
+observed AS (
+  SELECT p.*, (SELECT max(month) FROM panel o WHERE o.customer_id = p.customer_id) AS last_month,
+    coalesce((SELECT churned FROM subscribers s WHERE s.customer_id = p.customer_id), 1) AS churned
+  FROM panel p)""", nrr_cte(panel="observed", ended="p.churned = 0 AND p.month >= p.last_month")))
+def nrr_orders_observed(spark, sf_dir):
+    """Customers who are still active at the end of the data leave without churning."""
+    panel = nrr.observed_panel(bridge.panel_orders12(spark, sf_dir), bridge.subscribers(spark, sf_dir))
+    return round_columns(nrr.nrr_by_month(panel, observed_until="observed_until"), NRR_DIGITS)
+
+
 @register("nrr_events", query(nrr_select(), PANEL_EVENTS3D, nrr_cte()))
 def nrr_events(spark, sf_dir):
     return round_columns(nrr.nrr_by_month(bridge.panel_events3d(spark, sf_dir)), NRR_DIGITS)

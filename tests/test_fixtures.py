@@ -84,6 +84,17 @@ def test_nrr_leaves_censored_customers_out(spark):
     assert (second["starting_mrr"], second["churned_mrr"], second["nrr"]) == (20, 0, 1.0)
 
 
+def test_observed_panel_ends_for_active_customers_only(spark):
+    panel = spark.createDataFrame(
+        [("a", 1, 10.0), ("a", 2, 5.0), ("a", 2, 5.0), ("b", 1, 7.0), ("c", 1, 1.0)],
+        "customer_id string, month int, mrr double",
+    )
+    people = spark.createDataFrame([("a", 0), ("b", 1)], "customer_id string, churned int")
+    got = {(r["customer_id"], r["month"]): (r["mrr"], r["observed_until"])
+           for r in nrr.observed_panel(panel, people).collect()}
+    assert got == {("a", 1): (10, 2), ("a", 2): (10, 2), ("b", 1): (7, None), ("c", 1): (1, None)}
+
+
 def test_nrr_month_after_a_gap_has_no_rate(spark):
     panel = spark.createDataFrame(
         [("a", 1, 10.0), ("a", 3, 10.0)], "customer_id string, month int, mrr double"

@@ -5,7 +5,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from ebbline.operators import attribution, churn_model, drift, features, scoring, splits
-from ebbline.plans import models
+from ebbline.plans import catalog, models
 from ebbline.sources import bridge, store
 
 
@@ -146,6 +146,55 @@ def test_every_query_of_the_whole_model_fits_it(spark, prepared, fits):
     assert fits == [prepared.count()] * 3
 
 
+def test_scorecard_joins_what_single_queries_report(spark, prepared, fits):
+    card = models.customer_scorecard(spark, SMALL).toPandas().set_index("customer_id").sort_index()
+    assert fits == [prepared.count()] and card.index.is_unique
+    economics = catalog.QUERIES["unit_economics"](spark, SMALL).toPandas().set_index("customer_id").sort_index()
+    assert card.index.equals(economics.index)
+    for column in ("clv", "ltv_cac_ratio", "payback_months"):
+        assert card[column].to_numpy() == pytest.approx(economics[column].to_numpy(), abs=1e-3)
+    tiers = catalog.QUERIES["value_tiers"](spark, SMALL).toPandas().set_index("clv_segment")["customers"]
+    assert card["clv_segment"].value_counts().to_dict() == tiers.to_dict()
+    # Customers without a total have no features, so no score either.
+    assert card["churn_probability"].notna().sum() == prepared.count()
+    assert card["churn_probability"].dropna().between(0, 1).all()
+
+
+def test_risk_report_by_brute_force(spark):
+    rows = [(i, "a", i, 10.0 * i, int(i % 3 == 0), (i * 37 % 100) / 100) for i in range(1, 90)]
+    scored = spark.createDataFrame(
+        rows, "customer_id long, contract string, tenure int, monthly_charges double, churned int, score double")
+    report = scoring.risk_report(scored, thresholds=[0.3, 0.7])
+    got = {(r["section"], r["item"], r["measure"]): r["value"] for r in report.collect()}
+    count = lambda cond: sum(1 for r in rows if cond(r))
+    assert got["confusion", "1", "predicted_0"] == count(lambda r: r[4] == 1 and r[5] < 0.5)
+    assert got["confusion", "0", "predicted_1"] == count(lambda r: r[4] == 0 and r[5] >= 0.5)
+    assert got["sweep", "0.7", "flagged"] == count(lambda r: r[5] >= 0.7)
+    assert got["sweep", "0.3", "true_churners"] == count(lambda r: r[5] >= 0.3 and r[4])
+    over = [r for r in rows if r[5] > 0.5]
+    assert got["sanity", "true", "churn_rate"] == pytest.approx(sum(r[4] for r in over) / len(over))
+    assert got["kpis", "all", "mrr_at_risk"] == pytest.approx(sum(r[3] for r in rows if r[5] >= 0.5))
+    pos, neg = [r[5] for r in rows if r[4]], [r[5] for r in rows if not r[4]]
+    auc = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
+    assert got["quality", "all", "roc_auc"] == pytest.approx(auc)
+    best = sorted((r for r in rows if r[5] >= 0.5), key=lambda r: (-r[5], r[0]))[:50]
+    assert {k[1] for k in got if k[0] == "high_risk"} == {str(r[0]) for r in best}
+    # Without rows there are no customers, and counts are zero.
+    empty = {(r["section"], r["measure"]): r["value"] for r in scoring.risk_report(scored.limit(0)).collect()}
+    assert empty["kpis", "high_risk_customers"] == 0 and ("high_risk", "score") not in empty
+
+
+def test_held_out_explanation_and_report(spark, prepared, fits):
+    train, test = splits.stratified_split(prepared, id_column="customerID")
+    parts = models.explain_held_out_customer(spark, SMALL).collect()
+    assert fits == [train.count()]
+    held_out = {r[0] for r in test.select("customerID").collect()}
+    assert {r["customerID"] for r in parts} <= held_out
+    assert sum(r["contribution"] for r in parts) + parts[0]["base"] == pytest.approx(parts[0]["margin"])
+    report = models.model_risk_report(spark, SMALL).where("section = 'confusion'")
+    assert report.agg(F.sum("value")).first()[0] == test.count()
+
+
 def test_contributions_add_up(subs):
     parts = attribution.linear_contributions(subs, {"tenure": -0.1, "tech_support": 0.4}, 1.0)
     gap = parts.select(
