@@ -8,10 +8,12 @@ length. Spans of hit words are removed where they are longer than `max_span`, an
 document is rejected where hits cover more than `coverage` of it.
 
 Items are cut into blocks of about `block_words` words at most (a longer item into pieces
-that overlap by a window less one word), each sent to the tasks by itself, so that an
-automaton has a bounded size whatever the benchmark's. A task keeps KEPT_AUTOMATA of them
-and rebuilds the others for each batch of documents; hits of all blocks are united per
-document. The usual benchmark is one block.
+that overlap by a window less one word), so that an automaton has a bounded size whatever
+the benchmark's. Up to PASS_BLOCKS blocks are sent to the tasks for one pass over the
+documents; a larger benchmark takes further passes, between which the documents and their
+hits so far are written to the shared folder. So the driver and a task never hold more than
+PASS_BLOCKS blocks, and each automaton is built once per task. The usual benchmark is one
+block and one pass.
 
 Defined results: a null or empty text has no words, is never hit and is returned as it
 is. Items without words are ignored, items of equal text all count. Null item ids are
@@ -27,6 +29,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +37,7 @@ from ebbline.llm.common import replace_columns, stage, utf8, word_bytes
 
 WINDOW = 13
 BLOCK_WORDS = 100_000
-KEPT_AUTOMATA = 4
+PASS_BLOCKS = 4
 NO_ID = "\0"  # stands for a null item id, whose windows count but whose id is not listed
 
 _WORD_SPANS = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -190,49 +193,41 @@ def join_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _hit_column(text: str, blocks: list[DataFrame], window: int) -> Column:
-    """An Arrow function with the hits of all blocks of items in each text."""
-    context = blocks[0].sparkSession.sparkContext
-    sent = [
-        context.broadcast([
-            (NO_ID if r["item"] is None else r["item"], bytes(r["text"]).split()) for r in block.collect()])
-        for block in blocks
-    ]
+def _send(block: DataFrame) -> Broadcast:
+    """The items of one block, of about `block_words` words at most, for all tasks."""
+    return block.sparkSession.sparkContext.broadcast([
+        (NO_ID if r["item"] is None else r["item"], bytes(r["text"]).split()) for r in block.collect()])
+
+
+def _hit_column(text: str, earlier: str, blocks: list[Broadcast], window: int) -> Column:
+    """An Arrow function that unites the hits of these blocks with those of earlier ones."""
 
     @F.arrow_udf(HITS)
-    def compute(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kept: dict[int, SuffixAutomaton] = {}
+    def compute(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        automata = [SuffixAutomaton.build(b.value, window) for b in blocks]
         kind = pa.struct([
             ("n_words", pa.int64()),
             ("spans", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))),
             ("items", pa.list_(pa.string())),
         ])
-        for texts in batches:
-            sizes = [0] * len(texts)
-            found: dict[int, tuple[list[tuple[int, int]], set[str]]] = {}
-            for b, block in enumerate(sent):
-                automaton = kept.get(b) or SuffixAutomaton.build(block.value, window)
-                if b < KEPT_AUTOMATA:
-                    kept[b] = automaton
-                for i, t in enumerate(texts):
-                    words = word_bytes(t.as_py() or b"")
-                    sizes[i] = len(words)
-                    spans, items = automaton.hits(words)
-                    if spans:
-                        before = found.setdefault(i, ([], set()))
-                        before[0].extend(spans)
-                        before[1].update(items)
+        for texts, before in batches:
             rows = []
-            for i, n in enumerate(sizes):
-                spans, items = found.get(i, ([], set()))
+            for t, known in zip(texts, before.to_pylist()):
+                words = word_bytes(t.as_py() or b"")
+                spans = [(s["first"], s["last"]) for s in known["spans"]] if known else []
+                items = set(known["items"]) if known else set()
+                for automaton in automata:
+                    more, named = automaton.hits(words)
+                    spans.extend(more)
+                    items.update(named)
                 rows.append({
-                    "n_words": n,
+                    "n_words": len(words),
                     "spans": [{"first": a, "last": z} for a, z in join_spans(spans)],
                     "items": sorted(items - {NO_ID}),
                 })
             yield pa.array(rows, type=kind)
 
-    return compute.asNondeterministic()(utf8(text)).alias("hits")
+    return compute.asNondeterministic()(utf8(text), F.col(earlier)).alias("hits")
 
 
 def _item_blocks(benchmark: DataFrame, window: int, block_words: int) -> list[DataFrame]:
@@ -261,8 +256,10 @@ def _item_blocks(benchmark: DataFrame, window: int, block_words: int) -> list[Da
         "benchmark-items")
     total = pieces.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     count = max(1, -(-2 * total // block_words))
-    at = F.pmod(F.xxhash64("text"), F.lit(count))
-    return [pieces.where(at == b).select("item", "text").distinct() for b in range(count)]
+    placed = pieces.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(count)))
+    if count > 1:  # each block reads its own files
+        placed = stage(placed, "benchmark-blocks", ["block"])
+    return [placed.where(F.col("block") == b).select("item", "text").distinct() for b in range(count)]
 
 
 def find_hits(
@@ -271,7 +268,15 @@ def find_hits(
 ) -> DataFrame:
     """Add n_words, n_hit, hit_spans (word positions) and hit_items to each document."""
     blocks = _item_blocks(benchmark, window, block_words)
-    named = replace_columns(docs, {"_hits": _hit_column(text, blocks, window)})
+    named = replace_columns(docs, {"_hits": F.lit(None).cast(HITS)})
+    sent: list[Broadcast] = []
+    for at in range(0, len(blocks), PASS_BLOCKS):
+        if sent:
+            named = stage(named, "hits")
+            for block in sent:
+                block.destroy()
+        sent = [_send(block) for block in blocks[at:at + PASS_BLOCKS]]
+        named = replace_columns(named, {"_hits": _hit_column(text, "_hits", sent, window)})
     return replace_columns(named, {
         "n_words": F.col("_hits.n_words"),
         "n_hit": F.aggregate(
