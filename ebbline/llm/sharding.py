@@ -31,7 +31,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,6 +136,31 @@ def _deal(df: DataFrame, counts: dict[int, int], sizes: np.ndarray, seed: int) -
     return df.mapInArrow(deal, schema)
 
 
+def _number(df: DataFrame) -> DataFrame:
+    """Add `_n`, a row's place (from 1) in its `_block`, to partitions that hold whole blocks.
+
+    Unlike a window over blocks this moves no row again.
+    """
+    schema = T.StructType([*df.schema, T.StructField("_n", T.LongType())])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block = batch.column(batch.schema.get_field_index("_block")).to_numpy()
+            at = np.arange(len(block))
+            starts = np.where(np.diff(block, prepend=block[0]) != 0, at, 0)
+            place = at - np.maximum.accumulate(starts) + 1
+            if block[0] == last:
+                place[block == last] += n
+            last, n = block[-1], int(place[-1])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(place)], names=[*batch.schema.names, "_n"])
+
+    return df.sortWithinPartitions("_block", "_key").mapInArrow(number, schema)
+
+
 def shuffle_into_shards(
     docs: DataFrame, shards: int, seed: int = 17, block_rows: int = BLOCK_ROWS, staged: bool = True,
     block_bytes: int = BLOCK_BYTES,
@@ -159,7 +184,6 @@ def shuffle_into_shards(
     at = F.col("_block") - shard * blocks
     size = F.lit(rows // shards) + F.when(shard < rows % shards, 1).otherwise(0)
     before = at * F.floor(size / blocks) + F.least(at, size % blocks)
-    order = Window.partitionBy("_block").orderBy("_key")
-    return replace_columns(dealt.withColumn("_n", F.row_number().over(order)), {
+    return replace_columns(_number(dealt), {
         "shard": shard.cast("int"), "slot": (before + F.col("_n") - 1).cast("long"),
     }).drop("_block", "_key", "_n")
