@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ebbline.functions.scalars import round_columns, rounded
-from ebbline.operators import features, nrr
+from ebbline.operators import drift, features, nrr
 from ebbline.plans.judgement import CATEGORICAL, NUMERIC, psi_ctes
 from ebbline.plans.registry import register
 from ebbline.plans.sql_base import (
@@ -19,7 +19,7 @@ from ebbline.plans.sql_base import (
     r,
 )
 from ebbline.schemas import MONTHLY_REVENUE, RAW_CUSTOMERS as RAW_SCHEMA
-from ebbline.sources import bridge, store
+from ebbline.sources import bridge, decision_log, month_publish, store
 from ebbline.streaming import jobs
 
 
@@ -128,6 +128,53 @@ def store_replay_months(spark, sf_dir):
     return _revenue_by_month(store.monthly_revenue(spark, root))
 
 
+@register("published_months", query(f"{REVENUE_BY_MONTH} GROUP BY month", PANEL_EVENTS3D))
+def published_months(spark, sf_dir):
+    """Two equal runs leave one copy; a delivery with a customer twice is held back."""
+    root = store.scratch_path(spark, "store")
+    panel = store.stage(_panel(spark, sf_dir), "panel", ["month"])
+    for _ in range(2):
+        month_publish.publish_months(spark, root, panel)
+    third = panel.where("month = 3")
+    month_publish.publish_months(spark, root, third.unionByName(third))
+    return _revenue_by_month(month_publish.published_months(spark, root))
+
+
+FAULTY_PANEL = """
+faulty AS (
+  SELECT CASE WHEN month = 2 AND customer_id % 7 = 0 THEN NULL ELSE customer_id END AS customer_id, month,
+    CASE WHEN month = 3 AND customer_id % 5 = 0 THEN -mrr ELSE mrr END AS mrr FROM panel
+  UNION ALL SELECT customer_id, month, mrr FROM panel WHERE month = 4),
+per_customer AS (
+  SELECT month, customer_id, count(*) AS n, count(*) FILTER (WHERE mrr < 0) AS negative
+  FROM faulty GROUP BY 1, 2),
+audited AS (
+  SELECT month, sum(n) AS n_rows, coalesce(sum(n) FILTER (WHERE customer_id IS NULL), 0) AS without_customer,
+    coalesce(sum(n - 1) FILTER (WHERE customer_id IS NOT NULL), 0) AS repeated, sum(negative) AS unsound_amount
+  FROM per_customer GROUP BY 1)"""
+
+
+@register("month_audit", query(f"""
+SELECT month, {big('n_rows')} AS n_rows, {big('without_customer')} AS without_customer,
+  {big('repeated')} AS repeated, {big('unsound_amount')} AS unsound_amount,
+  without_customer + repeated + unsound_amount = 0 AS fit,
+  {big("CASE WHEN without_customer + repeated + unsound_amount = 0 THEN n_rows ELSE 0 END")} AS published_rows
+FROM audited""", PANEL_EVENTS3D, FAULTY_PANEL))
+def month_audit(spark, sf_dir):
+    """A delivery with faults in some months: what the audit found and what became visible."""
+    root = store.scratch_path(spark, "store")
+    panel = store.stage(_panel(spark, sf_dir), "panel", ["month"])
+    number = F.col("customerID").cast("long")
+    faulty = panel.withColumns({
+        "mrr": F.when((F.col("month") == 3) & (number % 5 == 0), -F.col("mrr")).otherwise(F.col("mrr")),
+        "customerID": F.when((F.col("month") == 2) & (number % 7 == 0), None).otherwise(F.col("customerID")),
+    })
+    report = month_publish.publish_months(spark, root, faulty.unionByName(panel.where("month = 4")))
+    visible = month_publish.published_months(spark, root).groupBy("month").agg(
+        F.count(F.lit(1)).alias("published_rows"))
+    return report.join(visible, "month", "left").fillna(0, ["published_rows"])
+
+
 @register("ingestion_history", query(f"""
 SELECT 1::BIGINT AS ingestion_id, 'customers' AS table_name, CAST(count(*) AS BIGINT) AS rows_ingested,
   'upserted ' || count(*) || ' customer records' AS detail FROM raw_customers
@@ -286,3 +333,55 @@ def stream_drift(spark, sf_dir):
     stream = jobs.file_stream(spark, arrivals, recent.schema)
     jobs.watch_drift(stream, baseline, root, NUMERIC, CATEGORICAL)
     return round_columns(jobs.drift_log(spark, root).drop("checked_at"), {"psi": 6})
+
+
+CHECKED_YEARS = """
+periods AS (SELECT DISTINCT CAST(year(o_orderdate) AS VARCHAR) AS period FROM orders WHERE o_orderdate >= DATE '1999-08-01'),
+baseline AS (SELECT o_totalprice AS v, o_orderpriority, o_orderstatus FROM orders WHERE o_orderdate < DATE '1999-08-01'),
+sides AS (
+  SELECT period, 0 AS side, baseline.* FROM baseline, periods
+  UNION ALL
+  SELECT CAST(year(o_orderdate) AS VARCHAR), 1, o_totalprice * 1.25::DOUBLE, o_orderpriority, o_orderstatus
+  FROM orders WHERE o_orderdate >= DATE '1999-08-01'),
+cuts AS (
+  SELECT list_sort(list_distinct(quantile_cont(v, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS edges
+  FROM baseline),
+binned AS (
+  SELECT period, side, 'o_totalprice' AS feature,
+    CAST(len(list_filter(edges[2:len(edges) - 1], lambda e: v > e)) AS VARCHAR) AS bin FROM sides, cuts
+  UNION ALL SELECT period, side, 'o_orderpriority', o_orderpriority FROM sides
+  UNION ALL SELECT period, side, 'o_orderstatus', o_orderstatus FROM sides),
+shares AS (
+  SELECT e.period, e.feature,
+    greatest(e.n0 / CAST(sum(e.n0) OVER (PARTITION BY e.period, e.feature) AS DOUBLE), 0.0001) AS p0,
+    greatest(e.n1 / CAST(sum(e.n1) OVER (PARTITION BY e.period, e.feature) AS DOUBLE), 0.0001) AS p1
+  FROM (SELECT period, feature, bin, count(*) FILTER (WHERE side = 0) AS n0, count(*) FILTER (WHERE side = 1) AS n1
+        FROM binned WHERE bin IS NOT NULL GROUP BY 1, 2, 3) e),
+drift AS (SELECT period, feature, sum((p1 - p0) * ln(p1 / p0)) AS psi FROM shares GROUP BY 1, 2),
+decided AS (
+  SELECT period, count(*) FILTER (WHERE psi >= 0.25) AS alerts,
+    string_agg(CASE WHEN psi >= 0.25 THEN '''' || feature || '''' END, ', ' ORDER BY psi DESC) AS named
+  FROM drift GROUP BY 1)"""
+
+
+@register("drift_check_log", query(f"""
+SELECT {big('dense_rank() OVER (ORDER BY period)')} AS check_id, period AS "check", feature, {r('psi', 6)} AS psi,
+  CASE WHEN psi < 0.10 THEN 'stable' WHEN psi < 0.25 THEN 'watch' ELSE 'alert' END AS flag,
+  alerts > 0 AS should_retrain, CASE WHEN alerts = 0 THEN ''
+    ELSE alerts || ' feature(s) with PSI > 0.25 (significant shift): [' || named || ']' END AS reasons
+FROM drift JOIN decided USING (period)""", CHECKED_YEARS))
+def drift_check_log(spark, sf_dir):
+    """Later orders are checked year by year, the last year first and once more at the end."""
+    root = store.scratch_path(spark, "checks")
+    baseline, recent = bridge.drift_sides(spark, sf_dir)
+    edges = drift.baseline_edges(baseline, NUMERIC)
+    expected = store.stage(drift.bin_counts(baseline, edges, CATEGORICAL), "baseline")
+    arrived = store.stage(
+        recent.select(*NUMERIC, *CATEGORICAL, F.year("o_orderdate").alias("year")), "recent", ["year"])
+    years = sorted(r[0] for r in arrived.select("year").distinct().collect())
+    for year in [*years[-1:], *years]:
+        counts = drift.bin_counts(arrived.where(F.col("year") == year), edges, CATEGORICAL)
+        report = drift.psi_from_counts(expected, counts)
+        decision_log.log_check(
+            spark, root, str(year), report.withColumn("flag", drift.psi_flag(F.col("psi"))))
+    return round_columns(decision_log.logged_checks(spark, root).drop("checked_at"), {"psi": 6})

@@ -83,7 +83,7 @@ def _fs(spark: SparkSession, path: str):
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     fs, folder = _fs(spark, path)
     return fs.exists(folder)
 
@@ -119,7 +119,7 @@ def customers(spark: SparkSession, root: str) -> DataFrame:
 
 def monthly_revenue(spark: SparkSession, root: str) -> DataFrame:
     path = f"{root}/monthly_revenue"
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], STORED_REVENUE)
     return spark.read.schema(STORED_REVENUE).parquet(path)
 
@@ -131,7 +131,7 @@ def ingestion_history(spark: SparkSession, root: str) -> DataFrame:
     share a number; there is one row per table or month of a run.
     """
     path = f"{root}/ingestion_log"
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], INGESTION_LOG)
     log = spark.read.schema(LOG_FILES).parquet(path)
     number = F.row_number().over(Window.partitionBy().orderBy("run", "entry"))
@@ -159,7 +159,7 @@ def declare_tables(spark: SparkSession, root: str, database: str = "default") ->
             f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet "
             f"PARTITIONED BY ({parts}) LOCATION '{root}/{name}'"
         )
-        if _exists(spark, f"{root}/{name}"):
+        if path_exists(spark, f"{root}/{name}"):
             spark.sql(f"MSCK REPAIR TABLE {database}.{name}")
             spark.catalog.refreshTable(f"{database}.{name}")
     live = keyed_table.manifest(spark, f"{root}/customers").live
@@ -240,6 +240,16 @@ def log_run(
     ), run)
 
 
+def log_months(spark: SparkSession, root: str, counts: DataFrame, run: str | None = None) -> None:
+    """One log row for each row of `counts`: `month` and `rows_ingested`."""
+    _log(spark, root, counts.select(
+        F.col("month").cast("long").alias("entry"),
+        F.lit("monthly_revenue").alias("table_name"),
+        "rows_ingested",
+        F.format_string("month %d: %d billing events", "month", "rows_ingested").alias("detail"),
+    ), run)
+
+
 def ingest_customers(
     spark: SparkSession, root: str, staged: DataFrame, order_by: Sequence[str],
     run: str | None = None, buckets: int = keyed_table.BUCKETS,
@@ -300,10 +310,4 @@ def ingest_all_months(
     """Append every month in one partitioned write, with one log row each."""
     panel = stage(panel, "panel")  # written once, then read for the rows and for the counts
     _append_months(root, panel, replace)
-    counts = panel.groupBy("month").agg(F.count(F.lit(1)).alias("rows_ingested"))
-    _log(spark, root, counts.select(
-        F.col("month").cast("long").alias("entry"),
-        F.lit("monthly_revenue").alias("table_name"),
-        "rows_ingested",
-        F.format_string("month %d: %d billing events", "month", "rows_ingested").alias("detail"),
-    ), run)
+    log_months(spark, root, panel.groupBy("month").agg(F.count(F.lit(1)).alias("rows_ingested")), run)
