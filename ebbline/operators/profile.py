@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ebbline.functions.ordering import exact_quantiles
-from ebbline.functions.scalars import percent, rounded
+from ebbline.functions.scalars import percent, ratio, rounded
 
 
 def numeric_columns(df: DataFrame, limit: int | None = None) -> list[str]:
@@ -96,19 +97,71 @@ def describe_columns(df: DataFrame, numeric: Sequence[str], text: Sequence[str])
     return numbers.unionByName(texts)
 
 
+#: Sums over the rows in which both columns of a pair have a value.
+PAIR_SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy", "odd"]
+#: Deviations this small, against their squared sum, are rounding of a constant column.
+CONSTANT = 1e-13
+
+
+def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of a partition for each pair of columns, from products of matrices."""
+    total = None
+    for batch in batches:
+        present = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns])
+        values = np.column_stack([
+            c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in batch.columns])
+        # Infinite values and NaN are counted, as they would spoil the sums of other pairs.
+        odd = (~np.isfinite(values)).astype(float)
+        values[odd > 0] = 0.0
+        mask, squares = present.astype(float), values * values
+        n, sx, sxx, sxy = mask.T @ mask, values.T @ mask, squares.T @ mask, values.T @ values
+        spoiled = odd.T @ mask
+        found = np.stack([n, sx, sx.T, sxx, sxx.T, sxy, spoiled + spoiled.T])
+        total = found if total is None else total + found
+    if total is None:
+        return
+    left, right = np.triu_indices(total.shape[1], 1)
+    sums = [pa.array(m[left, right]) for m in total]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(left.astype("int32")), pa.array(right.astype("int32")), *sums], ["l", "r", *PAIR_SUMS])
+
+
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair of columns, from one aggregation."""
-    pairs = list(combinations(columns, 2))
-    wide = df.agg(*[
-        F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"_{i}")
-        for i, (a, b) in enumerate(pairs)
-    ])
-    entries = F.array(*[
-        F.struct(F.lit(a).alias("left_column"), F.lit(b).alias("right_column"),
-                 F.col(f"_{i}").alias("correlation"))
-        for i, (a, b) in enumerate(pairs)
-    ])
-    return wide.select(F.inline(entries))
+    """Pearson correlation of every pair of columns, over rows that have both values.
+
+    Each partition multiplies its rows' matrix with itself and passes on one row of sums per
+    pair, so the plan and its generated code do not grow with the number of pairs. Values are
+    taken from the column's mean first, so that large values with a small spread keep their
+    digits. A pair without two different values on each side has none; a NaN or an infinite
+    value among its rows makes it NaN.
+    """
+    names = list(columns)
+    if len(names) < 2:
+        return df.sparkSession.createDataFrame(
+            [], "left_column string, right_column string, correlation double")
+    numbers = df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(names)])
+    finite = lambda c: F.when(F.abs(c) < float("inf"), c)
+    means = numbers.agg(*[F.avg(finite(F.col(c))).alias(c) for c in numbers.columns]).first()
+    shifted = numbers.select(*[(F.col(c) - F.lit(means[c] or 0.0)).alias(c) for c in numbers.columns])
+    schema = "l int, r int, " + ", ".join(f"{c} double" for c in PAIR_SUMS)
+    sums = shifted.mapInArrow(_pair_sums, schema).groupBy("l", "r").agg(
+        *[F.sum(c).alias(c) for c in PAIR_SUMS])
+
+    def spread(square: str, plain: str) -> Column:
+        left = F.col(square) - ratio(F.col(plain) * F.col(plain), "n")
+        return F.when(left > F.col(square) * CONSTANT, left)
+
+    shared = F.col("sxy") - ratio(F.col("sx") * F.col("sy"), "n")
+    found = shared / (F.sqrt(spread("sxx", "sx")) * F.sqrt(spread("syy", "sy")))
+    measured = sums.select("l", "r", F.when(F.col("odd") > 0, float("nan")).otherwise(
+        F.when(found > 1, 1.0).when(found < -1, -1.0).otherwise(found)).alias("_c"))
+    named = lambda i: F.element_at(F.array(*map(F.lit, names)), F.col(i) + 1)
+    pairs = df.sparkSession.range(len(names) * len(names)).select(
+        F.floor(F.col("id") / len(names)).cast("int").alias("l"),
+        (F.col("id") % len(names)).cast("int").alias("r")).where("l < r")
+    # A table without rows has every pair, without a correlation.
+    return pairs.join(measured, ["l", "r"], "left").select(
+        named("l").alias("left_column"), named("r").alias("right_column"), F.col("_c").alias("correlation"))
 
 
 def histogram(
