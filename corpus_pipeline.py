@@ -15,6 +15,9 @@ from ebbline.llm.common import read_table, stage
 
 #: A text is kept if its language is known with at least this pooled probability.
 LEAST_CERTAIN = 0.5
+#: Runs in a generation of the tokenizer's memory: its workers serve the other stages too,
+#: whose models and memories they hold.
+REMEMBERED_RUNS = 60_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +46,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all remaining documents with their places, as in the operator's query."""
-    return queries.packed_pieces(docs)
+    return queries.packed_pieces(docs, REMEMBERED_RUNS)
 
 
 STAGES = [

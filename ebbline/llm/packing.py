@@ -186,14 +186,18 @@ class WordTokenizer:
         return b"".join(out)
 
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}
+_TOKENIZERS: dict[tuple[str, int], WordTokenizer] = {}
 
 
-def tokenizer_for(path: str) -> WordTokenizer:
-    """One tokenizer for each worker process, so that tasks share what it remembers."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
+def tokenizer_for(path: str, memo_words: int = MEMO_WORDS) -> WordTokenizer:
+    """One tokenizer for each worker process, so that tasks share what it remembers.
+
+    A worker keeps the one it used last: another file or bound takes its place.
+    """
+    if (path, memo_words) not in _TOKENIZERS:
+        _TOKENIZERS.clear()
+        _TOKENIZERS[path, memo_words] = WordTokenizer(path, memo_words)
+    return _TOKENIZERS[path, memo_words]
 
 
 class SlackPool:
@@ -280,12 +284,14 @@ class _Writer:
 def pack_documents(
     docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text: str = "text",
     capacity: int = CAPACITY, end_id: int = END_ID, pool_tokens: int = POOL_TOKENS,
+    memo_words: int = MEMO_WORDS,
 ) -> DataFrame:
     """Pieces of all documents with their place in a sequence.
 
     Columns: the id, `start` (ids of the document before the piece), `length`, `ids`
     (unsigned 32-bit little-endian), `doc_tokens`, `sequence_id` and `offset`.
-    `tokenizer` is the path of a tokenizer file that exists on every executor.
+    `tokenizer` is the path of a tokenizer file that exists on every executor. A worker
+    remembers up to `memo_words` runs in each of two generations; fewer cost time, no result.
     """
     source = docs.select(F.col(id_column).alias("_id"), utf8(text).alias("_text"))
     kind = source.schema["_id"].dataType
@@ -298,7 +304,7 @@ def pack_documents(
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        words = tokenizer_for(tokenizer)
+        words = tokenizer_for(tokenizer, memo_words)
         writer = _Writer(to_arrow_schema(schema), TaskContext.get().partitionId() << 33)
         pool, waiting, number = SlackPool(capacity), {}, 0
         for batch in batches:

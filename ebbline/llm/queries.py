@@ -106,8 +106,8 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_pieces(read_table(spark, sf_dir, "documents"))
 
 
-def packed_pieces(docs: DataFrame) -> DataFrame:
-    packed = packing.pack_documents(docs, packing_tokenizer())
+def packed_pieces(docs: DataFrame, memo_words: int = packing.MEMO_WORDS) -> DataFrame:
+    packed = packing.pack_documents(docs, packing_tokenizer(), memo_words=memo_words)
     return packed.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
         "sequence_id", "offset")

@@ -317,3 +317,13 @@ def test_digest_columns(spark):
     for r in got:
         raw = docs[r["doc_id"]].encode()
         assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 8, zlib.crc32(raw), "rows", None)
+
+
+def test_a_small_memory_changes_no_id_and_only_one_is_kept():
+    path = packing_tokenizer()
+    texts = [" ".join(f"Wort{i % 37}, tail{i * j}." for j in range(40)) for i in range(50)]
+    small = packing.tokenizer_for(path, 20)
+    got = [small.encode(t) for t in texts]
+    assert len(small.runs.new) <= 20 + 80
+    whole = packing.tokenizer_for(path)
+    assert got == [whole.encode(t) for t in texts] and list(packing._TOKENIZERS) == [(path, packing.MEMO_WORDS)]
