@@ -3,8 +3,10 @@
 A tree's expected output with some features unknown follows both branches of
 an unknown split in proportion to the training rows that went each way. Along
 one leaf's path this makes a product of terms, one per feature, so a row's
-contribution depends only on which of the path's conditions it meets. A task
-works out each pattern of a leaf that occurs in its rows once.
+contribution depends only on which of the path's conditions it meets. The
+contributions of all such patterns of a leaf are worked out once, before the rows
+are read; a row looks them up under its pattern's number. Only for leaves with
+many features are they worked out for the patterns that occur.
 """
 
 from __future__ import annotations
@@ -23,6 +25,9 @@ from pyspark.sql import functions as F
 # Contributions are on the log-odds scale, which is twice the sum of the trees.
 LOG_ODDS = 2.0
 
+#: Features of a leaf up to which the contributions of all its patterns are tabulated: bits of a byte.
+TABLE_FEATURES = 8
+
 
 @dataclass
 class LeafPath:
@@ -86,35 +91,63 @@ def _contributions(leaf: LeafPath, met: np.ndarray) -> np.ndarray:
     return out
 
 
+def _table(leaf: LeafPath) -> np.ndarray | None:
+    """Contributions (features x patterns) by number of the pattern: bit j is condition j."""
+    k = len(leaf.features)
+    if k > TABLE_FEATURES:
+        return None
+    bits = np.arange(1 << k)[:, None] >> np.arange(k) & 1
+    return np.ascontiguousarray(_contributions(leaf, bits.astype(float)).T)
+
+
 def tree_contributions(
     model: GBTClassificationModel, path: str, features: DataFrame, id_column: str = "customerID"
 ) -> DataFrame:
     """`contributions` per feature, `base` and `margin` (log odds) of every row.
 
-    `path` is where the model was saved. Base plus contributions is margin.
+    `path` is where the model was saved. Base plus contributions is margin. The rows are
+    dealt evenly over the cores: they take far longer than their bytes suggest, and a
+    small file would be one task.
     """
     leaves = leaf_paths(features.sparkSession, path, list(model.treeWeights))
     base = float(sum(leaf.value * leaf.share.prod() for leaf in leaves))
+    # Leaves share conditions, and each is tested once in a batch.
+    conditions: dict[tuple, int] = {}
+    numbers = [
+        [conditions.setdefault(c, len(conditions)) for c in zip(leaf.features, leaf.low, leaf.high)]
+        for leaf in leaves
+    ]
+    tables = [_table(leaf) for leaf in leaves]
 
     def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if batch.empty:
                 continue
-            x = np.stack(batch["features"].to_numpy())
-            phi, margin = np.zeros_like(x), np.zeros(len(x))
-            for leaf in leaves:
-                values = x[:, leaf.features]
-                met = (values > leaf.low) & (values <= leaf.high)
-                # Rows share few patterns, and each is worked out once in a batch.
-                patterns, place = np.unique(met, axis=0, return_inverse=True)
-                phi[:, leaf.features] += _contributions(leaf, patterns.astype(float))[place.ravel()]
-                margin += leaf.value * met.all(axis=1)
+            x = np.ascontiguousarray(np.stack(batch["features"].to_numpy()).T)
+            met = np.empty((len(conditions), len(batch)), dtype=np.uint8)
+            for (feature, low, high), number in conditions.items():
+                met[number] = (x[feature] > low) & (x[feature] <= high)
+            phi, margin = np.zeros_like(x), np.zeros(len(batch))
+            for leaf, used, table in zip(leaves, numbers, tables):
+                if table is None:
+                    patterns, place = np.unique(met[used].T, axis=0, return_inverse=True)
+                    phi[leaf.features] += _contributions(leaf, patterns.astype(float))[place.ravel()].T
+                    margin += leaf.value * met[used].all(axis=0)
+                    continue
+                bits = np.zeros(len(batch), dtype=np.uint8)
+                for j, number in enumerate(used):
+                    bits |= met[number] << j
+                pattern = bits.astype(np.intp)
+                for feature, contribution in zip(leaf.features, table):
+                    phi[feature] += contribution[pattern]
+                margin += leaf.value * (bits == (1 << len(used)) - 1)
             yield pd.DataFrame({
-                id_column: batch[id_column], "contributions": list(phi), "base": base, "margin": margin,
+                id_column: batch[id_column], "contributions": list(phi.T), "base": base, "margin": margin,
             })
 
     kind = features.schema[id_column].dataType.simpleString()
-    return features.select(id_column, vector_to_array("features").alias("features")).mapInPandas(
+    rows = features.select(id_column, vector_to_array("features").alias("features"))
+    return rows.repartition(features.sparkSession.sparkContext.defaultParallelism).mapInPandas(
         attribute, f"{id_column} {kind}, contributions array<double>, base double, margin double"
     )
 

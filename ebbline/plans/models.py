@@ -17,12 +17,18 @@ DRIFT_CATEGORICAL = ["Contract", "InternetService"]
 
 
 def _table(spark, sf_dir):
-    return features.preprocess(bridge.raw_customers(spark, sf_dir), bridge.REFERENCE_DATE)
+    """The feature table. Customers are written once: their levels are looked up before the rows are read."""
+    raw = store.stage(bridge.raw_customers(spark, sf_dir), "customers")
+    return features.preprocess(raw, bridge.REFERENCE_DATE)
 
 
-def _prepared(spark, sf_dir):
+def _features(table):
     """Model features, written once because fitting and splitting re-read them."""
-    return store.stage(features.model_features(_table(spark, sf_dir)), "features")
+    return store.stage(features.model_features(table), "features")
+
+
+def _prepared(spark, sf_dir):
+    return _features(_table(spark, sf_dir))
 
 
 def _fitted_on_everyone(spark, prepared):
@@ -69,14 +75,14 @@ def boosted_model(spark, sf_dir):
 @register("feature_importance")
 def feature_importance(spark, sf_dir):
     table = _table(spark, sf_dir)
-    model, _ = _fitted_on_everyone(spark, _prepared(spark, sf_dir))
+    model, _ = _fitted_on_everyone(spark, _features(table))
     return churn_model.feature_importance(model, features.feature_names(table))
 
 
 @register("tree_contribution_ranking")
 def tree_contribution_ranking(spark, sf_dir):
     table = _table(spark, sf_dir)
-    prepared = _prepared(spark, sf_dir)
+    prepared = _features(table)
     model, path = _fitted_on_everyone(spark, prepared)
     parts = tree_attribution.tree_contributions(model, path, prepared)
     return tree_attribution.contribution_ranking(parts, features.feature_names(table))

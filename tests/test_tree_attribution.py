@@ -89,3 +89,31 @@ def test_ranking_and_top_customer(fitted):
     top = tree_attribution.explain_top_customer(parts, NAMES).collect()
     assert top[0]["margin"] == parts.agg(F.max("margin")).first()[0]
     assert top[0]["base"] + sum(r["contribution"] for r in top) == pytest.approx(top[0]["margin"])
+
+
+def test_patterns_are_worked_out_before_the_rows(spark, fitted, monkeypatch):
+    """A task looks contributions up; the rows of one small file are dealt over the cores."""
+    model, path, data, _ = fitted
+    shapes, whole = [], tree_attribution._contributions
+
+    def counted(leaf, met):
+        shapes.append((met.shape[0], len(leaf.features)))
+        return whole(leaf, met)
+
+    monkeypatch.setattr(tree_attribution, "_contributions", counted)
+    parts = tree_attribution.tree_contributions(model, path, data.coalesce(1))
+    leaves = tree_attribution.leaf_paths(spark, path, list(model.treeWeights))
+    assert shapes == [(2 ** len(leaf.features), len(leaf.features)) for leaf in leaves]
+    assert parts.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_leaves_too_wide_for_a_table(fitted, monkeypatch):
+    model, path, data, _ = fitted
+    rows = lambda: {r["customerID"]: r for r in tree_attribution.tree_contributions(model, path, data).collect()}
+    tabulated = rows()
+    monkeypatch.setattr(tree_attribution, "TABLE_FEATURES", 1)
+    wide = rows()
+    assert wide.keys() == tabulated.keys()
+    for key, row in wide.items():
+        assert row["contributions"] == pytest.approx(tabulated[key]["contributions"], abs=1e-12)
+        assert row["margin"] == pytest.approx(tabulated[key]["margin"], abs=1e-12)
