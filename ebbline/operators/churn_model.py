@@ -25,33 +25,52 @@ from ebbline.operators.splits import stratified_folds
 
 Trainer = Callable[[DataFrame], Model]
 
-#: Bytes of features in a training partition. A boosted fit is over a thousand passes, so
-#: a partition that takes no longer than starting its task is a waste.
-PARTITION_BYTES = 16 << 20
+#: Bytes of features below which a training partition is not divided. A boosted fit is over
+#: a thousand passes, so a partition that takes no longer than starting its task is a waste.
+PARTITION_BYTES = 4 << 20
+
+#: Bytes of features in a training partition at most; so much has to fit in memory per core.
+MAX_PARTITION_BYTES = 256 << 20
+
+
+def _partition_count(size: int, cores: int) -> int:
+    """One partition per core, fewer for a small input, a multiple if memory asks for it.
+
+    Every pass of a fit ends with its slowest core, so a partition over the cores' number
+    would make each pass last twice as long.
+    """
+    whole_rounds = cores * math.ceil(size / (cores * MAX_PARTITION_BYTES))
+    return max(1, min(math.ceil(size / PARTITION_BYTES), whole_rounds))
 
 
 @contextmanager
 def _balanced(train: DataFrame, weights: Callable[[int, int], tuple[float, float]]) -> Iterator[DataFrame]:
-    """Training rows kept in memory, with a `weight` per class.
+    """Training rows with a `weight` per class, in even partitions for _partition_count().
 
-    `weights` gets the numbers of kept and churned rows and returns the weight
-    of each. Fitting reads the rows many times; they come in partitions of about
-    PARTITION_BYTES.
+    `weights` gets the numbers of kept and churned rows and returns the weight of each.
+    `train` is read twice: stage it first. A fit takes what it needs from the rows in a few
+    passes and keeps that; a small input is kept in memory here, a larger one is dealt out
+    once, and its shuffle files are what the passes read.
     """
+    row = train.agg(
+        F.count_if(F.col("label") == 0).alias("neg"),
+        F.count_if(F.col("label") == 1).alias("pos"),
+        F.max(F.size(vector_to_array("features"))).alias("width"),
+    ).first()
+    if not row["neg"] or not row["pos"]:
+        raise ValueError("training needs rows of both classes")
+    negative, positive = weights(row["neg"], row["pos"])
+    size = 8 * row["width"] * (row["neg"] + row["pos"])
+    n = _partition_count(size, train.sparkSession.sparkContext.defaultParallelism)
+    weight = F.when(F.col("label") == 1, positive).otherwise(negative)
+    if n > 1:
+        yield train.repartition(n).withColumn("weight", weight)
+        return
     level = train.storageLevel
     cached_before = level.useMemory or level.useDisk
     kept = train if cached_before else train.persist()
     try:
-        row = kept.agg(
-            F.count_if(F.col("label") == 0).alias("neg"),
-            F.count_if(F.col("label") == 1).alias("pos"),
-            F.max(F.size(vector_to_array("features"))).alias("width"),
-        ).first()
-        if not row["neg"] or not row["pos"]:
-            raise ValueError("training needs rows of both classes")
-        negative, positive = weights(row["neg"], row["pos"])
-        size = 8 * row["width"] * (row["neg"] + row["pos"])
-        yield kept.coalesce(math.ceil(size / PARTITION_BYTES)).withColumn("weight", F.when(F.col("label") == 1, positive).otherwise(negative))
+        yield kept.coalesce(1).withColumn("weight", weight)
     finally:
         if not cached_before:
             kept.unpersist()

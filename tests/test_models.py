@@ -105,6 +105,41 @@ def test_cross_validation_and_retraining(prepared):
     assert row["delta"] == pytest.approx(0) and not row["improved"]
 
 
+def test_training_partitions_fill_the_cores():
+    mb = 1 << 20
+    assert churn_model._partition_count(3 * mb, 12) == 1
+    assert churn_model._partition_count(23 * mb, 12) == 6
+    # One more than the cores would double the length of every pass.
+    assert churn_model._partition_count(200 * mb, 12) == 12
+    assert churn_model._partition_count(1400 * mb, 12) == 12
+    assert churn_model._partition_count(4000 * mb, 12) == 24
+
+
+def test_training_rows_are_dealt_evenly(spark, prepared, monkeypatch):
+    """A small file is one task to a reader, and a boosted fit passes over it 1,200 times."""
+    monkeypatch.setattr(churn_model, "PARTITION_BYTES", 10_000)
+    one = store.stage(prepared.coalesce(1), "one")
+    with churn_model._balanced(one, lambda neg, pos: (1.0, neg / pos)) as rows:
+        sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) > 1 and max(sizes) - min(sizes) <= 1 and sum(sizes) == one.count()
+        assert rows.select("weight").distinct().count() == 2
+
+
+def test_customers_are_derived_once_for_levels_and_features(spark, fits, monkeypatch):
+    """Looking up levels reads the written customers, not the orders again."""
+    derived, whole = [], store.stage
+
+    def staged(frame, name="stage", *more):
+        derived.extend([name] if "o_totalprice" in frame._jdf.queryExecution().optimizedPlan().toString() else [])
+        return whole(frame, name, *more)
+
+    monkeypatch.setattr(store, "stage", staged)
+    for query in (models.tree_contribution_ranking, models.explain_held_out_customer):
+        derived.clear()
+        query(spark, SMALL)
+        assert derived == ["customers"]
+
+
 @pytest.fixture
 def fits(monkeypatch):
     """Rows of each boosted fit of a query, with few trees; any other fit fails."""
