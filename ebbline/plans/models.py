@@ -135,11 +135,13 @@ def model_risk_report(spark, sf_dir):
 @register("explain_held_out_customer")
 def explain_held_out_customer(spark, sf_dir):
     """Tree contributions of the riskiest customer among those not trained on."""
-    names = features.feature_names(_table(spark, sf_dir))
-    train, test = _split(spark, sf_dir)
+    table = _table(spark, sf_dir)
+    train, test = splits.stratified_split(_features(table), id_column="customerID")
     path = churn_model.save_model(churn_model.train_boosted(train), store.scratch_path(spark, "model"))
     parts = tree_attribution.tree_contributions(churn_model.load_boosted(path), path, test)
-    return tree_attribution.explain_top_customer(store.stage(parts, "contributions"), names)
+    return tree_attribution.explain_top_customer(
+        store.stage(parts, "contributions"), features.feature_names(table)
+    )
 
 
 @register("retrain_and_compare")
