@@ -117,7 +117,9 @@ def customer_scorecard(spark, sf_dir):
     """Model score, lifetime value, unit economics and value tier of every customer."""
     model, _ = _fitted_on_everyone(spark, prepared := _prepared(spark, sf_dir))
     scores = churn_model.score(model, prepared, "churn_probability").select("customerID", "churn_probability")
-    card = customer_scores.scorecard(_subscribers(spark, sf_dir), scores, "customerID", bridge.CAC)
+    # Curves and values read the customers in turn.
+    known = store.stage(_subscribers(spark, sf_dir), "subscribers")
+    card = customer_scores.scorecard(known, scores, "customerID", bridge.CAC)
     return round_columns(card.drop("customerID"), {
         "expected_lifetime_months": 4, "clv": 2, "ltv_cac_ratio": 4, "payback_months": 4,
     })
